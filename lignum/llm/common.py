@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word, where words are parted by ASCII white space only.
@@ -60,3 +64,14 @@ def fold_of(doc_id: Column, parts: int) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body).getItem(0)
+
+
+def map_batches(df: DataFrame, run, ddl: str) -> DataFrame:
+    """``run`` takes an iterator of Arrow record batches and yields dicts of columns as ``ddl`` names them."""
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_pydict(columns, schema=schema)
+
+    return df.mapInArrow(mapped, ddl)
