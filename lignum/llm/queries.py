@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lignum.llm import bpe, licenses, mixing
+from lignum.llm import bpe, language, licenses, mixing
 
-MODULES = (mixing, licenses, bpe)
+MODULES = (mixing, language, bpe, licenses)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
