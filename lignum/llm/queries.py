@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lignum.llm import bpe, language, licenses, mixing, ngram_join
+from lignum.llm import bpe, language, licenses, mixing, ngram_join, warc
 
-MODULES = (mixing, language, ngram_join, bpe, licenses)
+MODULES = (warc, language, mixing, ngram_join, bpe, licenses)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
