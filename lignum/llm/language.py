@@ -145,8 +145,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     return out
 
 
-def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` and ``bits_per_byte`` of every whole text.
+def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` and ``bits_per_byte`` of every whole text, with the columns of ``keep`` for ``doc_id``.
 
     ``docs`` has ``doc_id``, ``text`` and ``lang``; other columns are ignored, and ``lang`` is read for
     training only. ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter, or if
@@ -175,15 +175,15 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 pred[letters] = np.array(langs, dtype=object)[best[letters]]
                 score[letters] = share[letters]
                 rate = bits.min(axis=0) / np.maximum(1, ends - np.concatenate([[0], ends[:-1]]))
-            yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": pred.tolist(), "score": score, "bits_per_byte": rate}
+            yield {c: batch[c] for c in keep} | {"held_out": batch["held_out"], "lang_pred": pred.tolist(), "score": score, "bits_per_byte": rate}
 
+    kinds = dict(docs.dtypes)
     ready = docs.select(
-        "doc_id",
-        "text",
+        *dict.fromkeys([*keep, "text"]),
         F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
-    return map_batches(ready, run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return map_batches(ready, run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,11 @@ SEED = 20_240_731
 EPS = 1e-9
 
 
+def size_of(text: str) -> Column:
+    """The number of words of a text column; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """One row per source: ``source, source_size, n, target``.
 
@@ -110,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     large document: it costs its source at most its own size of error.
     """
     sized = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select("doc_id", "source", size_of("text").alias("size")),
         "mix-sizes",
     )
     id_type = dict(sized.dtypes)["doc_id"]
