@@ -39,7 +39,7 @@ SLICES = 32
 TILE = 256
 #: Bits of the filter that tells which documents to read again.
 FILTER_BITS = 1 << 24
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _draw = np.random.default_rng(20_240_731)
 _BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,7 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
     if len(_kept.get("p", ())) < n:
-        p = np.full(max(n, 1 << 16), _BASE, dtype=np.uint64)
+        p = np.full(max(n, CHUNK_BYTES + 1), _BASE, dtype=np.uint64)
         p[0] = 1
         _kept["p"] = np.multiply.accumulate(p)
     return _kept["p"]
@@ -103,7 +103,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]
 
 def _inverse_powers(n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
     if len(_kept.get("p", ())) < n:
-        p = np.full(max(n, 1 << 16), pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
+        p = np.full(max(n, CHUNK_BYTES + 1), pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
         p[0] = 1
         _kept["p"] = np.multiply.accumulate(p)
     return _kept["p"]
