@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("lignum.operators.log",)
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _name in MODULES:
+    _module = import_module(_name)
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
