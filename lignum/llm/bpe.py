@@ -35,7 +35,11 @@ LEXICON = 30_000
 #: Longest word of the lexicon, in bytes.
 LONGEST = 64
 #: Pieces that a worker keeps beside the lexicon before it starts anew; longer ones aren't kept.
-KEPT, KEPT_BYTES = 200_000, 100
+KEPT, KEPT_BYTES = 400_000, 100
+#: Pieces of so many bytes at most are merged from a plain list of ranks.
+SHORT = 48
+ID_BITS = 32
+ID_MASK, NONE = (1 << ID_BITS) - 1, 1 << 62
 
 
 def byte_symbols() -> list[str]:
@@ -53,37 +57,48 @@ class Vocabulary:
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         ids = spec["model"]["vocab"]
         self.of_byte = [ids[c] for c in byte_symbols()]
-        #: (left id, right id) -> (rank, merged id)
-        self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])}
+        #: (left id, right id) -> rank and merged id in one number
+        self.merges = {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(spec["model"]["merges"])}
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: of all neighbours, the pair of the lowest rank merges first, the leftmost of equals."""
-        ids = [self.of_byte[b] for b in piece]
+        ids, find = [self.of_byte[b] for b in piece], self.merges.get
         n = len(ids)
+        if n <= SHORT:  # finding the lowest rank anew costs less than a heap
+            ranks = [find(p, NONE) for p in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) < NONE:
+                at = ranks.index(best)
+                ids[at] = best & ID_MASK
+                del ids[at + 1], ranks[at]
+                if at:
+                    ranks[at - 1] = find((ids[at - 1], ids[at]), NONE)
+                if at < len(ranks):
+                    ranks[at] = find((ids[at], ids[at + 1]), NONE)
+            return ids
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(self.merges[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.merges]
+        heap = [(self.merges[p], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.merges]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
             if j < 0 or ids[i] != pair[0] or ids[j] != pair[1]:
                 continue  # one of them has been merged meanwhile
-            ids[i], ids[j] = self.merges[pair][1], -1
+            ids[i], ids[j] = best & ID_MASK, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in self.merges:
-                    heapq.heappush(heap, (self.merges[p][0], a, p))
+                    heapq.heappush(heap, (self.merges[p], a, p))
         return [i for i in ids if i >= 0]
 
 
-# The automaton's file: a header (root, nodes, edges, words, outputs), then for each node its first
-# edge, a final flag and the words below it; for each edge a byte and a target; for each word the
-# first of its ids; and all ids. All are 32-bit.
+# The automaton's file: a header (root, nodes, edges, words, outputs); for each node its first edge
+# and a final flag; for each edge a target and how many words its node has before it; for each word the
+# first of its ids; all ids, all of these in 32 bits; and each edge's byte.
 HEADER = struct.Struct("<5I")
 
 
@@ -116,19 +131,21 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     below = [0] * len(finished)
     for i, (final, edges) in enumerate(finished):  # targets come first
         below[i] = final + sum(below[t] for _, t in edges)
-    nodes, labels, first = [], [], 0
-    for (final, edges), n in zip(finished, below, strict=True):
-        nodes += [first, int(final), n]
-        for byte, target in edges:
-            labels += [byte, target]
-        first += len(edges)
-    nodes += [first, 0, 0]
+    nodes, edges, labels = [], [], bytearray()
+    for final, out in finished:
+        nodes += [len(labels), int(final)]
+        before = int(final)
+        for byte, target in out:
+            labels.append(byte)
+            edges += [target, before]
+            before += below[target]
+    nodes += [len(labels), 0]
     starts, outputs = [0], []
     for word in ordered:
         outputs += words[word]
         starts.append(len(outputs))
     pack = lambda xs: struct.pack(f"<{len(xs)}I", *xs)
-    return HEADER.pack(root, len(finished), first, len(ordered), len(outputs)) + pack(nodes) + pack(labels) + pack(starts) + pack(outputs)
+    return HEADER.pack(root, len(finished), len(labels), len(ordered), len(outputs)) + pack(nodes) + pack(edges) + pack(starts) + pack(outputs) + bytes(labels)
 
 
 class Lexicon:
@@ -142,27 +159,26 @@ class Lexicon:
                 f.write(data)
             os.replace(own, path)
         with open(path, "rb") as f:
-            self.map = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        root, nodes, edges, words, outputs = HEADER.unpack_from(self.map)
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        self.root, nodes, edges, words, outputs = HEADER.unpack_from(self.map)
         at, parts = HEADER.size, []
-        for n in (3 * (nodes + 1), 2 * edges, words + 1, outputs):
-            parts.append(self.map[at : at + 4 * n].cast("I"))
+        for n in (2 * (nodes + 1), 2 * edges, words + 1, outputs):
+            parts.append(memoryview(self.map)[at : at + 4 * n].cast("I"))
             at += 4 * n
-        self.root = root
+        self.labels = at
         self.nodes, self.edges, self.starts, self.outputs = parts
 
     def find(self, word: bytes) -> list[int] | None:
-        nodes, edges, node, index = self.nodes, self.edges, self.root, 0
-        for byte in word:
-            index += nodes[3 * node + 1]
-            for e in range(nodes[3 * node], nodes[3 * node + 3]):
-                if edges[2 * e] == byte:
-                    node = edges[2 * e + 1]
-                    break
-                index += nodes[3 * edges[2 * e + 1] + 2]
-            else:
+        nodes, edges, labels, find = self.nodes, self.edges, self.labels, self.map.find
+        node = 2 * self.root
+        index = 0
+        for i in range(len(word)):
+            e = find(word[i : i + 1], labels + nodes[node], labels + nodes[node + 2]) - labels
+            if e < 0:
                 return None
-        if not nodes[3 * node + 1]:
+            index += edges[2 * e + 1]
+            node = 2 * edges[2 * e]
+        if not nodes[node + 1]:
             return None
         return self.outputs[self.starts[index] : self.starts[index + 1]].tolist()
 
