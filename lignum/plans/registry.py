@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("lignum.operators.log",)
+MODULES = (
+    "lignum.operators.log",
+    "lignum.operators.tree",
+    "lignum.operators.metrics",
+    "lignum.functions.names",
+    "lignum.functions.rules",
+)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:
