@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lignum.sources.relations import read, with_views
 
@@ -104,14 +105,14 @@ def is_ignored(name: Column) -> Column:
     return name.rlike(r"^\.[a-z]+-[0-9a-f]{32}$") | F.startswith(name, F.lit(".nfs"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_key(names: pd.Series) -> pd.Series:
     """Names that differ by case or composition only have the same key: decomposed, case-folded, decomposed."""
     nfd = lambda x: unicodedata.normalize("NFD", x)
     return names.map(lambda x: None if x is None else x.lower() if x.isascii() else nfd(nfd(x).casefold()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def for_terminal(names: pd.Series) -> pd.Series:
     """Control and bidirectional characters as escapes."""
     odd = lambda c: unicodedata.category(c) == "Cc" or c in "؜‎‏‪‫‬‭‮⁦⁧⁨⁩"

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.llm.common import map_batches, table
+from lignum.llm.common import map_batches, table, written
 
 #: Fixed value: the pre-tokenizer's published pattern, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -250,7 +250,7 @@ def _codec(key: str, vocabulary, lexicon) -> Codec:
 
 
 def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
-    """The most frequent pieces of all texts, ties by code points; pieces of one character and very long ones aside."""
+    """The most frequent pieces of all texts, ``most`` at most; single bytes, single occurrences and very long ones aside."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         pieces, total = regex.compile(PATTERN).findall, Counter()
@@ -265,8 +265,18 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
 
     counted = map_batches(docs.select("text").filter(F.col("text").isNotNull()), count, "piece string, n long")
     size = F.octet_length("piece")
-    top = counted.filter((size > 1) & (size <= LONGEST)).groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in top.orderBy(F.desc("n"), "piece").limit(most).collect()]
+    pieces = counted.filter((size > 1) & (size <= LONGEST)).groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1")
+    # Classes of counts, of which there are some thousand at most, tell from which count on there are few enough.
+    pieces = written(pieces.withColumn("class", F.floor(F.log2("n") * 16).cast("int")), "bpe-pieces")
+    found, least = 0, None
+    for r in sorted(pieces.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        found += r["count"]
+        if found > most:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    return [r.piece for r in pieces.filter(F.col("class") >= least).select("piece").collect()]
 
 
 def prepared(docs: DataFrame, path: str, most: int = LEXICON) -> tuple:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lignum.sources.relations import VIEWS, change_log, folders_shown, seq_times
 
-#: At equal sequence numbers a removal beats an upsert.
-ORDER = F.struct("seq", (F.col("op") == "remove").cast("int").alias("is_remove"))
+
+def order():
+    """The order of changes: at equal sequence numbers a removal beats an upsert."""
+    return F.struct("seq", (F.col("op") == "remove").cast("int").alias("is_remove"))
 
 
 def fold(log: DataFrame) -> DataFrame:
     """The latest change of each item: ``id, seq, op, parent, content``."""
-    return log.groupBy("id").agg(F.max_by(F.struct("seq", "op", "parent", "content"), ORDER).alias("last")).select("id", "last.*")
+    return log.groupBy("id").agg(F.max_by(F.struct("seq", "op", "parent", "content"), order()).alias("last")).select("id", "last.*")
 
 
 def live(log: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def live(log: DataFrame) -> DataFrame:
 def tombstones(log: DataFrame) -> DataFrame:
     """Removed items with the folder they were last in: ``id, seq, old_parent, wall_ns``."""
     last = log.groupBy("id").agg(
-        F.max_by(F.struct("seq", "op", "wall_ns"), ORDER).alias("last"),
+        F.max_by(F.struct("seq", "op", "wall_ns"), order()).alias("last"),
         F.max_by("parent", F.when(F.col("op") == "upsert", F.col("seq"))).alias("old_parent"),
     )
     return last.filter("last.op = 'remove'").select("id", "last.seq", "old_parent", "last.wall_ns")
@@ -52,7 +54,7 @@ def changes_since(log: DataFrame, shown: DataFrame, since: int, upto: int) -> Da
     """
     prior = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     upto_log = log.filter(F.col("seq") <= upto).withColumn("old_parent", F.last("parent", ignorenulls=True).over(prior))
-    last = upto_log.groupBy("id").agg(F.max_by(F.struct("seq", "op", "parent", "old_parent", "content"), ORDER).alias("x")).select("id", "x.*")
+    last = upto_log.groupBy("id").agg(F.max_by(F.struct("seq", "op", "parent", "old_parent", "content"), order()).alias("x")).select("id", "x.*")
     last = last.filter(F.col("seq") > since)
     keys = last.select("id", "seq", F.explode(F.array("id", "parent", "old_parent")).alias("key")).join(shown.select(F.col("id").alias("key")), "key", "left_semi")
     return last.join(keys.select("id").distinct(), "id", "left_semi").select("seq", "id", "op", "parent", "old_parent", "content")

@@ -31,8 +31,7 @@ def paths(tree: DataFrame, root: int = ROOT, deepest: int = DEPTH) -> DataFrame:
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.col("up").isNotNull().alias("moved"),
         )
-        # A written table per round keeps plans short; the flag tells whether any row still moves.
-        walk = walk.checkpoint() if walk.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else walk.cache()
+        walk = walk.cache()  # the flag below and the next round read it
         if not walk.filter("moved AND top IS NOT NULL").limit(1).count():
             break
         walk = walk.drop("moved")

@@ -7,7 +7,12 @@ from importlib import import_module
 MODULES = (
     "lignum.operators.log",
     "lignum.operators.tree",
+    "lignum.operators.workset",
     "lignum.operators.metrics",
+    "lignum.operators.budget",
+    "lignum.operators.mutations",
+    "lignum.operators.check",
+    "lignum.streaming.changes",
     "lignum.functions.names",
     "lignum.functions.rules",
 )
