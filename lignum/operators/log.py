@@ -191,7 +191,7 @@ QUERIES = {
     "moves": lambda s, d: moves(change_log(s, d)),
     "content_changes": lambda s, d: content_changes(change_log(s, d)),
     "snapshot_missing": lambda s, d: missing(fold(change_log(s, d)).select("id", "seq"), live(change_log(s, d)).filter("parent < 12")),
-    "listing_drops": lambda s, d: listing_drops(live(change_log(s, d)).select("id", "seq"), change_log(s, d).filter("seq % 3 = 0").select("id").distinct(), 9500),
+    "listing_drops": lambda s, d: listing_drops(live(change_log(s, d)).select("id", "seq"), change_log(s, d).filter("seq % 97 = 0").select("id").distinct(), 9500),
     "resume_choice": lambda s, d: resume_choice(change_log(s, d), _clients(change_log(s, d)), 1000, 0),
     "tombstone_gc": _gc,
     "gc_horizon": lambda s, d: _gc(s, d).agg(F.max("seq").alias("horizon"), F.count("*").alias("dropped")),
@@ -225,7 +225,7 @@ _ORACLES = {
     "moves": "WITH change_log AS ({v}) SELECT seq, id, old_parent, parent FROM (SELECT *, lag(parent) OVER (PARTITION BY id ORDER BY seq) AS old_parent FROM change_log WHERE op = 'upsert') WHERE old_parent <> parent",
     "content_changes": "WITH change_log AS ({v}) SELECT seq, id, old_content, content FROM (SELECT *, lag(content) OVER (PARTITION BY id ORDER BY seq) AS old_content FROM change_log WHERE op = 'upsert') WHERE old_content <> content",
     "snapshot_missing": f"WITH change_log AS ({{v}}), {LAST} SELECT id, seq FROM last WHERE id NOT IN (SELECT id FROM last WHERE op = 'upsert' AND parent < 12)",
-    "listing_drops": f"WITH change_log AS ({{v}}), {LAST} SELECT id, seq FROM last WHERE op = 'upsert' AND seq <= 9500 AND id NOT IN (SELECT id FROM change_log WHERE seq % 3 = 0)",
+    "listing_drops": f"WITH change_log AS ({{v}}), {LAST} SELECT id, seq FROM last WHERE op = 'upsert' AND seq <= 9500 AND id NOT IN (SELECT id FROM change_log WHERE seq % 97 = 0)",
     "resume_choice": f"""WITH change_log AS ({{v}}), {LAST}{_TOMBS}{_CLIENTS} SELECT client, anchor, tombs, CASE WHEN anchor BETWEEN 1000 AND (SELECT max(seq) FROM change_log)
   AND tombs <= (SELECT count(*) FROM last WHERE op = 'upsert') THEN 'resume' ELSE 'snapshot' END AS mode
 FROM (SELECT client, anchor, (SELECT count(*) FROM tombs WHERE seq > anchor) AS tombs FROM clients)""",
