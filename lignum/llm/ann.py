@@ -86,7 +86,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     asked = written(map_batches(asked, ask, ddl), "ann-queries")
 
     each = filed.select("vec_id", "embedding", "codes", F.posexplode("codes").alias("t", "code"))
-    sizes = each.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # One row for each table and signed axis at most, so it is broadcast and neither side moves for it.
+    sizes = F.broadcast(each.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
     salted = each.join(sizes, ["t", "code"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
     probing = asked.select("vec_id", "embedding", "codes", F.posexplode("codes").alias("p", "code")).withColumn("t", F.floor(F.col("p") / probes).cast("int"))
     probing = probing.join(sizes, ["t", "code"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
