@@ -15,10 +15,12 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ from lignum.llm.common import map_batches, table, written
 
 #: Fixed value: the pre-tokenizer's published pattern, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Texts whose characters all come before this one are cut by the standard library, which takes half the time.
+LATIN_END = 0x250
 #: Words in the lexicon at most; it fixes the size of the broadcast.
 LEXICON = 30_000
 #: Longest word of the lexicon, in bytes.
@@ -49,6 +53,16 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in prints else chr(next(free)) for b in range(256)]
 
 
+def splitter() -> Callable[[str], list[str]]:
+    """Cuts a text into its pieces; the same pattern, with its classes spelled out, serves Latin texts."""
+    of = lambda kind: "".join(rf"\u{c:04x}" for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == kind)
+    letter, number, space = of("L"), of("N"), r"\t-\r \x85\xa0"
+    latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    beyond = re.compile(rf"[^\x00-\u{LATIN_END - 1:04x}]").search
+    every = regex.compile(PATTERN).findall
+    return lambda text: every(text) if beyond(text) else latin(text)
+
+
 class Vocabulary:
     """What the merges need, read from a tokenizer's JSON text."""
 
@@ -188,7 +202,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.pieces = regex.compile(PATTERN).findall
+        self.pieces = splitter()
         self.marks = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.kept: dict[str, tuple[str, int, bytes]] = {}
 
@@ -253,7 +267,7 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
     """The most frequent pieces of all texts, ``most`` at most; single bytes, single occurrences and very long ones aside."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        pieces, total = regex.compile(PATTERN).findall, Counter()
+        pieces, total = splitter(), Counter()
         out = lambda c: {"piece": list(c.keys()), "n": list(c.values())}
         for batch in batches:
             for text in batch["text"].to_pylist():

@@ -36,6 +36,13 @@ def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def test_latin_texts_are_cut_alike():
+    cut, every = bpe.splitter(), bpe.regex.compile(bpe.PATTERN).findall
+    for c in range(bpe.LATIN_END + 16):
+        for text in (chr(c), f"a{chr(c)}1 {chr(c)}{chr(c)} {chr(c)}", f"  {chr(c)}  x{chr(c)} ", f"'s{chr(c)}'re 1{chr(c)}"):
+            assert cut(text) == every(text), repr(text)
+
+
 @pytest.mark.parametrize("words", [{}, {b"a": [1]}, {b"": [5], b"a": [1]}])
 def test_small_lexicons(words):
     found = bpe.Lexicon(bpe.compile_lexicon(words))
