@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-For the largest inner product, a vector is extended by one component that brings all to the length of
-the longest, so that the nearest in angle is the largest in product. Each of several tables rotates the
-extended vectors by fast Hadamard pseudo-rotations and files every row under its nearest signed axis. A
-query probes, in each table, the axes its own rotation leans to most. Rows it meets are ranked by the
-exact product of the original vectors, and the best of all tiles are merged.
-
-The join is on (table, axis). Axes with many rows are cut into blocks by a hash of the id, each of
-which the queries meet, so no task holds an axis whole.
+For the largest inner product, rows are parted into bands of like length, and a vector is extended by
+one component that brings all of its band to the length of the band's longest, so that the nearest in
+angle is the largest in product. Each of several tables rotates the extended vectors by fast Hadamard
+pseudo-rotations and files every row under its nearest signed axis. A query probes, in each table and
+band, the axes its own rotation leans to most. Rows it meets are ranked by the exact product of the
+original vectors, and the best of all tiles and bands are merged.
+
+The join is on (band, table, axis). Axes with many rows are cut into blocks by a hash of the id, each of
+which the queries meet, so no task holds an axis whole. Bands with fewer rows than axes are compared
+with every query, and a query that met fewer rows than it is to return is compared with all rows.
 """
 
 from __future__ import annotations
@@ -19,18 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.llm.common import map_batches, table, written
+from lignum.llm.common import let, map_batches, table, written
 from lignum.llm.vectors import axis_codes, groups, matrix, padded, power_of_two, rotated, signs, usable
 
 TOP, QUERY_STEP = 20, 20
 #: Tables, and axes that a query probes in each: recall is measured in tests and named in the README.
 TABLES, PROBES = 20, 12
 BLOCK = 4096
+#: Queries that meet a block of rows at once where all are compared.
+ASKED = 1024
+#: Bands of length for each factor of 2.
+BANDS = 2
 SEED = 6
+BEST = "query_id long, best array<struct<less: double, vec_id: long>>"
 
 
-def extended(x: np.ndarray, longest: float, width: int) -> np.ndarray:
-    """Rows over ``longest``, with the component that makes them unit vectors."""
+def extended(x: np.ndarray, longest: np.ndarray, width: int) -> np.ndarray:
+    """Rows over the ``longest`` of each one's band (a column), with the component that makes them unit vectors."""
     x = x / longest
     rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))
     return padded(np.concatenate([x, rest[:, None]], axis=1), width)
@@ -42,11 +49,65 @@ def probed(rotated_query: np.ndarray, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
+def best_of(ids: np.ndarray, score: np.ndarray, top: int) -> list[dict]:
+    """The ``top`` best, nearest first, ties to the smaller id."""
+    if len(ids) > top:
+        live = score >= np.partition(score, len(ids) - top)[len(ids) - top]
+        ids, score = ids[live], score[live]
+    order = np.lexsort((ids, -score))[:top]
+    return [{"less": -s, "vec_id": i} for s, i in zip(score[order].tolist(), ids[order].tolist(), strict=True)]
+
+
+def packed(found: Iterator[tuple[int, list[dict]]]) -> Iterator[dict]:
+    """What a tile finds, some thousand queries at a time."""
+    out: dict = {"query_id": [], "best": []}
+    for query, best in found:
+        out["query_id"].append(query)
+        out["best"].append(best)
+        if len(out["query_id"]) >= 2000:
+            yield out
+            out = {"query_id": [], "best": []}
+    yield out
+
+
+def compared(rows: DataFrame, asked: DataFrame, top: int, block: int) -> DataFrame:
+    """The best rows of each block for each query, as ``BEST`` has them: all rows are compared, in blocks that meet groups of queries."""
+    blocks, parts = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // ASKED))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    filed = rows.select("vec_id", "embedding", dealt(blocks).alias("b"), every(parts).alias("q"), F.lit(0).alias("asks"))
+    asking = asked.select("vec_id", "embedding", every(blocks).alias("b"), dealt(parts).alias("q"), F.lit(1).alias("asks"))
+    both = filed.union(asking).repartition("b", "q").sortWithinPartitions("b", "q", "asks")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+        for group in groups(batches, ["b", "q"]):
+            group = group.combine_chunks()
+            asks = group["asks"].to_numpy() == 1
+            if asks.all() or not asks.any():
+                continue
+            ids, x = group["vec_id"].to_numpy(), matrix(group["embedding"].combine_chunks())
+            row_ids, row_x = ids[~asks], x[~asks]
+            for query, y in zip(ids[asks], x[asks], strict=True):
+                at = np.flatnonzero(row_ids != query)
+                if len(at):
+                    score = np.einsum("ij,j->i", row_x, y, optimize=False)
+                    yield int(query), best_of(row_ids[at], score[at], top)
+
+    return map_batches(both, lambda batches: packed(meet(batches)), BEST)
+
+
+def merged(met: DataFrame, top: int) -> DataFrame:
+    """The best of all tiles; a query has at most ``top`` rows from each tile it meets."""
+    # Sorted, so that a pair met twice stands side by side; array_distinct compares each with each.
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return met.groupBy("query_id").agg(F.flatten(F.collect_list("best")).alias("all")).select("query_id", F.slice(let(F.sort_array("all"), once), 1, top).alias("best"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the rows found with the largest inner product.
 
     Both frames have ``vec_id`` and ``embedding``; other columns are ignored. Nearest first, ties to the
-    smaller vec_id, at most ``top`` and fewer if fewer were found. A query's candidates are all rows of
+    smaller vec_id: ``top`` rows, or all candidates if there are fewer. A query's candidates are all rows of
     another vec_id. Null or zero vectors, those with null or non-finite components, rows without an id,
     and vectors whose length isn't the commonest take no part. Rows that repeat an id and vector are one candidate and one
     query. Scores are products in double precision, summed in one order, so equal vectors tie exactly.
@@ -54,22 +115,28 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     good = lambda df: df.select("vec_id", "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = good(vectors)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    kinds = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("longest"))
+    kinds = rows.withColumn("norm", norm).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
     kind = kinds.orderBy(F.desc("n"), F.desc("d")).first()
     if kind is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, longest = kind.d, kind.longest
-    width = power_of_two(d + 1)
+    d, width = kind.d, power_of_two(kind.d + 1)
     of_size = F.size("embedding") == d
+    # Bands reach down from the longest, so lengths that are equal but for rounding share one.
+    band = F.floor(F.log2(F.lit(kind.longest) / norm) * BANDS).cast("int")
     rows = rows.filter(of_size).dropDuplicates(["vec_id", "embedding"])
     asked = good(queries).filter(of_size).dropDuplicates(["vec_id", "embedding"])
+    # A few hundred bands at most: that is how far floats reach.
+    bands = rows.select(band.alias("band"), norm.alias("norm")).groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
+    longest = {b.band: b.longest for b in bands}
+    small = [b.band for b in bands if b.n < 2 * width]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         flips = signs(tables, width, SEED)
         for batch in batches:
-            x = extended(matrix(batch["embedding"]), longest, width) if batch.num_rows else np.zeros((0, width))
+            own = np.array([longest[b] for b in batch["band"].to_pylist()])[:, None]
+            x = extended(matrix(batch["embedding"]), own, width) if batch.num_rows else np.zeros((0, width))
             codes = np.stack([axis_codes(rotated(x, f)) for f in flips], axis=1) if len(x) else np.zeros((0, tables), int)
-            yield {"vec_id": batch["vec_id"], "embedding": batch["embedding"], "codes": codes.tolist()}
+            yield {"vec_id": batch["vec_id"], "embedding": batch["embedding"], "band": batch["band"], "codes": codes.tolist()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         flips = signs(tables, width, SEED)
@@ -82,21 +149,22 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
             yield {"vec_id": batch["vec_id"], "embedding": batch["embedding"], "codes": codes.tolist()}
 
     ddl = "vec_id long, embedding array<float>, codes array<int>"
-    filed = written(map_batches(rows, index, ddl), "ann-index")
+    filed = written(map_batches(rows.withColumn("band", band), index, f"{ddl}, band int"), "ann-index")
     asked = written(map_batches(asked, ask, ddl), "ann-queries")
+    in_small = F.col("band").isin(small)
 
-    each = filed.select("vec_id", "embedding", "codes", F.posexplode("codes").alias("t", "code"))
-    # One row for each table and signed axis at most, so it is broadcast and neither side moves for it.
-    sizes = F.broadcast(each.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    salted = each.join(sizes, ["t", "code"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
+    each = filed.filter(~in_small).select("vec_id", "embedding", "band", "codes", F.posexplode("codes").alias("t", "code"))
+    # One row for each band, table and signed axis at most, so it is broadcast and neither side moves for it.
+    sizes = F.broadcast(each.groupBy("band", "t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    salted = each.join(sizes, ["band", "t", "code"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("blocks").cast("long")).cast("int"))
     probing = asked.select("vec_id", "embedding", "codes", F.posexplode("codes").alias("p", "code")).withColumn("t", F.floor(F.col("p") / probes).cast("int"))
     probing = probing.join(sizes, ["t", "code"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["t", "code", "salt", "vec_id", "embedding", "codes"]
+    columns = ["band", "t", "code", "salt", "vec_id", "embedding", "codes"]
     both = salted.select(*columns, F.lit(0).alias("asks")).union(probing.select(*columns, F.lit(1).alias("asks")))
-    both = both.repartition("t", "code", "salt").sortWithinPartitions("t", "code", "salt", "asks")
+    both = both.repartition("band", "t", "code", "salt").sortWithinPartitions("band", "t", "code", "salt", "asks")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for group in groups(batches, ["t", "code", "salt"]):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+        for group in groups(batches, ["band", "t", "code", "salt"]):
             group = group.combine_chunks()
             asks = group["asks"].to_numpy() == 1
             if asks.all() or not asks.any():
@@ -116,28 +184,20 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
             for k in np.flatnonzero(fresh.any(axis=1)):
                 at = np.flatnonzero(fresh[k])
                 score = np.einsum("ij,j->i", row_x[at], ask_x[k], optimize=False)
-                if len(at) > top:
-                    live = score >= np.partition(score, len(at) - top)[len(at) - top]
-                    at, score = at[live], score[live]
-                order = np.lexsort((row_ids[at], -score))[:top]
-                best = [{"less": -s, "vec_id": i} for s, i in zip(score[order].tolist(), row_ids[at][order].tolist(), strict=True)]
-                yield {"query_id": [int(ask_ids[k])], "best": [best]}
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """What a tile finds, some thousand queries at a time."""
-        out: dict = {"query_id": [], "best": []}
-        for x in meet(batches):
-            for k, v in x.items():
-                out[k] += v
-            if len(out["query_id"]) >= 2000:
-                yield out
-                out = {"query_id": [], "best": []}
-        yield out
-
-    met = map_batches(both, packed, "query_id long, best array<struct<less: double, vec_id: long>>")
-    # A query has at most top rows from each tile it meets.
-    merged = met.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, top).alias("best"))
-    out = merged.select("query_id", F.posexplode("best").alias("at", "x"))
+                yield int(ask_ids[k]), best_of(row_ids[at], score, top)
+
+    met = map_batches(both, lambda batches: packed(meet(batches)), BEST)
+    if small:
+        met = met.union(compared(filed.filter(in_small), asked, top, block))
+    found = merged(met, top)
+    if len(small) < len(bands):
+        # Not all were compared: those that met too few rows are asked again, and what they find then counts instead.
+        found = written(found, "ann-found")
+        full = found.filter(F.size("best") >= top)
+        short = asked.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        if not short.isEmpty():
+            found = full.union(merged(compared(filed, short, top, block), top))
+    out = found.select("query_id", F.posexplode("best").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.less")).alias("score"))
 
 

@@ -134,3 +134,35 @@ def test_recall_on_the_table(spark):
         best = {int(v) for v in ids[np.argsort(-score)[:20]]}
         hit, total = hit + len(best & got[int(ids[i])]), total + 20
     assert hit >= 0.9 * total
+
+
+@pytest.mark.parametrize("n", [5, 15])
+def test_search_returns_all_of_few(spark, n):
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in x], 1, "x") for i, x in enumerate(draw.normal(size=(n, 20)).astype(np.float32))]
+    df = spark.createDataFrame(rows, DDL)
+    for made in (df, df.union(df.crossJoin(spark.range(40)).select(*df.columns))):  # repeated rows are one candidate
+        got = ann.search(made, df.filter("vec_id < 3")).collect()
+        assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in range(3) for k in range(1, n)]
+        assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in range(3) for i in range(n) if i != q}
+
+
+def test_search_with_one_long_vector(spark):
+    """Seven times the axes of rows of length 1, and one a thousand times longer: at production parameters."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(1800, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[777] *= 1000
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1, "x") for i, r in enumerate(x)], DDL)
+    got = {}
+    for r in ann.search(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x, hit = x.astype(np.float64), 0
+    for i in range(0, 1800, 20):
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = np.argsort(-score)[:20].tolist()
+        assert len(got[i]) == 20 and (777 in got[i]) == (777 in best)
+        hit += len(set(best) & set(got[i]))
+    assert hit >= 0.95 * 90 * 20
