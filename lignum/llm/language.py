@@ -21,7 +21,8 @@ from lignum.llm.common import fold_of, map_batches, table
 
 #: Longest context, in bytes.
 ORDER = 3
-#: Training takes whole texts of at most SAMPLE_CHARS characters, of each language the SAMPLE_ROWS first by a hash of the id.
+#: Training takes of each language the SAMPLE_ROWS first texts of at most SAMPLE_CHARS characters by a hash of the id; if there
+#: are fewer, also pieces of that size of its longer texts.
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 8192
 #: Contexts of full length that occur less often are left out of the trees.
 LEAST = 2
@@ -127,21 +128,28 @@ class Model:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[bytes]]:
-    """Texts to learn from by language: a bounded sample of the rows that aren't held out."""
+    """Texts to learn from by language: a bounded sample of the rows that aren't held out.
+
+    Longer texts than ``chars`` count as pieces of ``chars``, the last one shorter, each with a hash of its own. They
+    come after all short texts, so a language that has ``rows`` short ones learns from whole texts only.
+    """
     usable = docs.select("doc_id", "text", "lang").filter(
-        F.col("lang").isNotNull() & (F.length("text") <= chars) & (F.length("text") > 0) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
+        F.col("lang").isNotNull() & (F.length("text") > 0) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     )
-    usable = usable.withColumn("h", F.xxhash64(F.col("doc_id")))
+    usable = usable.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chars).cast("int"))))
+    long = F.length("text") > chars
+    usable = usable.withColumn("at", F.struct(long.alias("long"), F.when(long, F.xxhash64("doc_id", "piece")).otherwise(F.xxhash64("doc_id")).alias("h")))
     # The limit on row_number is applied within each task before anything is shuffled.
-    first = usable.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= rows)
-    cuts = {r.lang: r.h for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    within = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("k") <= rows)
+    cuts = {r.lang: r["at"] for r in within(usable.select("lang", "at"), "at").groupBy("lang").agg(F.max("at").alias("at")).collect()}
     if not cuts:
         return {}
-    cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    last = lambda at: F.struct(F.lit(at.long).alias("long"), F.lit(at.h).cast("long").alias("h"))
+    cut = F.create_map(*[x for lang, at in cuts.items() for x in (F.lit(lang), last(at))])
+    taken = usable.filter(F.col("at") <= cut[F.col("lang")]).select("lang", "at", F.expr(f"substring(text, piece * {chars} + 1, {chars})").alias("text"))
     out: dict[str, list[bytes]] = {lang: [] for lang in cuts}
-    for r in usable.filter(F.col("h") <= cut[F.col("lang")]).select("lang", "h", "text").orderBy("lang", "h", "text").collect():
-        if len(out[r.lang]) < rows:
-            out[r.lang].append(r.text.encode())
+    for r in within(taken, "at", "text").orderBy("lang", "at", "text").collect():
+        out[r.lang].append(r.text.encode())
     return out
 
 

@@ -64,3 +64,32 @@ def test_odd_rows(spark):
     assert [by[i].lang_pred for i in (3, 4, 5)] == ["und"] * 3 and by[3].score == 0 and not by[None].held_out
     assert all(0 <= r.score <= 1 for r in got)
     assert language.identify(df.limit(0)).count() == 0
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    import corpus_pipeline
+
+    draw = random.Random(2)
+    make = lambda words, n: " ".join(draw.choice(words) for _ in range(n))
+    de, en = "der die das und nicht ein werden über zwischen".split(), "the of and with which their would through".split()
+    ddl = "doc_id long, text string, lang string, source string, n_chars int"
+    long = [(i, make(de, 3000), "de", "s", 1) for i in range(6)]
+    short = [(100 + i, make(en, 20), "en", "s", 1) for i in range(20)]
+    assert min(len(r[1]) for r in long) > language.SAMPLE_CHARS > max(len(r[1]) for r in short)
+    for rows in (long + short, long):
+        df = spark.createDataFrame(rows, ddl)
+        assert {r.doc_id: r.lang_pred for r in language.identify(df).collect()} == {r[0]: r[2] for r in rows}
+        assert corpus_pipeline.identify_language(spark, df, "").count() == len(rows)
+
+
+def test_sample_is_bounded_and_prefers_short_texts(spark):
+    rows = [(i, f"short {i}", "a") for i in range(40)] + [(100 + i, "é" * 50 + "long" * 100, "a") for i in range(40)]
+    rows += [(200, "once " * 3, "b"), (203, "".join(chr(97 + i % 26) for i in range(1000)), "b"), (203, "x" * 1000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.sample(df, rows=12, chars=90)
+    assert {k: len(v) for k, v in found.items()} == {"a": 12, "b": 12} and all(t.startswith(b"short") for t in found["a"])
+    assert all(len(t.decode()) <= 90 for t in found["b"])
+    whole = language.sample(df, rows=1000, chars=90)
+    kept = {t[0] for t in rows if zlib.crc32(str(t[0]).encode()) % 3 != 1}
+    for lang in "ab":
+        assert sum(map(len, whole[lang])) == sum(len(t.encode()) for i, t, k in rows if k == lang and i in kept)
