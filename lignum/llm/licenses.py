@@ -105,7 +105,8 @@ PHRASES = (
     ("public-domain", "in the public domain", "public domain", 4),
     ("proprietary", "all rights reserved", "all rights reserved", 4),
     ("proprietary", "proprietary and confidential", "proprietary", 2),
-    ("proprietary", "(?:unauthori[sz]ed|no) (?:copying|reproduction|redistribution) (?:of this .{1,40} )?(?:is )?(?:strictly )?(?:prohibited|permitted)", "strictly", 3),
+    ("proprietary", "(?:unauthori[sz]ed|no) (?:copying|reproduction|redistribution) (?:of this .{1,40} )?(?:is )?(?:strictly )?prohibited", "prohibited", 3),
+    ("proprietary", "(?:unauthori[sz]ed|no) (?:copying|reproduction|redistribution) (?:of this .{1,40} )?(?:is )?(?:strictly )?permitted", "permitted", 3),
     ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute it", 1),
     ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "redistribute it", 1),
     ("agpl", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "redistribute it", 1),

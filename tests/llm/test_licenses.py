@@ -48,3 +48,37 @@ def test_empty_table(spark):
 def test_rules_are_many_and_ordered():
     found = licenses.rules()
     assert len(found) > 300 and [r[0] for r in found] == sorted(r[0] for r in found)
+
+
+def shortest(parsed):
+    """All texts that a pattern matches with each repeat at its least, one for each choice of branch or letter."""
+    found = [""]
+    for op, value in parsed:
+        match str(op):
+            case "LITERAL":
+                own = [chr(value)]
+            case "ANY":
+                own = ["x"]
+            case "IN":
+                own = [chr(v) for _, v in value]
+            case "BRANCH":
+                own = [x for branch in value[1] for x in shortest(branch)]
+            case "SUBPATTERN":
+                own = shortest(value[-1])
+            case "MAX_REPEAT":
+                own = [""] if value[0] == 0 else shortest(value[2]) if value[0] == 1 else None
+        found = [a + b for a in found for b in own]
+    return found
+
+
+def test_keywords_occur_in_the_shortest_matches():
+    for p, label, keyword, rx in licenses.rules():
+        for text in shortest(re._parser.parse(rx)):
+            assert re.fullmatch(rx, text) and keyword in text, (label, keyword, text)
+
+
+def test_proprietary_phrases_need_no_other_word(spark):
+    texts = ["Unauthorized copying of this file is prohibited.", "No redistribution is permitted", "unauthorised reproduction strictly prohibited", "no copying of this file, via any medium, is strictly permitted", "no redistribution is strictly"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: brute(t)[-2:] for i, t in enumerate(texts)}
+    assert [got[i] for i in range(5)] == [("proprietary", 0.7)] * 4 + [("", 0.0)]
