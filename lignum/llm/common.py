@@ -51,6 +51,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than one in HOT_SHARE of all rows are joined by broadcast; fewer than HOT_SHARE keys can have so many.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, key: str, size: str) -> DataFrame:
+    """The inner join of ``rows`` with ``keys``, which has one row for each ``key`` and in ``size`` how many rows meet it.
+
+    The rows of frequent keys stay where they are and meet a broadcast of fewer than ``HOT_SHARE`` rows,
+    so that no task gets a hot key whole. ``keys`` is read three times.
+    """
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(keys.filter(F.col(size) * HOT_SHARE > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(keys.filter(F.col(size) * HOT_SHARE <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z; all other characters stay."""
     return F.translate(col, UPPER, UPPER.lower())

@@ -27,104 +27,52 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.llm.common import map_batches, table, written
+from lignum.llm.common import map_batches, spread_join, table, written
 from lignum.llm.components import components
+from lignum.llm.words import chunks, mixed, word_hashes
 
 #: The contract's shingle length and threshold, in hundredths. As near-duplicate stage these are 5 and 80.
 N_WORDS, PERCENT = 4, 85
-#: Counters of the sketch; it is broadcast, at one byte each.
-COUNTERS = 1 << 23
+#: Counters of the sketch, at one byte each when it is broadcast: so many for each document, within these bounds.
+COUNTERS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 23
 SLICES = 32
 #: Members of a shingle's list that meet in one tile, at most about twice this.
 TILE = 256
-#: Bits of the filter that tells which documents to read again.
-FILTER_BITS = 1 << 24
-CHUNK_BYTES = 1 << 20
+#: Pairs of one document that are verified together.
+PAIRS = 256
+#: Bits of the filter that tells which documents to read again: so many for each, within these bounds.
+FILTER_EACH, LEAST_FILTER, MOST_FILTER = 16, 1 << 18, 1 << 27
+#: Hashes that a worker holds before it hands them on.
+HELD = 1 << 17
+_U = np.uint64
 
-_draw = np.random.default_rng(20_240_731)
-_BYTE = _draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    if len(_kept.get("p", ())) < n:
-        p = np.full(max(n, CHUNK_BYTES + 1), _BASE, dtype=np.uint64)
-        p[0] = 1
-        _kept["p"] = np.multiply.accumulate(p)
-    return _kept["p"]
-
-
-def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; ``data`` holds the texts' UTF-8 one after another."""
-    space = _SPACE[data]
-    begin = ~space
-    begin[1:] &= space[:-1]
-    first = ends[:-1][ends[:-1] < len(data)]
-    begin[first] = ~space[first]
-    end = ~space
-    end[:-1] &= space[1:]
-    last = ends[ends > 0] - 1
-    end[last] = ~space[last]
-    starts, stops = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    # The hash of a word: a polynomial in its bytes, from sums over the whole chunk; all modulo 2 ** 64.
-    n = len(data)
-    powers = _powers(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers[n - 1 :: -1][:n] if n else np.zeros(0, np.uint64), out=sums[1:])
-    # sums weigh byte i by BASE ** (n - 1 - i); BASE is odd, so a word's own weight has an inverse.
-    word = _mixed((sums[stops] - sums[starts]) * _inverse_powers(n + 1)[n - stops] + (stops - starts).astype(np.uint64))
-    at = np.searchsorted(starts, np.concatenate([[0], ends]))
-    out = []
-    window = word[: max(0, len(word) - k + 1)].copy() if len(word) >= k else np.zeros(0, np.uint64)
+    word, at = word_hashes(data, ends)
+    window = word[: max(0, len(word) - k + 1)].copy()
     for j in range(1, k):
-        window = _mixed(window * np.uint64(0xD6E8FEB86659FD93) + word[j : j + len(window)])
+        window = mixed(window * _U(0xD6E8FEB86659FD93) + word[j : j + len(window)])
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a >= k:
-            out.append(np.unique(window[a : b - k + 1]))
-        elif b > a:
-            h = np.uint64(b - a)
-            for w in word[a:b]:
-                h = _mixed(np.array([h * np.uint64(0xA0761D6478BD642F) + w], dtype=np.uint64))[0]
-            out.append(np.array([h], dtype=np.uint64))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def _inverse_powers(n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    if len(_kept.get("p", ())) < n:
-        p = np.full(max(n, CHUNK_BYTES + 1), pow(int(_BASE), -1, 1 << 64), dtype=np.uint64)
-        p[0] = 1
-        _kept["p"] = np.multiply.accumulate(p)
-    return _kept["p"]
+            yield np.unique(window[a : b - k + 1])
+            continue
+        h = np.full(min(1, b - a), b - a, dtype=np.uint64)
+        for w in word[a:b]:
+            h = mixed(h * _U(0xA0761D6478BD642F) + w)
+        yield h
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, set) of a batch, worked on in chunks of bounded size."""
-    text = batch["text"].cast(pa.large_binary()).fill_null(b"")
-    n = batch.num_rows
-    if not n:
-        return
-    bounds = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + n + 1]
-    data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
-    row = 0
     with np.errstate(over="ignore"):
-        while row < n:
-            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + CHUNK_BYTES, side="right")) - 1)
-            part = data[bounds[row] : bounds[stop]]
-            for i, s in enumerate(shingle_sets(part, bounds[row + 1 : stop + 1] - bounds[row], k)):
-                yield row + i, s
-            row = stop
+        for low, _, data, ends in chunks(batch["text"]):
+            for i, s in enumerate(shingle_sets(data, ends, k)):
+                yield low + i, s
+
+
+def _slot(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s & _U(counters - 1)).astype(np.int64)
 
 
 def prefix_length(n, percent: int):
@@ -133,43 +81,44 @@ def prefix_length(n, percent: int):
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How common each counter's shingles are: about 16 times the binary logarithm of the count, in a byte."""
-    width = COUNTERS // SLICES
+    """How common each counter's shingles are: about 16 times the binary logarithm of the count, in a byte.
 
-    def slices(count: np.ndarray) -> dict:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        return {"slice": list(range(SLICES)), "salt": [int(np.random.default_rng().integers(64))] * SLICES, "counts": [pack(count[i * width : (i + 1) * width].tobytes()) for i in range(SLICES)]}
+    Several shingles share a counter once there are more than counters; common ones stand out all the same.
+    """
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (docs.count() * COUNTERS_EACH).bit_length()))
+    width = counters // SLICES
+    pack, unpack = (lambda x: zstandard.ZstdCompressor(level=1).compress(x)), (lambda x: zstandard.ZstdDecompressor().decompress(x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total, waiting, held = np.zeros(COUNTERS, dtype=np.uint32), [], 0
+        total, salt = np.zeros(counters, dtype=np.uint32), None
         for batch in batches:
             for _, s in _sets(batch, k):
-                waiting.append(s)
-                held += len(s)
-                if held > COUNTERS // 2:
-                    total += np.bincount((np.concatenate(waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                    waiting, held = [], 0
-        if waiting:
-            total += np.bincount((np.concatenate(waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        yield slices(total)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+                np.add.at(total, _slot(s, counters), np.uint32(1))
+                salt = int(s[0] & _U(63)) if salt is None and len(s) else salt
+        for i in range(SLICES):
+            yield {"slice": [i], "salt": [salt or 0], "counts": [pack(total[i * width : (i + 1) * width].tobytes())]}
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """One sum at a time, as the rows of a slice follow one another."""
+        last, total = None, np.zeros(width, dtype=np.uint32)
         for batch in batches:
-            for key, blob in zip(zip(batch["slice"].to_pylist(), batch["salt"].to_pylist(), strict=True), batch["counts"].to_pylist(), strict=True):
-                one = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint32)
-                sums[key] = sums[key] + one if key in sums else one
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield {"slice": [x for x, _ in sums], "salt": [0] * len(sums), "counts": [pack(s.tobytes()) for s in sums.values()]}
+            for number, blob in zip(batch["slice"].to_pylist(), batch["counts"], strict=True):
+                if last is not None and number != last:
+                    yield {"slice": [last], "salt": [0], "counts": [pack(total.tobytes())]}
+                    total[:] = 0
+                last = number
+                total += np.frombuffer(unpack(blob.as_buffer()), dtype=np.uint32)
+        if last is not None:
+            yield {"slice": [last], "salt": [0], "counts": [pack(total.tobytes())]}
 
     ddl = "slice int, salt int, counts binary"
     parts = map_batches(docs.select("text"), count, ddl)
     # Two levels of sums, so that no task adds up the sketches of all others.
-    parts = map_batches(parts.repartition(SLICES, "slice", "salt"), added, ddl)
-    parts = map_batches(parts.repartition(SLICES, "slice"), added, ddl)
-    out = np.zeros(COUNTERS, dtype=np.uint8)
-    for r in parts.collect():  # SLICES rows, COUNTERS numbers
-        n = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), dtype=np.uint32)
+    for keys in (("slice", "salt"), ("slice",)):
+        parts = map_batches(parts.repartition(SLICES, *keys).sortWithinPartitions("slice"), added, ddl)
+    out = np.zeros(counters, dtype=np.uint8)
+    for r in parts.collect():  # SLICES rows, as many numbers as there are counters
+        n = np.frombuffer(unpack(bytes(r.counts)), dtype=np.uint32)
         out[r.slice * width : (r.slice + 1) * width] = np.minimum(255, 16 * np.log2(1 + n.astype(np.float64)))
     return out
 
@@ -200,23 +149,33 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per document: size, hash of the set, group (hash of prefix and size), prefix, bitmap, and how common its prefix is."""
     common = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
+    names = ("doc_id", "n", "whole", "prefix_key", "prefix", "bitmap", "weight")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         order = common.value
+
+        def packed(rows: list) -> dict:
+            columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+            cuts = np.cumsum([0, *map(len, columns["prefix"])])
+            return columns | {"prefix": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(columns["prefix"]).view(np.int64)))}
+
+        rows, held = [], 0
         for batch in batches:
-            ids, out = batch["doc_id"].to_pylist(), {c: [] for c in ("doc_id", "n", "whole", "prefix_key", "prefix", "bitmap", "weight")}
+            ids = batch["doc_id"].to_pylist()
             for row, s in _sets(batch, k):
                 n = len(s)
-                rank = order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                rank = order[_slot(s, len(order))]
                 p = prefix_length(n, percent) if n else 0
                 prefix = s[np.lexsort((s, rank))[:p]]
-                out["doc_id"].append(ids[row])
-                out["n"].append(n)
-                out["whole"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                out["prefix_key"].append(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
-                out["prefix"].append(prefix.view(np.int64).tolist())
-                out["bitmap"].append(_bitmap(s) if n else b"")
-                out["weight"].append(int(np.sort(rank)[:p].sum(dtype=np.int64)))
-            yield out
+                whole = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                key = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
+                rows.append((ids[row], n, whole, key, prefix, _bitmap(s) if n else b"", int(np.sort(rank)[:p].sum(dtype=np.int64))))
+                held += n + 64
+                if held >= HELD:
+                    yield packed(rows)
+                    rows, held = [], 0
+        if rows:
+            yield packed(rows)
 
     return written(
         map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, whole binary, prefix_key binary, prefix array<long>, bitmap binary, weight long"),
@@ -225,41 +184,65 @@ def _entries(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: ids) whose whole sets reach the threshold."""
-    spark = docs.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    # A filter of fixed size names the documents to read again; what it lets through in error is joined away.
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).select((slot("id") / 4096).cast("int").alias("page"), (slot("id") % 4096).cast("int").alias("bit"))
-    pages = {r.page: r.bits for r in marks.groupBy("page").agg(F.collect_set("bit").alias("bits")).collect()}
-    wanted = np.zeros(FILTER_BITS, dtype=bool)
-    for page, bits in pages.items():
-        wanted[page * 4096 + np.array(bits)] = True
-    wanted = spark.sparkContext.broadcast(np.packbits(wanted))
+    """Those of ``pairs`` (a, b: ids) whose whole sets reach the threshold. A document may be ``b`` in any number of pairs.
+
+    The pairs of one ``b`` are dealt to blocks; each block gets the set of ``b`` once, ahead of the others.
+    """
+    pairs = written(pairs.select("a", "b").distinct(), "ngram-pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-wanted")
+    wanted = ids.count()
+    bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (wanted * FILTER_EACH).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    # A bitmap of bounded size names the documents to read again; what it lets through in error is joined away.
+    marks = ids.select(slot("id").alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("page"))
+    filled = np.zeros(bits // 8, dtype=np.uint8)
+    for r in marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
+        filled[(r.page - 1) * 4096 : r.page * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    filled = docs.sparkSession.sparkContext.broadcast(filled)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        keep = np.unpackbits(wanted.value).astype(bool)
+        rows, held = [], 0
         for batch in batches:
-            batch = batch.filter(pa.array(keep[batch["slot"].to_numpy()]))
+            at = batch["slot"].to_numpy() - 1
+            batch = batch.filter(pa.array((filled.value[at >> 3] >> (at & 7)) & 1).cast(pa.bool_()))
             ids = batch["doc_id"].to_pylist()
-            if found := [(ids[row], s.tobytes()) for row, s in _sets(batch, k)]:
-                yield {"id": [x[0] for x in found], "hashes": [x[1] for x in found]}
-
-    sets = map_batches(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot")), read, "id long, hashes binary")
-    sets = written(sets, "ngram-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+            for row, s in _sets(batch, k):
+                rows.append((ids[row], s.tobytes()))
+                held += len(s)
+                if held >= HELD:
+                    yield dict(zip(("id", "hashes"), zip(*rows, strict=True), strict=True))
+                    rows, held = [], 0
+        if rows:
+            yield dict(zip(("id", "hashes"), zip(*rows, strict=True), strict=True))
+
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("slot"))
+    if wanted * FILTER_EACH > MOST_FILTER:  # too many for the bitmap to spare reading; a join then does
+        texts = texts.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = written(map_batches(texts, read, "id long, hashes binary"), "ngram-sets")
+    hubs = written(pairs.groupBy("b").agg(F.count("*").alias("size")), "ngram-hubs").withColumn("blocks", F.ceil(F.col("size") / PAIRS).cast("int"))
+    others = spread_join(pairs, hubs, "b", "size").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks").cast("long")).cast("int").alias("block"))
+    others = others.join(sets.select(F.col("id").alias("a"), "hashes"), "a")
+    leads = hubs.join(sets.select(F.col("id").alias("b"), "hashes"), "b")
+    leads = leads.select(F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "hashes")
+    both = others.select(*leads.columns).union(leads).repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, lead = None, []
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            for a, *now, blob in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["block"].to_pylist(), batch["hashes"], strict=True):
+                y = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+                if a is None:  # rows that share an id may have several sets
+                    lead = [*lead, y] if now == key else [y]
+                    key = now
+                    keep.append(False)
+                    continue
+                common = [int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0 for x in lead]
+                keep.append(any(100 * c >= percent * (len(x) + len(y) - c) for c, x in zip(common, lead, strict=True)))
             yield {c: batch[c].filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}
+            lead = [x.copy() for x in lead]
 
-    return written(map_batches(both.select("a", "b", "x", "y"), verify, "a long, b long"), "ngram-links")
+    return written(map_batches(both, verify, "a long, b long"), "ngram-links")
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -353,16 +336,16 @@ def join(docs: DataFrame, k: int = N_WORDS, percent: int = PERCENT) -> DataFrame
     members = reps.join(groups, "prefix_key")
     posts = members.filter("cid = gid").select(F.explode("prefix").alias("token"), "gid", "weight")
     best = F.struct("weight", (-F.col("gid")).alias("id"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("size"), F.max(best).alias("lead"))
+    lists = posts.groupBy("token").agg(F.count("*").alias("size"), F.max(best).alias("lead")).filter("size > 1")
+    lists = written(lists.select("token", "size", (-F.col("lead.id")).alias("leader")), "ngram-leaders")
     # A group of several classes has pairs of its own, whether or not another group shares its shingles.
     many = members.groupBy("gid").agg(F.count("*").alias("classes")).filter("classes > 1").select("gid")
-    met = posts.join(lists.filter("size > 1").select("token", "size", (-F.col("lead.id")).alias("leader")), "token")
-    met = written(met.select("token", "gid", "size", "leader"), "ngram-lists")
+    met = written(spread_join(posts.select("token", "gid"), lists, "token", "size").select("token", "gid", "size", "leader"), "ngram-lists")
 
     classes_of = members.select("gid", "cid")
     pairs = met.select("gid", "leader").filter("gid <> leader").union(many.select("gid", F.col("gid").alias("leader"))).distinct()
-    pairs = pairs.join(classes_of, "gid").filter("cid <> leader").select(F.greatest("cid", "leader").alias("a"), F.least("cid", "leader").alias("b")).distinct()
-    links = _linked(docs, written(_close(pairs, reps, percent), "ngram-pairs"), k, percent)
+    pairs = pairs.join(classes_of, "gid").filter("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
+    links = _linked(docs, _close(pairs, reps, percent), k, percent)
     parts = written(components(links), "ngram-components")
 
     # What remains: lists that still hold several components, and groups likewise.
@@ -370,11 +353,13 @@ def join(docs: DataFrame, k: int = N_WORDS, percent: int = PERCENT) -> DataFrame
     state = state.withColumn("comp", F.coalesce("component", "cid")).drop("component")
     in_lists = met.select("token", "gid").join(classes_of, "gid").select("token", "cid")
     in_groups = many.join(classes_of, "gid").select((-F.abs(F.xxhash64("gid")) - 1).alias("token"), "cid")
-    rows = in_lists.union(in_groups).join(state.select("cid", "comp"), "cid")
-    open_lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "size")
-    rows = rows.select("token", "cid").join(open_lists, "token").join(state, "cid")
-    more = written(_across(rows, percent), "ngram-pairs")
-    links = links.union(_linked(docs, more.join(links, ["a", "b"], "left_anti"), k, percent))
+    rows = in_lists.union(in_groups)
+    open_lists = rows.join(state.select("cid", "comp"), "cid").groupBy("token").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    open_lists = written(open_lists.filter("lo < hi").select("token", "size"), "ngram-open")
+    rows = spread_join(rows, open_lists, "token", "size").join(state, "cid")
+    more = written(_across(rows, percent), "ngram-more")
+    known = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = links.union(_linked(docs, more.join(known, ["a", "b"], "left_anti"), k, percent))
     parts = components(links).withColumnRenamed("node", "cid")
 
     final = classes.join(parts, "cid", "left").select(F.col("whole").alias("of"), F.coalesce("component", "cid").alias("component"))
