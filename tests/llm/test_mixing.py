@@ -55,3 +55,36 @@ def test_same_mix_however_dealt(spark):
 
 def test_empty(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    """A third of all rows has no id, a third repeats one: each row counts, and no source misses its target by more than a document."""
+    rows = [(None, "w " * (1 + i % 5), f"s{i % 3}", "x") for i in range(400)] + [(7, "a b c", "s0", "x")] * 300 + [(i, "w " * (1 + i % 20), f"s{i % 3}", "x") for i in range(100, 400)]
+    sizes = {}
+    for _, text, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    got = mixing.mix(frame(spark, rows), fan=8).collect()
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(i), len(t.split())) for i, t, _, _ in rows)
+    want = filled(sizes)
+    by = {r.source_size: 0 for r in got}
+    assert len(by) == 3  # the sources differ in size, so their rows can be told apart
+    for r in got:
+        by[r.source_size] += r.taken
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r.size
+    for source, t in want.items():
+        assert abs(by[sizes[source]] - t) <= 20
+    for source in range(3):  # rows alike are taken equally often but for one copy
+        alike = [r.copies for r in got if r.doc_id == 7 and r.source_size == sizes["s0"]]
+        assert max(alike) - min(alike) <= 1
+
+
+def test_key_tells_rows_apart(spark):
+    rows = [(1, "a b", "s", "x"), (1, "c d", "s", "y"), (None, "e f", "s", "z")]
+    got = mixing.mix(frame(spark, rows), key="taken")
+    assert {(r.key, r.copies) for r in got.collect()} == {("x", 1), ("y", 1), ("z", 1)}
+
+
+def test_many_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 3)
+    got = mixing.mix(frame(spark, [(5, "a", "s", "x")] * 11)).collect()
+    assert [tuple(r) for r in got] == [(5, 1, 11, 11.0, 1, 1)] * 11
