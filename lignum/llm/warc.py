@@ -46,7 +46,9 @@ def with_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     again = rows.filter(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     again = again.filter("n > 1 AND first IS NOT NULL").select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "first")
-    rows = rows.join(again, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    # Short payloads never revisit: they stay out of the join, where empty ones would all share one key.
+    long = rows.filter(F.col("payload_bytes") >= least).join(again, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
+    rows = long.unionByName(rows.filter(F.col("payload_bytes") < least), allowMissingColumns=True)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_digest", "payload_bytes",
@@ -189,7 +191,8 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                     yield dict(zip(names, zip(*rows, strict=True), strict=True))
 
     ddl = "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return map_batches(manifest.select("file").repartition("file"), run, ddl)
+    # An archive is a task: the manifest is too small for Spark to see how much it stands for.
+    return map_batches(manifest.select("file").repartition(max(1, manifest.count()), "file"), run, ddl)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
