@@ -39,7 +39,9 @@ LEXICON = 30_000
 #: Longest word of the lexicon, in bytes.
 LONGEST = 64
 #: Pieces that a worker keeps beside the lexicon before it starts anew; longer ones aren't kept.
-KEPT, KEPT_BYTES = 400_000, 100
+KEPT, KEPT_BYTES = 1 << 16, 100
+#: Distinct pieces that a task counts before it hands them on.
+COUNTED = 1 << 17
 #: Pieces of so many bytes at most are merged from a plain list of ranks.
 SHORT = 48
 ID_BITS = 32
@@ -272,9 +274,9 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
         for batch in batches:
             for text in batch["text"].to_pylist():
                 total.update(pieces(text))
-            if len(total) >= KEPT:  # what a task holds stays bounded
-                yield out(total)
-                total = Counter()
+                if len(total) >= COUNTED:  # what a task holds stays bounded
+                    yield out(total)
+                    total = Counter()
         yield out(total)
 
     counted = map_batches(docs.select("text").filter(F.col("text").isNotNull()), count, "piece string, n long")

@@ -160,7 +160,8 @@ def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...]
     training only. ``lang_pred`` is ``und`` with score 0 if the text is null or has no letter, or if
     there was nothing to learn from. The score is the winner's share of 2 ** -(code length); of equal
     lengths the language first by code point wins. Rows with a null id count as not held out, and
-    nothing is learned from them. Repeated rows each give a row; an empty table gives none.
+    nothing is learned from them. Repeated rows each give a row; an empty table gives none. A very long
+    text is coded whole, ``SLICE`` bytes at a time.
     """
     model = model or Model(sample(docs))
     shared = docs.sparkSession.sparkContext.broadcast(model)
