@@ -33,17 +33,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once, or up to three times."""
-    mixed = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("size").alias("words"), "copies")
-    # Rows of one id and size share their copies; with unique ids that is each row's own number.
-    mixed = mixed.groupBy("id", "words").agg(F.max("copies").alias("copies"))
-    sized = docs.select(*COLUMNS, mixing.size_of("text").alias("size"))
-    taken = sized.join(mixed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each document as often as the mix takes it: not at all, once, or up to three times.
+
+    Rows are told apart by a 128-bit hash of all their columns, nulls included, so rows without ids each
+    count; rows that are alike in every column share their copies. Documents without words, null texts
+    among them, are in no mix and are dropped. An empty table gives none; other columns are ignored.
+    """
+    marked = [x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]
+    key = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(half), *marked)), 16, "0") for half in (0, 1)])
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    taken = mixing.mix(keyed, key="key").groupBy("key").agg(F.sum("copies").alias("copies"), F.max("size").alias("size")).filter("copies > 0 AND size > 0")
+    rows = keyed.dropDuplicates(["key"]).join(taken.select("key", "copies"), "key")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document taken, as number and digests."""
+    """The token ids of every document taken, as number and digests.
+
+    One row for each row, repeated ones and those without ids included; a null text has no tokens. An empty
+    table gives none; other columns are ignored.
+    """
     return bpe.digests(docs, bpe.default_path())
 
 
