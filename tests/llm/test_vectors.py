@@ -22,8 +22,10 @@ def sound(v):
     return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("tile", [8, 512])
-def test_near_duplicates(spark, tile):
+@pytest.mark.parametrize(("tile", "bucket"), [(8, 256), (512, 256), (512, 4), (8, 4)])
+def test_near_duplicates(spark, monkeypatch, tile, bucket):
+    """With no hash, since the labels are small, and with several."""
+    monkeypatch.setattr(near_vectors, "BUCKET", bucket)
     rows = data()
     got = near_vectors.near_duplicates(spark.createDataFrame(rows, DDL), tile=tile).collect()
     assert len(got) == len(rows)
@@ -65,14 +67,43 @@ def test_estimates_are_unbiased_and_bounded():
     found = []
     for seed in range(600):
         flips = signs(1, 128, seed)[0]
-        _, bits, factor = near_vectors.code_of(a[None], flips)
-        other, _, _ = near_vectors.code_of(b[None], flips)
-        estimate, error = near_vectors.bounds(bits, factor, other)
+        estimate, error = near_vectors.estimates(near_vectors.code_of(a[None], flips, seed), near_vectors.code_of(b[None], flips, seed), 128)
         found.append(estimate[0, 0])
         assert abs(estimate[0, 0] - a @ b) <= error[0, 0]
     assert abs(np.mean(found) - a @ b) < 4 * np.std(found) / np.sqrt(len(found))
 
 
+def test_codes_give_the_product_they_stand_for():
+    x = np.random.default_rng(2).normal(size=(6, 10))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    flips = signs(1, 32, 3)[0]
+    code = near_vectors.code_of(x, flips)
+    estimate, _ = near_vectors.estimates(code, code, 32)
+    y = rotated(near_vectors.padded(x, 32), flips)
+    planes = [np.unpackbits(code["planes"][:, j].copy().view(np.uint8), axis=1, bitorder="little")[:, :32] for j in range(4)]
+    fine = code["low"][:, None] + code["step"][:, None] * sum(p.astype(float) * 2**j for j, p in enumerate(planes))
+    assert np.allclose(estimate, np.where(y >= 0, 1, -1) @ fine.T / np.sqrt(32) / code["factor"][:, None])
+    assert np.abs(fine - y).max() <= code["step"].max() + 1e-9
+
+
+def test_the_chance_to_miss_a_pair_is_bounded():
+    for rows in (100, 10**4, 10**6, 10**9):
+        widths = near_vectors.polytopes(rows, 64)
+        chance = np.prod([near_vectors.shared(w, 0.98) for w in widths]) if widths else 1
+        assert (1 - chance) ** near_vectors.rotations(widths, 0.98) <= near_vectors.MISS
+        assert rows / np.prod([2 * w for w in widths]) < 1024
+
+
+def test_all_pairs_of_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    x, label, ids = np.array([r.embedding for r in rows], dtype=np.float64), np.array([r.label for r in rows]), np.array([r.vec_id for r in rows])
+    linked = (x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in near_vectors.near_duplicates(df).collect()}
+    assert got == dict(zip(ids.tolist(), linked.sum(axis=1).tolist(), strict=True))
+
+
 def test_rotations_keep_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32))
     assert np.allclose(hadamard(hadamard(x)), x)
