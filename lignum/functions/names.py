@@ -21,6 +21,8 @@ LONGEST, LONGEST_EXT, LONGEST_CLIENT = 255, 32, 32
 LAZY = ("node_modules", ".git", "target", ".venv", "venv", "__pycache__", ".next", "dist", "build", ".cache", ".gradle", ".tox", ".mypy_cache", ".pytest_cache")
 #: The word in display names of colliding items.
 MARKER = "copy"
+#: What staging files begin with, unless a caller says otherwise.
+STAGING = ".staging-"
 
 
 def cut(text: Column, most: Column | int) -> Column:
@@ -84,7 +86,7 @@ def numbered_base(name: Column) -> Column:
 
 def client_name(name: Column) -> Column:
     """Without slashes and control characters, at most 32 bytes, trimmed; ``mac`` if nothing is left."""
-    clean = F.trim(cut(F.regexp_replace(name, r"[/\p{Cc}]", ""), LONGEST_CLIENT))
+    clean = F.regexp_replace(cut(F.regexp_replace(name, r"[/\p{Cc}]", ""), LONGEST_CLIENT), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
     return F.when(clean == "", "mac").otherwise(clean)
 
 
@@ -100,9 +102,10 @@ def is_lazy(name: Column, names: tuple[str, ...] = LAZY) -> Column:
     return name.isin(*names)
 
 
-def is_ignored(name: Column) -> Column:
-    """Staging files and remains of network file systems."""
-    return name.rlike(r"^\.[a-z]+-[0-9a-f]{32}$") | F.startswith(name, F.lit(".nfs"))
+def is_ignored(name: Column, prefix: str = STAGING) -> Column:
+    """Staging files, whose prefix is followed by 32 hexadecimal digits of either case and anything, and remains of network file systems."""
+    digits = F.substring(name, len(prefix) + 1, 32)
+    return (F.startswith(name, F.lit(prefix)) & digits.rlike(r"^[0-9a-fA-F]{32}$")) | F.startswith(name, F.lit(".nfs"))
 
 
 @F.pandas_udf(StringType())
@@ -191,7 +194,7 @@ QUERIES = {
     "name_parts": lambda s, d: _columns(s, d),
     "name_bounces": lambda s, d: _names(s, d).select("p_partkey", is_bounce(F.col("name"), numbered(F.col("name"), (F.col("p_partkey") % 5).cast("int"))).alias("bounce")),
     "client_names": lambda s, d: read(s, d, "customer").select("c_custkey", client_name(F.concat(F.lit("/ "), "c_name", F.lit("\t"), "c_mktsegment", F.lit(" end of it"))).alias("client")),
-    "fold_keys": lambda s, d: read(s, d, "documents").select("doc_id", F.length(fold_key(F.substring("text", 1, 60))).alias("n")),
+    "fold_keys": lambda s, d: read(s, d, "documents").select("doc_id", fold_key("text").alias("key")),
     "terminal_names": lambda s, d: read(s, d, "part").select("p_partkey", for_terminal(F.concat("p_name", F.lit("\t"))).alias("shown")),
     "display_names": lambda s, d: display_names(_twins(s, d)),
 }

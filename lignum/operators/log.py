@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lignum.session import stored
 from lignum.sources.relations import VIEWS, change_log, folders_shown, seq_times
 
 
@@ -151,10 +152,18 @@ def expired(clients: DataFrame, horizon: int, now: int) -> DataFrame:
     return clients.select("client", "anchor", ((F.col("anchor") < horizon) | (F.col("anchor") > now)).alias("expired"))
 
 
+def numbered(rows: DataFrame, *by) -> DataFrame:
+    """Adds ``at``, from 1 in the order ``by``. Ranges of the order are numbered in parallel; each adds what is before it."""
+    parts = stored(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()), "ranges")
+    inner = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*by)))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inner.join(before.select("part", "before"), "part").withColumn("at", (F.col("k") + F.col("before")).cast("long")).drop("part", "k", "before")
+
+
 def upserts_then_removals(log: DataFrame) -> DataFrame:
     """One batch in publishing order: upserts in their order, then removals, numbered from 1."""
-    at = F.row_number().over(Window.orderBy((F.col("op") == "remove").cast("int"), "seq"))
-    return log.select("seq", "id", "op", at.cast("long").alias("at"))
+    return numbered(log.select("seq", "id", "op", (F.col("op") == "remove").cast("int").alias("last")), "last", "seq").drop("last")
 
 
 def _clients(log: DataFrame) -> DataFrame:
@@ -200,10 +209,10 @@ QUERIES = {
     "seq_times_thinned": lambda s, d: thinned(change_log(s, d).select("seq", "wall_ns"), 240_000_000_000),
     "journal_replay": lambda s, d: replay(change_log(s, d).withColumn("good", F.col("seq") % 8191 != 0)),
     "batch_masks": lambda s, d: batch_masks(_events(s, d)),
-    "touched_ids": lambda s, d: touched(change_log(s, d).filter("seq > 500")),
+    "touched_ids": lambda s, d: touched(change_log(s, d)),
     "unpaired_moves": lambda s, d: unpaired_moves(_events(s, d)),
     "expired_anchors": lambda s, d: expired(_clients(change_log(s, d)), 2000, 8000),
-    "publish_order": lambda s, d: upserts_then_removals(change_log(s, d).filter("seq BETWEEN 100 AND 200")),
+    "publish_order": lambda s, d: upserts_then_removals(change_log(s, d)),
 }
 
 _SINCE = """, prior AS (SELECT *, last_value(parent IGNORE NULLS) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old_parent FROM change_log WHERE seq <= {upto}),
@@ -236,9 +245,9 @@ FROM (SELECT client, anchor, (SELECT count(*) FROM tombs WHERE seq > anchor) AS
     "seq_times_thinned": "WITH change_log AS ({v}) SELECT seq, wall_ns FROM (SELECT seq, wall_ns, wall_ns - lag(wall_ns) OVER (PARTITION BY seq // 1000000 ORDER BY seq) AS gap FROM change_log) WHERE gap IS NULL OR gap >= 240000000000",
     "journal_replay": "WITH change_log AS ({v}), good AS (SELECT * FROM change_log WHERE seq < coalesce((SELECT min(seq) FROM change_log WHERE seq % 8191 = 0), 9e18)) SELECT id, seq, op, parent, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r FROM good) WHERE r = 1",
     "batch_masks": f"WITH change_log AS ({{v}}), {EVENTS} SELECT dir, name, bit_or(mask) AS mask, min(pos) AS pos, count(*) AS n FROM events2 GROUP BY 1, 2",
-    "touched_ids": "WITH change_log AS ({v}) SELECT id FROM change_log WHERE seq > 500 UNION SELECT parent FROM change_log WHERE seq > 500 AND parent IS NOT NULL",
+    "touched_ids": "WITH change_log AS ({v}) SELECT id FROM change_log UNION SELECT parent FROM change_log WHERE parent IS NOT NULL",
     "unpaired_moves": f"WITH change_log AS ({{v}}), {EVENTS} SELECT pos, cookie FROM events2 WHERE half = 'from' AND cookie NOT IN (SELECT cookie FROM events2 WHERE half = 'to')",
     "expired_anchors": f"WITH change_log AS ({{v}}){_CLIENTS} SELECT client, anchor, anchor < 2000 OR anchor > 8000 AS expired FROM clients",
-    "publish_order": "WITH change_log AS ({v}) SELECT seq, id, op, row_number() OVER (ORDER BY op = 'remove', seq) AS at FROM change_log WHERE seq BETWEEN 100 AND 200",
+    "publish_order": "WITH change_log AS ({v}) SELECT seq, id, op, row_number() OVER (ORDER BY op = 'remove', seq) AS at FROM change_log",
 }
 ORACLE_SQL = {k: q.replace("{v}", VIEWS["change_log"]).replace("{f}", VIEWS["folders_shown"]) for k, q in _ORACLES.items()}

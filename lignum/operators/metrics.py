@@ -14,7 +14,7 @@ LIMITS = {
     ("T1", "list_1000_p50_ms"): 0.5,
     ("T2", "stat_p50_us"): 20.0,
     ("T6", "open_small_warm_p50_ms"): 1.0,
-    ("T12", "rss_bytes_per_entry"): 250.0,
+    ("T12", "daemon_rss_bytes_per_entry"): 250.0,
     ("T14", "bytes_moved_ratio"): 2.0,
     ("T16", "restart_welcome_ms"): 200.0,
     ("T16", "restart_snapshot_bytes"): 0.0,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.operators.tree import closure
+from lignum.operators.tree import above, subtree, with_ancestors
+from lignum.session import stored
 from lignum.sources.relations import LEVEL, items, read, with_views
 
 TRASH = -1
@@ -49,7 +50,7 @@ def rename_outcomes(proposals: DataFrame, tree: DataFrame) -> DataFrame:
     """
     live = tree.select("id", F.col("parent").alias("now_parent"), F.col("name").alias("now_name"))
     target = tree.filter("kind = 'Dir'").select(F.col("id").alias("parent"), F.lit(True).alias("folder"))
-    inside = closure(tree).select(F.col("id").alias("parent"), F.col("ancestor").alias("id"), F.lit(True).alias("below"))
+    inside = above(tree, proposals.select(F.col("parent").alias("id"))).select(F.col("id").alias("parent"), F.col("ancestor").alias("id"), F.lit(True).alias("below"))
     taken = tree.select("parent", "name", F.lit(True).alias("taken"))
     both = proposals.join(live, "id", "left").join(target, "parent", "left").join(inside, ["parent", "id"], "left").join(taken, ["parent", "name"], "left")
     there = (F.col("now_parent") == F.col("parent")) & (F.col("now_name") == F.col("name"))
@@ -60,10 +61,9 @@ def rename_outcomes(proposals: DataFrame, tree: DataFrame) -> DataFrame:
 
 def kept_on_remove(tree: DataFrame, root: int, seen_seq: int) -> DataFrame:
     """``id, kept`` of a removed subtree: what changed after the client saw it stays, with all folders above it."""
-    below = closure(tree).join(tree.select("id", "seq"), "id")
-    inside = below.filter(F.col("ancestor") == root).select("id", "seq")
+    inside = stored(subtree(tree, tree.filter(F.col("id") == root)).select("id").join(tree.select("id", "seq"), "id"), "removed")
     newer = inside.filter(F.col("seq") > seen_seq).select("id")
-    stays = closure(tree).join(newer, "id", "left_semi").select(F.col("ancestor").alias("id")).distinct().withColumn("kept", F.lit(True))
+    stays = with_ancestors(tree, newer).withColumn("kept", F.lit(True))
     return inside.select("id").join(stays, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -169,7 +169,9 @@ SELECT doc_id AS op, CASE WHEN doc_id % 33 = 0 AND doc_id < 1000 THEN 'stored' W
 FROM items i WHERE parent IS NOT NULL AND kind = 'Dir'""", "items"
     ),
     "kept_on_remove": with_views(
-        f"""SELECT c.id, c.id IN (SELECT n.ancestor FROM closure n JOIN items i ON i.id = n.id WHERE i.seq > 5000 AND i.id IN (SELECT id FROM closure WHERE ancestor = {LEVEL + 2})) AS kept FROM closure c WHERE c.ancestor = {LEVEL + 2}""", "items", "closure"
+        f""", inside AS MATERIALIZED (SELECT id FROM closure WHERE ancestor = {LEVEL + 2}),
+stays AS MATERIALIZED (SELECT DISTINCT n.ancestor AS id FROM closure n JOIN items i ON i.id = n.id JOIN inside ON inside.id = n.id WHERE i.seq > 5000)
+SELECT inside.id, stays.id IS NOT NULL AS kept FROM inside LEFT JOIN stays ON stays.id = inside.id""", "items", "closure"
     ),
     "scanned": with_views(
         """SELECT parent, name || CASE id % 8 WHEN 1 THEN ' new' WHEN 2 THEN ' moved' ELSE '' END AS name, CASE WHEN id % 8 IN (1, 5) THEN NULL ELSE id END AS id,
@@ -182,3 +184,4 @@ FROM items i WHERE parent IS NOT NULL AND kind = 'Dir'""", "items"
         """SELECT id AS op, CASE WHEN id % 10 = 9 THEN 'done' WHEN parent IS NULL OR id % 3 = 2 OR (id % 2 = 1 AND EXISTS (SELECT 1 FROM items c WHERE c.parent = i.id)) THEN 'rejected' ELSE 'deleted' END AS outcome FROM items i""", "items"
     ),
 }
+ORACLE_SQL["kept_on_remove"] = ORACLE_SQL["kept_on_remove"].replace(")\n, inside", "),\ninside")

@@ -1,16 +1,17 @@
 """Trees given by parent pointers: paths, closures, subtrees.
 
 Walks double their reach with each join, so a tree of depth d takes log2(d) rounds and no row's walk
-is followed one step at a time. Rounds end when no pointer is left, or at 4096 levels.
+is followed one step at a time. A walk starts from the rows asked for only. Each round is written to the
+shared folder, so plans don't grow, and a walk ends when a round adds nothing, or at 4096 levels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.operators.log import change_log, tombstones
-from lignum.session import DEPTH
+from lignum.operators.log import change_log, numbered, tombstones
+from lignum.session import DEPTH, stored
 from lignum.sources.relations import LEVEL, ROOT, VIEWS, folders_shown, items, materialized, with_views
 
 
@@ -31,31 +32,58 @@ def paths(tree: DataFrame, root: int = ROOT, deepest: int = DEPTH) -> DataFrame:
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.col("up").isNotNull().alias("moved"),
         )
-        walk = walk.cache()  # the flag below and the next round read it
-        if not walk.filter("moved AND top IS NOT NULL").limit(1).count():
+        walk = stored(walk, "paths")
+        if walk.filter("moved AND top IS NOT NULL").isEmpty():
             break
         walk = walk.drop("moved")
     whole = walk.select("id", F.when(F.col("top").isNull(), F.col("path")).alias("path"), F.when(F.col("top").isNull(), F.col("depth")).alias("depth"))
     return tree.join(whole, "id")
 
 
-def closure(tree: DataFrame, deepest: int = DEPTH) -> DataFrame:
-    """``id, ancestor, distance`` of every row and each of its ancestors, itself included at 0.
+def _walk(tree: DataFrame, reach: DataFrame, down: bool, deepest: int = DEPTH) -> DataFrame:
+    """Extends ``id, ancestor, distance`` to all ancestors of each ``id``, or down to all that lie below each ``ancestor``.
 
-    The table has as many rows as the tree has levels for each item. A round joins what has been reached
-    with the pointers of twice the distance.
+    A round joins what has been reached with the pointers of twice the distance. Items on a cycle or below
+    one have no root: of what lies above or below them only they themselves are given.
     """
-    reach = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    jump = tree.filter("parent IS NOT NULL").select("id", F.col("parent").alias("up"))
-    step = 1
+    jump = stored(tree.filter("parent IS NOT NULL").select("id", F.col("parent").alias("up")), "jumps")
+    parts, step = [stored(reach.select("id", "ancestor", F.col("distance").cast("int").alias("distance")), "reach")], 1
     while step < deepest:
-        more = reach.join(jump.withColumnRenamed("id", "ancestor"), "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + step).alias("distance"))
-        reach = reach.union(more)
-        jump = jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")).cache()
+        known = parts[0]
+        for more in parts[1:]:
+            known = known.union(more)
+        if down:
+            more = jump.join(known.select(F.col("id").alias("up"), "ancestor", "distance"), "up").select("id", "ancestor", (F.col("distance") + step).alias("distance"))
+        else:
+            more = known.join(jump.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + step).alias("distance"))
+        more = stored(more, "reach")
+        if more.isEmpty():
+            return known
+        parts.append(more)
+        jump = stored(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")), "jumps")
         step *= 2
-        if not jump.limit(1).count():
-            break
-    return reach
+    known = parts[0]
+    for more in parts[1:]:
+        known = known.union(more)
+    endless = jump.select("id").distinct()
+    return known.join(endless, "id", "left_anti").union(parts[0].join(endless, "id", "left_semi"))
+
+
+def _themselves(ids: DataFrame) -> DataFrame:
+    return ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+
+
+def closure(tree: DataFrame) -> DataFrame:
+    """``id, ancestor, distance`` of every row and each of its ancestors, itself included at 0.
+
+    The table has as many rows as the tree has levels for each item; :func:`above` and :func:`subtree` take less.
+    """
+    return _walk(tree, _themselves(tree), down=False)
+
+
+def above(tree: DataFrame, ids: DataFrame) -> DataFrame:
+    """The closure of the items ``ids`` only."""
+    return _walk(tree, _themselves(tree.join(ids.select("id").distinct(), "id", "left_semi")), down=False)
 
 
 def child_counts(tree: DataFrame) -> DataFrame:
@@ -64,17 +92,18 @@ def child_counts(tree: DataFrame) -> DataFrame:
 
 def subtree(tree: DataFrame, roots: DataFrame) -> DataFrame:
     """Items at or below any of ``roots`` (``id``): ``id, root, distance``."""
-    return closure(tree).join(roots.select(F.col("id").alias("ancestor")), "ancestor").select("id", F.col("ancestor").alias("root"), "distance")
+    start = _themselves(tree.join(roots.select("id").distinct(), "id", "left_semi"))
+    return _walk(tree, start, down=True).select("id", F.col("ancestor").alias("root"), "distance")
 
 
 def with_ancestors(tree: DataFrame, ids: DataFrame) -> DataFrame:
     """``ids`` and all their ancestors, once each."""
-    return closure(tree).join(ids.select("id"), "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
+    return above(tree, ids).select(F.col("ancestor").alias("id")).distinct()
 
 
 def would_cycle(tree: DataFrame, proposals: DataFrame) -> DataFrame:
     """For proposed moves ``id, parent``: whether the new parent lies in the item's own subtree."""
-    up = closure(tree).select(F.col("id").alias("parent"), F.col("ancestor").alias("id"), F.lit(True).alias("hit"))
+    up = above(tree, proposals.select(F.col("parent").alias("id"))).select(F.col("id").alias("parent"), F.col("ancestor").alias("id"), F.lit(True).alias("hit"))
     return proposals.join(up, ["id", "parent"], "left").select("id", "parent", F.coalesce("hit", F.lit(False)).alias("cycle"))
 
 
@@ -87,8 +116,9 @@ def remove_subtree(tree: DataFrame, roots: DataFrame, seq: int) -> DataFrame:
 def drop_order(tree: DataFrame, candidates: DataFrame, keep: DataFrame) -> DataFrame:
     """Candidates and what lies below them, except ``keep`` and its ancestors; deepest first, then by id, numbered from 1."""
     gone = subtree(tree, candidates).select("id").distinct().join(with_ancestors(tree, keep), "id", "left_anti")
-    deep = closure(tree).groupBy("id").agg(F.max("distance").alias("depth"))
-    return gone.join(deep, "id").select("id", "depth", F.row_number().over(Window.orderBy(F.desc("depth"), "id")).cast("long").alias("at"))
+    gone = stored(gone, "gone")
+    deep = above(tree, gone).groupBy("id").agg(F.max("distance").alias("depth"))
+    return numbered(deep, F.desc("depth"), F.asc("id")).select("id", "depth", "at")
 
 
 def held_below(tree: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
@@ -97,13 +127,8 @@ def held_below(tree: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def breadth_first(tree: DataFrame) -> DataFrame:
-    """All items, parents before children: ``id, depth, at``. Ranges of the order are numbered in parallel."""
-    deep = closure(tree).groupBy("id").agg(F.max("distance").alias("depth"))
-    parts = deep.repartitionByRange("depth", "id").withColumn("part", F.spark_partition_id())
-    inner = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("depth", "id")))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(before.select("part", "before"), "part").select("id", "depth", (F.col("k") + F.col("before")).cast("long").alias("at"))
+    """All items, parents before children: ``id, depth, at``."""
+    return numbered(closure(tree).groupBy("id").agg(F.max("distance").alias("depth")), "depth", "id").select("id", "depth", "at")
 
 
 def ancestor_names(tree: DataFrame) -> DataFrame:
@@ -118,23 +143,24 @@ def resolve(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(paths(tree).select("path", "id"), "path", "left").select("path", "id")
 
 
-def tombstones_reported(tombs: DataFrame, shown: DataFrame, rounds: int = 12) -> DataFrame:
+def tombstones_reported(tombs: DataFrame, shown: DataFrame, rounds: int = 64) -> DataFrame:
     """Tombstones that a client hears of: its own id is shown, or its folder is, or the folder's own later tombstone is reported.
 
     ``tombs`` has ``id, seq, old_parent``, one for each id. Pointers to the folder's later tombstone double their
-    reach each round, and what is reported flows down them.
+    reach each round, and what is reported flows down them. Sequence numbers grow along a chain, so it ends.
     """
     t = tombs.select("id", "seq", "old_parent")
     own = t.join(shown.select("id", F.lit(True).alias("a")), "id", "left").join(shown.select(F.col("id").alias("old_parent"), F.lit(True).alias("b")), "old_parent", "left")
     own = own.select("id", "seq", "old_parent", (F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))).alias("said"))
     later = t.select(F.col("id").alias("old_parent"), F.col("seq").alias("later"))
-    state = own.join(later, "old_parent", "left").select("id", "seq", "old_parent", "said", F.when(F.col("later") > F.col("seq"), F.col("old_parent")).alias("up")).cache()
+    state = own.join(later, "old_parent", "left").select("id", "seq", "old_parent", "said", F.when(F.col("later") > F.col("seq"), F.col("old_parent")).alias("up"))
+    state = stored(state, "reported")
     for _ in range(rounds):
+        if state.filter("up IS NOT NULL").isEmpty():
+            return state.filter("said").select("id", "seq", "old_parent")
         above = state.select(F.col("id").alias("up"), F.col("said").alias("above"), F.col("up").alias("far"))
-        state = state.join(above, "up", "left").select("id", "seq", "old_parent", (F.col("said") | F.coalesce("above", F.lit(False))).alias("said"), F.col("far").alias("up")).cache()
-        if not state.filter("up IS NOT NULL").limit(1).count():
-            break
-    return state.filter("said").select("id", "seq", "old_parent")
+        state = stored(state.join(above, "up", "left").select("id", "seq", "old_parent", (F.col("said") | F.coalesce("above", F.lit(False))).alias("said"), F.col("far").alias("up")), "reported")
+    raise RuntimeError(f"chains of tombstones did not end in {rounds} rounds")
 
 
 def _roots(s, d):

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Recursive walks may be this deep.
 DEPTH = 4096
@@ -35,3 +35,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="lignum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/lignum/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage, and a lost executor costs a reread only."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -49,6 +49,25 @@ def test_paths_of_detached_and_cyclic_items(spark):
     assert got[5] == got[6] == (None, None) and got[4] == (None, None)
 
 
+def test_walks_of_deep_and_cyclic_trees(spark):
+    rows = [(1, None)] + [(i, i - 1) for i in range(2, 301)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000)]
+    t = spark.createDataFrame(rows, "id long, parent long")
+    only = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    assert {(r.ancestor, r.distance) for r in tree.above(t, only(300, 7777)).collect()} == {(300 - k, k) for k in range(300)}
+    assert sorted((r.id, r.distance) for r in tree.subtree(t, only(200)).collect()) == [(200 + k, k) for k in range(101)]
+    assert sorted(tuple(r) for r in tree.above(t, only(1003, 1001)).collect()) == [(1001, 1001, 0), (1003, 1003, 0)]
+    moves = spark.createDataFrame([(5, 300), (300, 5), (7, 7)], "id long, parent long")
+    assert {(r.id, r.parent): r.cycle for r in tree.would_cycle(t, moves).collect()} == {(5, 300): True, (300, 5): False, (7, 7): True}
+
+
+def test_ignored_names(spark):
+    hexes = "0123456789abcdefABCDEF0123456789"
+    cases = {".staging-" + hexes: True, ".staging-" + hexes + ".part": True, ".staging-" + hexes[:-1] + "g": False, ".build-" + hexes: False, ".nfs01": True, "a.nfs": False, ".staging-": False}
+    for name, want in cases.items():
+        assert one(spark, names.is_ignored(F.lit(name))) == want, name
+    assert one(spark, names.is_ignored(F.lit(".tmp-" + hexes), ".tmp-")) and one(spark, names.client_name(F.lit("\u00a0 mac book\u3000"))) == "mac book"
+
+
 def test_bytes_and_characters(spark):
     e = "é"
     assert one(spark, names.cut(F.lit(e * 10), 7)) == e * 3
