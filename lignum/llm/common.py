@@ -89,5 +89,6 @@ def map_batches(df: DataFrame, run, ddl: str) -> DataFrame:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in run(batches):
             yield pa.RecordBatch.from_pydict(columns, schema=schema)
+        pa.default_memory_pool().release_unused()  # workers wait for their next task, and hold no more than they need
 
     return df.mapInArrow(mapped, ddl)
