@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ def test_marginals_are_exact():
     draw = np.random.default_rng(1)
     w, e = draw.normal(size=h.N_FEATURES), draw.normal(size=(2, 2))
     n = len(forest.parent)
-    score = forest.features @ w
+    score = forest.scores(w)
     single, pair, z = np.zeros((n, 2)), np.zeros((n, 2, 2)), 0.0
     for y in itertools.product((0, 1), repeat=n):
         p = np.exp(sum(score[i] * y[i] + (e[y[forest.parent[i]], y[i]] if forest.parent[i] >= 0 else 0) for i in range(n)))
@@ -33,9 +34,7 @@ def test_held_out_pages():
     single = keep.marginals(w, e)[0][:, 1] > 0.5
     right = total = 0
     for t, first in zip(trees, keep.first, strict=False):
-        own = []
-        for parent, mark in zip(t.parent, t.marks, strict=True):
-            own.append(int(mark) if mark is not None else own[parent] if parent >= 0 else 0)
+        own = t.made_labels()
         for b, text, _ in t.blocks():
             right += len(text) * (own[b] == single[first + b])
             total += len(text)
@@ -77,3 +76,36 @@ def test_articles_of_the_tables(spark, sf):
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|div)>", inner)]
         same += "\n".join(x for x in parts if x) == r.text
     assert same >= 0.98 * len(rows)
+    assert all(r.text for r in rows)
+
+
+def test_labels_of_found_pages():
+    tree = h.Tree("<body><nav>a</nav><main><header>b</header><p>c</p><div class='ad'><p>d</p></div><section><p>e</p></section></main><p>f</p>")
+    labels = tree.found_labels()
+    assert [text for b, text, _ in tree.blocks() if labels[b]] == ["c", "e"]
+    assert h.Tree("<p>x</p>").found_labels() is None
+    assert h.Tree("<main>x</main><main>y</main>").found_labels() is None
+
+
+PROSE = "The river rose in the night, and by morning the lower fields were under water. Nobody had seen it so high before."
+LAYOUTS = {  # none of these is made for training
+    "plain": f"<h1>Flood</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p>",
+    "one block": f"<html><body><p>{PROSE} {PROSE}</p></body></html>",
+    "cells": f"<table border=0><tbody><tr><td width=90><a href=1>Home</a><br><a href=2>News</a></td><td><center><h2>Flood</h2></center><p>{PROSE}<p>{PROSE}</td></tr></tbody></table>",
+    "grid": f"<div class='row'><div class='col-8'><h2>Flood</h2><p>{PROSE}</p><p>{PROSE}</p></div><div class='col-4'><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div></div>",
+    "nested": f"<div><div><div><div><div>{PROSE}</div><div>{PROSE}</div></div></div></div></div>",
+    "columns": f"<section><section><p>{PROSE}</p><dl><dt>Depth</dt><dd>{PROSE}</dd></dl></section></section>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_foreign_layouts(layout):
+    text = h.main_text([LAYOUTS[layout]], *h.default_model())[0]
+    assert text.count(PROSE) == LAYOUTS[layout].count(PROSE)
+    assert "Home" not in text and "News" not in text
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    assert h.main_text(["<div>" * 100_000 + PROSE], *h.default_model()) in ([PROSE], [""])
+    assert time.time() - began < 10
