@@ -119,12 +119,6 @@ def as_of(keys: DataFrame, samples: DataFrame, key: str, at: str, value: str) ->
     return out.select(*keys.columns, value)
 
 
-def thinned(times: DataFrame, gap_ns: int) -> DataFrame:
-    """Samples at least ``gap_ns`` after the sample before them, and the first."""
-    before = F.lag("wall_ns").over(Window.partitionBy((F.col("seq") / 1_000_000).cast("long")).orderBy("seq"))
-    return times.withColumn("gap", F.col("wall_ns") - before).filter(F.col("gap").isNull() | (F.col("gap") >= gap_ns)).select("seq", "wall_ns")
-
-
 def replay(journal: DataFrame) -> DataFrame:
     """A journal up to its first bad record, folded: ``journal`` has the log's columns and ``good``."""
     bad = journal.filter(~F.col("good")).agg(F.min("seq").alias("stop"))
@@ -206,7 +200,6 @@ QUERIES = {
     "gc_horizon": lambda s, d: _gc(s, d).agg(F.max("seq").alias("horizon"), F.count("*").alias("dropped")),
     "time_of_seq": lambda s, d: as_of(change_log(s, d).select("seq", "id"), seq_times(s, d).withColumnRenamed("seq", "sample"), "seq", "sample", "wall_ns"),
     "server_seq_at": lambda s, d: as_of(_clients(change_log(s, d)), seq_times(s, d).select((F.col("seq") * 3).alias("local_seq"), F.col("seq").alias("server_seq")), "anchor", "local_seq", "server_seq"),
-    "seq_times_thinned": lambda s, d: thinned(change_log(s, d).select("seq", "wall_ns"), 240_000_000_000),
     "journal_replay": lambda s, d: replay(change_log(s, d).withColumn("good", F.col("seq") % 8191 != 0)),
     "batch_masks": lambda s, d: batch_masks(_events(s, d)),
     "touched_ids": lambda s, d: touched(change_log(s, d)),
@@ -242,7 +235,6 @@ FROM (SELECT client, anchor, (SELECT count(*) FROM tombs WHERE seq > anchor) AS
     "gc_horizon": f"WITH change_log AS ({{v}}){_TOMBS}{_DROPPED} SELECT max(seq) AS horizon, count(*) AS dropped FROM dropped",
     "time_of_seq": "WITH change_log AS ({v}), times AS (SELECT seq AS sample, wall_ns FROM change_log WHERE seq % 50 = 0) SELECT c.seq, c.id, t.wall_ns FROM change_log c ASOF LEFT JOIN times t ON c.seq >= t.sample",
     "server_seq_at": f"WITH change_log AS ({{v}}){_CLIENTS}, t AS (SELECT seq * 3 AS local_seq, seq AS server_seq FROM change_log WHERE seq % 50 = 0) SELECT client, anchor, server_seq FROM clients ASOF LEFT JOIN t ON anchor >= local_seq",
-    "seq_times_thinned": "WITH change_log AS ({v}) SELECT seq, wall_ns FROM (SELECT seq, wall_ns, wall_ns - lag(wall_ns) OVER (PARTITION BY seq // 1000000 ORDER BY seq) AS gap FROM change_log) WHERE gap IS NULL OR gap >= 240000000000",
     "journal_replay": "WITH change_log AS ({v}), good AS (SELECT * FROM change_log WHERE seq < coalesce((SELECT min(seq) FROM change_log WHERE seq % 8191 = 0), 9e18)) SELECT id, seq, op, parent, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r FROM good) WHERE r = 1",
     "batch_masks": f"WITH change_log AS ({{v}}), {EVENTS} SELECT dir, name, bit_or(mask) AS mask, min(pos) AS pos, count(*) AS n FROM events2 GROUP BY 1, 2",
     "touched_ids": "WITH change_log AS ({v}) SELECT id FROM change_log UNION SELECT parent FROM change_log WHERE parent IS NOT NULL",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.sources.relations import change_log, measurements, read, with_views
+from lignum.sources.relations import measurements, read, with_views
 
 #: Differences below these are noise, by unit.
 NOISE = {"us": 5.0, "ms": 0.25, "s": 0.05, "B/entry": 10.0, "bytes": 4096.0, "Mbit/s": 1.0}
@@ -161,17 +161,6 @@ def reasons(m: DataFrame) -> DataFrame:
     return lacking.groupBy("status").agg(F.array_join(ids, ", ").alias("ids"))
 
 
-def rate_slices(log: DataFrame, width_ns: int, longest_ns: int) -> DataFrame:
-    """Changes per slice of time, slices that span too long left out, with the best of the last ten and the last best rates.
-
-    Slices are numbered within days, so that days run in parallel.
-    """
-    s = log.withColumn("slice", F.floor(F.col("wall_ns") / width_ns)).groupBy("slice").agg(F.count("*").alias("n"), F.min("wall_ns").alias("low"), F.max("wall_ns").alias("high"))
-    s = s.filter(F.col("high") - F.col("low") <= longest_ns).withColumn("day", F.floor(F.col("low") / 86_400_000_000_000))
-    recent = Window.partitionBy("day").orderBy("slice").rowsBetween(-9, 0)
-    return s.select("slice", "n", F.max("n").over(recent).alias("best"))
-
-
 def first_seen(m: DataFrame, at: str) -> DataFrame:
     """(id, metric) pairs in the order of their first appearance within each id's place."""
     return m.groupBy("id", "metric").agg(F.min(at).alias("first"), F.min(id_order(F.col("id"))).alias("place"))
@@ -221,7 +210,6 @@ QUERIES = {
     "regressions": lambda s, d: regressions(*_runs(s, d), 0.1).select("id", "system", "profile", "reason"),
     "scorecard": lambda s, d: scorecard(measurements(s, d)),
     "lacking_reasons": lambda s, d: reasons(measurements(s, d)),
-    "rate_slices": lambda s, d: rate_slices(change_log(s, d), 3_600_000_000_000, 3_500_000_000_000),
     "first_seen": lambda s, d: first_seen(measurements(s, d), "samples"),
     "extrapolated": lambda s, d: extrapolated(read(s, d, "events").filter("event_type = 'view'").select(F.col("value").alias("elapsed"), (F.col("user_id") * 100).alias("total"))),
 }
@@ -264,10 +252,6 @@ SELECT * FROM r WHERE reason IS NOT NULL""", *_MEASURES
 FROM (SELECT *, {_CELL} AS c FROM measurements) GROUP BY profile, id, metric""", *_MEASURES
     ),
     "lacking_reasons": with_views(f"SELECT status, string_agg(id, ', ' ORDER BY {_ORDER}) AS ids FROM (SELECT DISTINCT status, id FROM measurements WHERE status <> 'ok') GROUP BY 1", *_MEASURES),
-    "rate_slices": with_views(
-        """SELECT slice, n, max(n) OVER (PARTITION BY low // 86400000000000 ORDER BY slice ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS best FROM (
-SELECT wall_ns // 3600000000000 AS slice, count(*) AS n, min(wall_ns) AS low, max(wall_ns) AS high FROM change_log GROUP BY 1) WHERE high - low <= 3500000000000""", "change_log"
-    ),
     "first_seen": with_views(f"SELECT id, metric, min(samples) AS first, min({_ORDER}) AS place FROM measurements GROUP BY 1, 2", *_MEASURES),
     "extrapolated": "SELECT round(sum(value) * max(user_id * 100) / count(*), 6) AS estimate FROM events WHERE event_type = 'view'",
 }

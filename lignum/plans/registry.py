@@ -9,6 +9,7 @@ MODULES = (
     "lignum.operators.tree",
     "lignum.operators.workset",
     "lignum.operators.metrics",
+    "lignum.operators.sampling",
     "lignum.operators.budget",
     "lignum.operators.mutations",
     "lignum.operators.check",
