@@ -16,6 +16,7 @@ MODULES = (
     "lignum.streaming.changes",
     "lignum.functions.names",
     "lignum.functions.rules",
+    "lignum.operators.listing",
 )
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
