@@ -102,7 +102,7 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
 def _texts(s: SparkSession, d: str) -> DataFrame:
     p = F.col("p_partkey")
     text = F.concat_ws("\n", F.concat("p_name", F.lit(" #"), p.cast("string")), F.concat(F.lit(" size = "), F.col("p_size").cast("string")), F.lit("none"), F.concat(F.lit("brand=a="), F.col("p_brand")), F.lit("size=last "))
-    tagged = F.when(p % 3 == 0, F.concat("p_brand", F.lit("#"), p.cast("string"), F.lit("99999999999999999\nmore#1"))).when(p % 3 == 1, F.concat(F.lit("x#+0"), p.cast("string"))).otherwise("no number#")
+    tagged = F.when(p % 3 == 0, F.concat("p_name", F.lit("#"), p.cast("string"), F.lit("99999999999999999\nmore#1"))).when(p % 3 == 1, F.concat(F.lit("x#+0"), p.cast("string"))).otherwise("no number#")
     return read(s, d, "part").select(p.cast("long").alias("id"), text.alias("text"), tagged.alias("tagged"))
 
 
@@ -139,7 +139,7 @@ ORACLE_SQL = {
     ),
     "fold_groups": "SELECT CAST(p_size % 5 AS BIGINT) AS parent, lower(p_name) AS key, count(*) AS n FROM part GROUP BY 1, 2",
     "watch_counts": with_views("SELECT count(*) FILTER (WHERE id % 11 <= 7) AS watched, count(*) FILTER (WHERE id % 11 > 7) AS polled FROM items WHERE kind = 'Dir'", "items"),
-    "content_tags": """SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN v <= 18446744073709551615 THEN p_brand END WHEN 1 THEN 'x' END AS tag,
+    "content_tags": """SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN v <= 18446744073709551615 THEN p_name END WHEN 1 THEN 'x' END AS tag,
   CASE p_partkey % 3 WHEN 0 THEN CASE WHEN v <= 18446744073709551615 THEN CAST(v AS VARCHAR) END WHEN 1 THEN CAST(p_partkey AS VARCHAR) END AS nonce
 FROM (SELECT *, CAST(p_partkey AS HUGEINT) * 100000000000000000 + 99999999999999999 AS v FROM part)""",
     "key_values": "SELECT CAST(p_partkey AS BIGINT) AS id, 'size' AS key, 'last' AS value FROM part UNION ALL SELECT p_partkey, 'brand', 'a=' || p_brand FROM part",
