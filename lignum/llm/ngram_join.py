@@ -374,4 +374,14 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ngram_join": op7_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+#: Every pair that shares a shingle is counted, so this is for small tables.
+ORACLE_SQL = {
+    "op7_ngram_join": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+grams AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*)))
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM sets s JOIN
+  (WITH RECURSIVE reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b) SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = s.doc_id"""
+}
