@@ -17,6 +17,7 @@ MODULES = (
     "lignum.functions.names",
     "lignum.functions.rules",
     "lignum.operators.listing",
+    "lignum.functions.codes",
 )
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
