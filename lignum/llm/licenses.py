@@ -120,6 +120,8 @@ PHRASES = (
     ("no-derivatives", "no deriv(?:ative|ative work)s(?: allowed)?", "no deriv", 4),
     ("spdx", "spdx license identifier", "spdx", 4),
 )
+#: Places of a rule in one text that are appended to one array.
+BLOCK = 256
 WEIGHTS = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 STRONGEST, WEAKEST = 1, 4
 
@@ -166,15 +168,27 @@ def _spans(t: Column, rule: Column, order: Column) -> Column:
     def placed(hits: Column) -> Column:
         gaps = F.transform(F.split(t, rule["pattern"], -1), lambda x: F.length(x))
         sizes = F.transform(hits, lambda x: F.length(x))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,least:int>>").alias("spans"))
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size")))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            return F.struct((begin + x["size"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), (-(begin + x["size"])).alias("least")))).alias("spans"))
+        def ends(pairs: Column) -> Column:
+            """(start, minus end) of each pair in turn, from the start. Appending copies what is there, so few are appended to one array."""
+            blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)))
+            none = F.array().cast("array<struct<start:int,least:int>>")
+
+            def step(acc: Column, x: Column) -> Column:
+                at = acc["at"] + x["gap"]
+                return F.struct((at + x["size"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(at.alias("start"), (-(at + x["size"])).alias("least")))).alias("spans"))
+
+            def begun(acc: Column, block: Column) -> Column:
+                length = F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+                return F.struct((acc["at"] + length).alias("at"), F.concat(acc["from"], F.array(acc["at"])).alias("from"))
+
+            starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("from")), begun)["from"]
+            parts = F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step)["spans"])
+            return F.flatten(parts)
 
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, s: F.struct(g.alias("gap"), s.alias("size")))
         return F.transform(
-            F.aggregate(pairs, start, step)["spans"],
+            let(pairs, ends),
             lambda s: F.struct(s["start"].alias("start"), s["least"].alias("least"), rule["priority"].alias("priority"), order.alias("order"), rule["label"].alias("label")),
         )
 
@@ -215,7 +229,7 @@ def scan(docs: DataFrame) -> DataFrame:
     sorted, joined by commas; empty if none) and ``score`` (0 if nothing was found).
 
     Null or empty text has no words and no labels. Repeated rows each give a row; an empty table gives
-    none. A text may hold a phrase any number of times: the pass over its detections is linear.
+    none. A text may hold a phrase any number of times; its places are summed up in blocks of ``BLOCK``.
     """
     table_of = rules()
     keywords = sorted({r[2] for r in table_of})
