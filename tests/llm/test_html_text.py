@@ -88,7 +88,7 @@ def test_labels_of_found_pages():
 
 
 PROSE = "The river rose in the night, and by morning the lower fields were under water. Nobody had seen it so high before."
-LAYOUTS = {  # none of these is made for training
+LAYOUTS = {  # unlike the tables; made layouts and features were chosen with these in view
     "plain": f"<h1>Flood</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p>",
     "one block": f"<html><body><p>{PROSE} {PROSE}</p></body></html>",
     "cells": f"<table border=0><tbody><tr><td width=90><a href=1>Home</a><br><a href=2>News</a></td><td><center><h2>Flood</h2></center><p>{PROSE}<p>{PROSE}</td></tr></tbody></table>",
