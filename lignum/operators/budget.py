@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lignum.session import stored
 from lignum.sources.relations import change_log, items, read, with_views
 
 
@@ -19,10 +20,10 @@ def evicted(cache: DataFrame, budget: int) -> DataFrame:
     """Entries to drop, least recently used first, until the whole fits; pinned ones stay.
 
     ``cache`` has ``id, size, used, pinned``. An entry goes if, without those used before it, the cache is
-    still too large. Sums over ranges of ``used`` are taken in parallel and then offset.
+    still too large. Sums over ranges of ``used``, which are stored, are taken in parallel and then offset.
     """
     total = cache.agg(F.sum("size").alias("total"))
-    free = cache.filter("NOT pinned").repartitionByRange("used", "id").withColumn("part", F.spark_partition_id())
+    free = stored(cache.filter("NOT pinned").repartitionByRange("used", "id").withColumn("part", F.spark_partition_id()), "evicted")
     inner = free.withColumn("older", F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("used", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     parts = free.groupBy("part").agg(F.sum("size").alias("own"))
     before = parts.withColumn("before", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

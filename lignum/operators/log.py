@@ -47,26 +47,40 @@ def content_changes(log: DataFrame) -> DataFrame:
     return ups.filter("old_content <> content").select("seq", "id", "old_content", "content")
 
 
-def changes_since(log: DataFrame, shown: DataFrame, since: int, upto: int) -> DataFrame:
-    """What a client at ``since`` must learn up to ``upto``, for a working set of ids.
+def changes_marked(log: DataFrame, shown: DataFrame, since: int, upto: int) -> DataFrame:
+    """Every item whose latest change up to ``upto`` is after ``since``, and whether a working set of ids must learn it.
 
-    An item is reported by its latest change only, if that lies in the window and the item, its folder
-    or the folder it came from is in the working set.
+    An item is ``reported`` if itself, its folder or the folder it came from is in the working set.
     """
     prior = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     upto_log = log.filter(F.col("seq") <= upto).withColumn("old_parent", F.last("parent", ignorenulls=True).over(prior))
     last = upto_log.groupBy("id").agg(F.max_by(F.struct("seq", "op", "parent", "old_parent", "content"), order()).alias("x")).select("id", "x.*")
     last = last.filter(F.col("seq") > since)
-    keys = last.select("id", "seq", F.explode(F.array("id", "parent", "old_parent")).alias("key")).join(shown.select(F.col("id").alias("key")), "key", "left_semi")
-    return last.join(keys.select("id").distinct(), "id", "left_semi").select("seq", "id", "op", "parent", "old_parent", "content")
+    keys = last.select("id", F.explode(F.array("id", "parent", "old_parent")).alias("key")).join(shown.select(F.col("id").alias("key")), "key", "left_semi")
+    marked = last.join(keys.select("id").distinct().withColumn("in", F.lit(True)), "id", "left")
+    return marked.select("seq", "id", "op", "parent", "old_parent", "content", F.coalesce("in", F.lit(False)).alias("reported"))
+
+
+def changes_since(log: DataFrame, shown: DataFrame, since: int, upto: int) -> DataFrame:
+    """What a client at ``since`` must learn up to ``upto``, for a working set of ids: each item by its latest change only."""
+    return changes_marked(log, shown, since, upto).filter("reported").drop("reported")
+
 
+def page(log: DataFrame, shown: DataFrame, since: int, upto: int, limit: int) -> DataFrame:
+    """The first ``limit`` reported changes in order: ``seq, id, op, more, anchor``.
 
-def page(changes: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` changes in order, with ``more`` and the anchor to resume from."""
-    first = changes.orderBy("seq").limit(limit + 1).withColumn("at", F.row_number().over(Window.orderBy("seq")))
-    whole = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = first.withColumn("more", F.max(F.col("at") > limit).over(whole)).filter(F.col("at") <= limit)
-    return out.withColumn("anchor", F.max("seq").over(whole)).select("seq", "id", "op", "more", "anchor")
+    Only reported changes count towards the limit. If changes follow, reported or not, there is ``more`` and the
+    next page resumes from the last one given; else the anchor moves over all unreported ones to ``upto``.
+    With nothing to report there is one row without ``seq``, for the anchor. A page is as large as
+    its limit, whatever the log.
+    """
+    marked = stored(changes_marked(log, shown, since, upto), "page")
+    first = marked.filter("reported").orderBy("seq").limit(limit)
+    cut = first.agg(F.count("*").alias("n"), F.max("seq").alias("cut"))
+    latest = marked.agg(F.max("seq").alias("latest"))
+    more = F.coalesce((F.col("n") >= limit) & (F.col("latest") > F.col("cut")), F.lit(False))
+    end = cut.join(latest, how="cross").select(more.alias("more"), F.when(more, F.col("cut")).otherwise(F.lit(upto)).alias("anchor"))  # one row each
+    return end.join(first.select("seq", "id", "op"), how="left").select("seq", "id", "op", "more", "anchor")
 
 
 def missing(known: DataFrame, seen: DataFrame) -> DataFrame:
@@ -80,14 +94,15 @@ def listing_drops(known: DataFrame, listed: DataFrame, since: int) -> DataFrame:
 
 
 def resume_choice(log: DataFrame, clients: DataFrame, gc_seq: int, slack: int = 10_000) -> DataFrame:
-    """``client, anchor, tombs, mode``: resume if the anchor is legal and what to send is not too much, else snapshot."""
-    dead = tombstones(log).select("seq")
-    alive = live(log).agg(F.count("*").alias("alive"))
-    now = log.agg(F.max("seq").alias("now"))
-    sent = clients.join(dead, F.col("seq") > F.col("anchor"), "left").groupBy("client", "anchor").agg(F.count("seq").alias("tombs"))
+    """``client, anchor, tombs, mode``: resume if the anchor is legal and what to send is not too much, else snapshot.
+
+    Tombstones are numbered once; a client's are all but those numbered up to its anchor.
+    """
+    dead = numbered(tombstones(log).select("seq"), "seq")
+    one = live(log).agg(F.count("*").alias("alive")).join(log.agg(F.max("seq").alias("now")), how="cross").join(dead.agg(F.count("*").alias("dead")), how="cross")  # one row each
+    sent = as_of(clients.select("client", "anchor"), dead, "anchor", "seq", "at").join(one, how="cross").withColumn("tombs", F.col("dead") - F.coalesce("at", F.lit(0)))
     legal = F.col("anchor").between(gc_seq, F.col("now"))
-    one = sent.join(alive.join(now), how="cross")  # one row each
-    return one.select("client", "anchor", "tombs", F.when(legal & (F.col("tombs") <= F.col("alive") + slack), "resume").otherwise("snapshot").alias("mode"))
+    return sent.select("client", "anchor", "tombs", F.when(legal & (F.col("tombs") <= F.col("alive") + slack), "resume").otherwise("snapshot").alias("mode"))
 
 
 def tombstone_gc(tombs: DataFrame, now_ns: int, max_age_ns: int, max_count: int) -> DataFrame:
@@ -100,22 +115,25 @@ def tombstone_gc(tombs: DataFrame, now_ns: int, max_age_ns: int, max_count: int)
 
 
 def as_of(keys: DataFrame, samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Adds the ``value`` of the latest sample at or before each key; null before the first.
+    """Adds the ``value`` of the latest sample at or before each key; null before the first, and for a null key.
 
-    Keys and samples are merged in one order, in ranges that sort in parallel: within a range the last
-    sample is carried forward, and each range starts from the last sample of those before it.
+    Of samples at one place the greatest value counts; samples without place or value don't. Keys and
+    samples are merged in one order and dealt into ranges once, which are stored, as ranges made anew would
+    have other borders. Within a range the last sample is carried forward, and each range starts from the last
+    sample of those before it. Rows of one key may lie in many ranges.
     """
-    tagged = keys.withColumn("_key", F.col(key)).withColumn("_value", F.lit(None).cast(dict(samples.dtypes)[value])).withColumn("_is", F.lit(1))
-    for c in keys.columns:
-        samples = samples if c in (at, value) else samples.withColumn(c, F.lit(None).cast(dict(keys.dtypes)[c]))
-    other = samples.select(*[F.lit(None).cast(t).alias(c) for c, t in keys.dtypes], F.col(at).alias("_key"), F.col(value).alias("_value"), F.lit(0).alias("_is"))
-    both = tagged.unionByName(other).repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
-    ordered = Window.partitionBy("_part").orderBy("_key", "_is").rowsBetween(Window.unboundedPreceding, 0)
+    kind = dict(samples.dtypes)[value]
+    asked = keys.select("*", F.col(key).alias("_key"), F.lit(1).alias("_is"), F.lit(None).cast(kind).alias("_value"))
+    known = samples.filter(F.col(at).isNotNull() & F.col(value).isNotNull())
+    known = known.select(*[F.lit(None).cast(t).alias(c) for c, t in keys.dtypes], F.col(at).alias("_key"), F.lit(0).alias("_is"), F.col(value).alias("_value"))
+    dealt = asked.unionByName(known).withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange("_key", "_is", "_value", "_salt")
+    both = stored(dealt.withColumn("_part", F.spark_partition_id()).drop("_salt"), "as-of")
+    ordered = Window.partitionBy("_part").orderBy("_key", "_is", "_value").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn("_own", F.last("_value", ignorenulls=True).over(ordered))
-    ends = both.groupBy("_part").agg(F.max_by("_value", F.when(F.col("_is") == 0, F.col("_key"))).alias("_end"))
+    ends = both.groupBy("_part").agg(F.max(F.when(F.col("_is") == 0, F.struct("_key", "_value"))).alias("_end"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.withColumn("_start", F.last("_end", ignorenulls=True).over(before)).select("_part", "_start")  # a row for each range
-    out = carried.filter("_is = 1").join(starts, "_part").withColumn(value, F.coalesce("_own", "_start"))
+    starts = ends.select("_part", F.last("_end._value", ignorenulls=True).over(before).alias("_start"))  # a row for each range
+    out = carried.filter("_is = 1").join(F.broadcast(starts), "_part").withColumn(value, F.when(F.col("_key").isNotNull(), F.coalesce("_own", "_start")))
     return out.select(*keys.columns, value)
 
 
@@ -184,10 +202,18 @@ def _gc(s, d):
     return tombstone_gc(tombs, 1_706_600_000_000_000_000, 2 * DAY, 20)
 
 
+def _journal(s: SparkSession, d: str) -> DataFrame:
+    """A journal whose last hundredth begins with a torn record."""
+    log = change_log(s, d)
+    torn = log.agg((F.max("seq") * 99 / 100).cast("long").alias("torn"))
+    return replay(log.join(torn, how="cross").withColumn("good", F.col("seq") != F.col("torn")).drop("torn"))  # one row
+
+
 QUERIES = {
     "changes_since": lambda s, d: changes_since(change_log(s, d), folders_shown(s), 700, 1000),
     "changes_since_late": lambda s, d: changes_since(change_log(s, d), folders_shown(s), 9000, 10_000),
-    "changes_page": lambda s, d: page(fold(change_log(s, d)), 40),
+    "changes_page": lambda s, d: page(change_log(s, d), folders_shown(s), 700, 9000, 40),
+    "changes_last_page": lambda s, d: page(change_log(s, d), folders_shown(s), 8000, 9000, 100_000),
     "lww_fold": lambda s, d: fold(change_log(s, d)),
     "live_items": lambda s, d: live(change_log(s, d)),
     "tombstones": lambda s, d: tombstones(change_log(s, d)),
@@ -200,7 +226,7 @@ QUERIES = {
     "gc_horizon": lambda s, d: _gc(s, d).agg(F.max("seq").alias("horizon"), F.count("*").alias("dropped")),
     "time_of_seq": lambda s, d: as_of(change_log(s, d).select("seq", "id"), seq_times(s, d).withColumnRenamed("seq", "sample"), "seq", "sample", "wall_ns"),
     "server_seq_at": lambda s, d: as_of(_clients(change_log(s, d)), seq_times(s, d).select((F.col("seq") * 3).alias("local_seq"), F.col("seq").alias("server_seq")), "anchor", "local_seq", "server_seq"),
-    "journal_replay": lambda s, d: replay(change_log(s, d).withColumn("good", F.col("seq") % 8191 != 0)),
+    "journal_replay": lambda s, d: _journal(s, d),
     "batch_masks": lambda s, d: batch_masks(_events(s, d)),
     "touched_ids": lambda s, d: touched(change_log(s, d)),
     "unpaired_moves": lambda s, d: unpaired_moves(_events(s, d)),
@@ -212,6 +238,9 @@ _SINCE = """, prior AS (SELECT *, last_value(parent IGNORE NULLS) OVER (PARTITIO
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r FROM prior) WHERE r = 1)
 SELECT seq, id, op, parent, old_parent, content FROM newest WHERE seq > {since}
   AND (id IN (SELECT id FROM folders_shown) OR parent IN (SELECT id FROM folders_shown) OR old_parent IN (SELECT id FROM folders_shown))"""
+_PAGE = _SINCE.replace("SELECT seq, id, op, parent, old_parent, content FROM newest", ", told AS (SELECT seq, id, op FROM newest") + """), first AS (SELECT * FROM told ORDER BY seq LIMIT {limit}),
+ended AS (SELECT count(*) = {limit} AND max(seq) < (SELECT max(seq) FROM newest) AS more, max(seq) AS cut FROM first)
+SELECT seq, id, op, more, CASE WHEN more THEN cut ELSE {upto} END AS anchor FROM ended LEFT JOIN first ON true"""
 _TOMBS = """, tombs AS (SELECT id, seq, old_parent, wall_ns FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r,
   last_value(parent IGNORE NULLS) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS old_parent FROM change_log) WHERE r = 1 AND op = 'remove')"""
 _DROPPED = f""", ranked AS (SELECT *, row_number() OVER (ORDER BY seq DESC) AS n FROM tombs),
@@ -220,7 +249,8 @@ _CLIENTS = ", clients AS (SELECT seq // 400 AS client, seq AS anchor FROM change
 _ORACLES = {
     "changes_since": "WITH change_log AS ({v}), folders_shown AS ({f})" + _SINCE.replace("{since}", "700").replace("{upto}", "1000"),
     "changes_since_late": "WITH change_log AS ({v}), folders_shown AS ({f})" + _SINCE.replace("{since}", "9000").replace("{upto}", "10000"),
-    "changes_page": f"WITH change_log AS ({{v}}), {LAST} SELECT seq, id, op, (SELECT count(*) > 40 FROM last) AS more, max(seq) OVER () AS anchor FROM (SELECT * FROM last ORDER BY seq LIMIT 40)",
+    "changes_page": "WITH change_log AS ({v}), folders_shown AS ({f})" + _PAGE.replace("{since}", "700").replace("{upto}", "9000").replace("{limit}", "40"),
+    "changes_last_page": "WITH change_log AS ({v}), folders_shown AS ({f})" + _PAGE.replace("{since}", "8000").replace("{upto}", "9000").replace("{limit}", "100000"),
     "lww_fold": f"WITH change_log AS ({{v}}), {LAST} SELECT id, seq, op, parent, content FROM last",
     "live_items": f"WITH change_log AS ({{v}}), {LAST} SELECT id, seq, parent, content FROM last WHERE op = 'upsert'",
     "tombstones": f"WITH change_log AS ({{v}}){_TOMBS} SELECT * FROM tombs",
@@ -235,7 +265,7 @@ FROM (SELECT client, anchor, (SELECT count(*) FROM tombs WHERE seq > anchor) AS
     "gc_horizon": f"WITH change_log AS ({{v}}){_TOMBS}{_DROPPED} SELECT max(seq) AS horizon, count(*) AS dropped FROM dropped",
     "time_of_seq": "WITH change_log AS ({v}), times AS (SELECT seq AS sample, wall_ns FROM change_log WHERE seq % 50 = 0) SELECT c.seq, c.id, t.wall_ns FROM change_log c ASOF LEFT JOIN times t ON c.seq >= t.sample",
     "server_seq_at": f"WITH change_log AS ({{v}}){_CLIENTS}, t AS (SELECT seq * 3 AS local_seq, seq AS server_seq FROM change_log WHERE seq % 50 = 0) SELECT client, anchor, server_seq FROM clients ASOF LEFT JOIN t ON anchor >= local_seq",
-    "journal_replay": "WITH change_log AS ({v}), good AS (SELECT * FROM change_log WHERE seq < coalesce((SELECT min(seq) FROM change_log WHERE seq % 8191 = 0), 9e18)) SELECT id, seq, op, parent, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r FROM good) WHERE r = 1",
+    "journal_replay": "WITH change_log AS ({v}), good AS (SELECT * FROM change_log WHERE seq < (SELECT CAST(floor(max(seq) * 99 / 100.0) AS BIGINT) FROM change_log)) SELECT id, seq, op, parent, content FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r FROM good) WHERE r = 1",
     "batch_masks": f"WITH change_log AS ({{v}}), {EVENTS} SELECT dir, name, bit_or(mask) AS mask, min(pos) AS pos, count(*) AS n FROM events2 GROUP BY 1, 2",
     "touched_ids": "WITH change_log AS ({v}) SELECT id FROM change_log UNION SELECT parent FROM change_log WHERE parent IS NOT NULL",
     "unpaired_moves": f"WITH change_log AS ({{v}}), {EVENTS} SELECT pos, cookie FROM events2 WHERE half = 'from' AND cookie NOT IN (SELECT cookie FROM events2 WHERE half = 'to')",
