@@ -14,6 +14,7 @@ MODULES = (
     "lignum.operators.mutations",
     "lignum.operators.check",
     "lignum.streaming.changes",
+    "lignum.streaming.states",
     "lignum.functions.names",
     "lignum.functions.rules",
     "lignum.operators.listing",

@@ -1,4 +1,4 @@
-"""Change logs as streams: folding into a table, duplicate ops, batches after quiet, throttles.
+"""Change logs as streams: folding into a table, duplicate ops, windows and sessions.
 
 The supplied events are read as a file stream and run to their end, so each query's result can be
 compared with SQL over the same rows.
@@ -6,15 +6,14 @@ compared with SQL over the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.operators import log as logs
 from lignum.session import shared_folder
-from lignum.sources.relations import change_log, epoch_ns
+from lignum.sources.relations import epoch_ns
+from lignum.streaming.keyed import KeyedTable
+from lignum.streaming.states import drained
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,46 +23,11 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
-def drained(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs a stream over all that is there, batch by batch."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_folder(stream.sparkSession, "stream")).foreachBatch(each).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-class FoldedTable:
-    """The current state of a change log, kept as a table that each batch replaces.
-
-    A batch is first folded by itself, then with the state before it, and written under its own number, so
-    running a batch again gives the same table. ``guard`` may refuse a batch (a mass removal); refused
-    batches are written aside and leave the state as it is.
-    """
-
-    def __init__(self, spark: SparkSession, guard: Callable[[DataFrame, DataFrame | None], bool] | None = None):
-        self.spark, self.folder, self.guard = spark, shared_folder(spark, "folded"), guard
-        self.at: int | None = None
-        self.refused: list[int] = []
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        before = self.read()
-        batch = logs.fold(batch)
-        if self.guard and self.guard(batch, before):
-            batch.write.mode("overwrite").parquet(f"{self.folder}/refused-{number}")
-            self.refused.append(number)
-            return
-        both = batch if before is None else logs.fold(before.unionByName(batch))
-        both.write.mode("overwrite").parquet(f"{self.folder}/{number}")
-        self.at = number
-
-    def read(self) -> DataFrame | None:
-        return None if self.at is None else self.spark.read.parquet(f"{self.folder}/{self.at}")
-
-
 def folded(stream: DataFrame, guard=None) -> DataFrame:
     """A log stream folded to its end: the latest change of each item."""
-    table = FoldedTable(stream.sparkSession, guard)
+    table = KeyedTable(stream.sparkSession, guard=guard)
     drained(stream, table.apply)
-    found = table.read()
-    return found if found is not None else stream.sparkSession.createDataFrame([], "id long, seq long, op string, parent long, content long")
+    return table.read()
 
 
 def as_log(events: DataFrame) -> DataFrame:
@@ -89,48 +53,10 @@ def windowed(stream: DataFrame, window, value: str) -> DataFrame:
     """Counts and sums by a time window and type; the result replaces itself with each batch."""
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession, "windows")
     counted = stream.withWatermark("at", "1 day").groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum(value), 6).alias("total"))
-    drained(counted, lambda df, k: df.write.mode("overwrite").parquet(path), "complete")
+    drained(counted, lambda df, k: df.write.mode("overwrite").parquet(path), mode="complete")
     return spark.read.parquet(path)
 
 
-def quiet_batches(events: DataFrame, key: str, at_ns: str, quiet_ns: int, most_ns: int) -> DataFrame:
-    """Adds ``batch``: a batch ends after a pause, or once it has lasted ``most_ns``, whichever is first."""
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at_ns)
-        out, batch, start, last = [], -1, None, None
-        for t in pdf[at_ns]:
-            if last is None or t - last > quiet_ns or t - start > most_ns:
-                batch, start = batch + 1, t
-            last = t
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return events.groupBy(key).applyInPandas(number, f"{', '.join(f'{c} {t}' for c, t in events.dtypes)}, batch long")
-
-
-def throttled(events: DataFrame, key: str, at_ns: str, gap_ns: int, quiet_ns: int) -> DataFrame:
-    """When each key's changes are published: the first at once, then one per ``gap_ns``, the last ``quiet_ns`` after it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, out = sorted(pdf[at_ns]), []
-        said, waiting = None, None
-        for t in times:
-            if waiting is not None and t - waiting > quiet_ns:
-                said, waiting = waiting + quiet_ns, None
-                out.append(said)
-            if said is None or t - said >= gap_ns:
-                said, waiting = t, None
-                out.append(t)
-            else:
-                waiting = t
-        if waiting is not None:
-            out.append(waiting + quiet_ns)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "published_ns": out})
-
-    return events.select(key, at_ns).groupBy(key).applyInPandas(run, f"{key} {dict(events.dtypes)[key]}, published_ns long")
-
-
 def _timed(s: SparkSession, d: str) -> DataFrame:
     return event_stream(s, d).withColumn("at", F.col("ts").cast("timestamp"))
 
@@ -149,8 +75,6 @@ QUERIES = {
     "stream_once": lambda s, d: once(_timed(s, d).withColumn("op", F.pmod(F.col("event_id"), F.lit(700))), ["op"], "at", "60 days"),
     "stream_daily": _windows,
     "stream_sessions": _sessions,
-    "quiet_batches": lambda s, d: quiet_batches(change_log(s, d).select("id", "seq", "wall_ns"), "id", "wall_ns", 7_200_000_000_000, 14_400_000_000_000),
-    "throttled": lambda s, d: throttled(change_log(s, d), "id", "wall_ns", 3_600_000_000_000, 600_000_000_000),
 }
 ORACLE_SQL = {
     "stream_fold": logs.ORACLE_SQL["lww_fold"],

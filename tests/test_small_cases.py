@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lignum.functions import names, rules
 from lignum.operators import budget, log, metrics, tree, workset
-from lignum.streaming import changes
+from lignum.streaming import keyed
 
 LOG = "seq long, id long, op string, parent long, content long, wall_ns long"
 
@@ -125,15 +125,8 @@ def test_identity_with_unknown_birth(spark):
     assert {r.seen: r.known for r in workset.identified(seen, known).collect()} == {1: 10, 2: None}
 
 
-def test_throttle_and_batches(spark):
-    df = spark.createDataFrame([(1, t) for t in (0, 100, 200, 1100, 5000)], "k long, t long")
-    assert sorted(r.published_ns for r in changes.throttled(df, "k", "t", 1000, 300).collect()) == [0, 500, 1400, 5000]
-    got = [r.batch for r in changes.quiet_batches(spark.createDataFrame([(1, t) for t in (0, 1, 2, 10, 14, 18, 22, 26)], "k long, t long"), "k", "t", 5, 10).orderBy("t").collect()]
-    assert got == [0, 0, 0, 1, 1, 1, 2, 2]
-
-
 def test_refused_batches_leave_the_state(spark):
-    table = changes.FoldedTable(spark, guard=lambda batch, before: batch.filter("op = 'remove'").count() > 1)
+    table = keyed.KeyedTable(spark, guard=lambda batch, before: batch.filter("op = 'remove'").count() > 1)
     table.apply(spark.createDataFrame([(1, 1, "upsert", 0, 0, 0), (2, 2, "upsert", 0, 0, 0)], LOG), 0)
     table.apply(spark.createDataFrame([(3, 1, "remove", None, None, 0), (4, 2, "remove", None, None, 0)], LOG), 1)
     assert table.refused == [1] and {r.op for r in table.read().collect()} == {"upsert"}
