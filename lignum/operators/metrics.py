@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lignum.operators.ranks import nearest_ranks, same
 from lignum.sources.relations import measurements, read, with_views
 
 #: Differences below these are noise, by unit.
@@ -30,18 +31,21 @@ ROUND_TRIP_LIMITS = (
 WINDOW_BYTES = 14.6 * 1024
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The nearest-rank percentile: an element of the data, the smallest at p = 0."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-
-
 def summary(df: DataFrame, by: list[str], value: str, at: str) -> DataFrame:
-    """Number, least, percentiles, greatest, mean and last value of each group; non-finite values are left out."""
+    """Number, least, percentiles, greatest, mean and last value of each group; non-finite values are left out.
+
+    Percentiles are nearest ranks, elements of the data, found by numbering all values in ranges.
+    """
     ok = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")))
-    return ok.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"), nearest_rank(value, 0.99).alias("p99"),
-        F.max(value).alias("greatest"), F.round(F.avg(value), 6).alias("mean"), F.max_by(value, F.col(at)).alias("last"),
-    )
+    whole = ok.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"), F.round(F.avg(value), 6).alias("mean"), F.max_by(value, F.col(at)).alias("last"))
+    found = same(whole, nearest_ranks(ok, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by)
+    return found.select(*by, "n", "least", "p50", "p95", "p99", "greatest", "mean", "last")
+
+
+def worse_probe(df: DataFrame, by: list[str], value: str, probe: str, one: str, other: str, p: float = 0.99) -> DataFrame:
+    """``by, worse``: the greater of the same percentile of two probes; of one, where a group has only that."""
+    both = nearest_ranks(df.filter(F.col(probe).isin(one, other)), [*by, probe], value, {"p": p}).groupBy(*by).agg(F.max("p").alias("worse"))
+    return same(df.select(*by).distinct(), both, by, "left")
 
 
 def link(profile: Column) -> Column:
@@ -200,8 +204,8 @@ def _flat_links(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "summary": lambda s, d: summary(read(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_orderkey").drop("last"),
-    "nearest_rank_edges": lambda s, d: read(s, d, "orders").groupBy("o_orderpriority").agg(nearest_rank("o_totalprice", 0).alias("p0"), nearest_rank("o_totalprice", 0.01).alias("p1"), nearest_rank("o_totalprice", 1).alias("p100")),
-    "worse_probe_p99": lambda s, d: read(s, d, "events").groupBy("user_id").agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value) FILTER (WHERE event_type = 'view')").alias("a"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value) FILTER (WHERE event_type = 'click')").alias("b")).select("user_id", F.greatest("a", "b").alias("worse")),
+    "nearest_rank_edges": lambda s, d: nearest_ranks(read(s, d, "orders"), ["o_orderpriority"], "o_totalprice", {"p0": 0, "p1": 0.01, "p100": 1}),
+    "worse_probe_p99": lambda s, d: worse_probe(read(s, d, "events"), ["user_id"], "value", "event_type", "view", "click"),
     "link_profiles": _flat_links,
     "verdicts": lambda s, d: verdicts(_targets(s, d)),
     "failed_targets": lambda s, d: verdicts(_targets(s, d)).filter("NOT pass").select("id", "profile"),

@@ -60,9 +60,14 @@ def rename_outcomes(proposals: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def kept_on_remove(tree: DataFrame, root: int, seen_seq: int) -> DataFrame:
-    """``id, kept`` of a removed subtree: what changed after the client saw it stays, with all folders above it."""
-    inside = stored(subtree(tree, tree.filter(F.col("id") == root)).select("id").join(tree.select("id", "seq"), "id"), "removed")
-    newer = inside.filter(F.col("seq") > seen_seq).select("id")
+    """``id, kept`` of a removed subtree: what changed after the client saw it stays, with all folders above it.
+
+    A folder below ``root`` that arrived in its place after that (its ``meta`` is newer) is new to the client as a
+    whole, whatever lies in it: it stays with its subtree. Items that are moved in keep their own ``seq``.
+    """
+    inside = stored(subtree(tree, tree.filter(F.col("id") == root)).select("id").join(tree.select("id", "seq", "kind", "meta"), "id"), "removed")
+    arrived = inside.filter((F.col("kind") == "Dir") & (F.col("meta") > seen_seq) & (F.col("id") != root)).select("id")
+    newer = inside.filter(F.col("seq") > seen_seq).select("id").union(subtree(tree, arrived).select("id")).distinct()
     stays = with_ancestors(tree, newer).withColumn("kept", F.lit(True))
     return inside.select("id").join(stays, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
@@ -110,6 +115,11 @@ def _hashed(tree: DataFrame) -> DataFrame:
     return tree.withColumn("hash", F.sha2(F.col("name"), 256))
 
 
+def _arrivals(s: SparkSession, d: str) -> DataFrame:
+    """The tree, where every ninth folder has been moved in of late."""
+    return items(s, d).withColumn("meta", F.when((F.col("kind") == "Dir") & (F.col("id") % 9 == 4), F.lit(9000)).otherwise(F.lit(1)))
+
+
 def _creates(s, d):
     t = _hashed(items(s, d).filter("parent IS NOT NULL"))
     name = F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("x"))).otherwise(F.col("name"))
@@ -151,7 +161,7 @@ QUERIES = {
     "write_outcomes": lambda s, d: write_outcomes(*_writes(s, d)),
     "create_outcomes": lambda s, d: create_outcomes(_creates(s, d), _hashed(items(s, d))),
     "rename_outcomes": lambda s, d: rename_outcomes(_renames(s, d), items(s, d)),
-    "kept_on_remove": lambda s, d: kept_on_remove(items(s, d), LEVEL + 2, 5000),
+    "kept_on_remove": lambda s, d: kept_on_remove(_arrivals(s, d), LEVEL + 2, 5000),
     "scanned": _scan,
     "stat_changes": lambda s, d: stat_changes(items(s, d), _after(s, d)),
     "deletions": lambda s, d: deletions(_deletes(s, d), items(s, d)),
@@ -170,7 +180,8 @@ FROM items i WHERE parent IS NOT NULL AND kind = 'Dir'""", "items"
     ),
     "kept_on_remove": with_views(
         f""", inside AS MATERIALIZED (SELECT id FROM closure WHERE ancestor = {LEVEL + 2}),
-stays AS MATERIALIZED (SELECT DISTINCT n.ancestor AS id FROM closure n JOIN items i ON i.id = n.id JOIN inside ON inside.id = n.id WHERE i.seq > 5000)
+stays AS MATERIALIZED (SELECT DISTINCT n.ancestor AS id FROM closure n JOIN items i ON i.id = n.id JOIN inside ON inside.id = n.id WHERE i.seq > 5000
+  OR EXISTS (SELECT 1 FROM closure u JOIN items x ON x.id = u.ancestor JOIN inside y ON y.id = x.id WHERE u.id = n.id AND x.kind = 'Dir' AND x.id % 9 = 4 AND x.id <> {LEVEL + 2}))
 SELECT inside.id, stays.id IS NOT NULL AS kept FROM inside LEFT JOIN stays ON stays.id = inside.id""", "items", "closure"
     ),
     "scanned": with_views(

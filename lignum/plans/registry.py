@@ -13,6 +13,7 @@ MODULES = (
     "lignum.operators.budget",
     "lignum.operators.mutations",
     "lignum.operators.check",
+    "lignum.operators.chains",
     "lignum.streaming.changes",
     "lignum.streaming.states",
     "lignum.functions.names",
