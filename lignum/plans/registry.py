@@ -14,6 +14,9 @@ MODULES = (
     "lignum.operators.mutations",
     "lignum.operators.check",
     "lignum.operators.chains",
+    "lignum.operators.transitions",
+    "lignum.operators.clocks",
+    "lignum.sources.reports",
     "lignum.streaming.changes",
     "lignum.streaming.states",
     "lignum.functions.names",

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lignum.functions import names, rules
-from lignum.operators import budget, log, metrics, tree, workset
+from lignum.operators import budget, log, metrics, ranks, tree, workset
 from lignum.streaming import keyed
 
 LOG = "seq long, id long, op string, parent long, content long, wall_ns long"
@@ -97,8 +97,8 @@ def test_terminal_and_links(spark):
 
 def test_percentiles(spark):
     df = spark.range(1, 101).select(F.col("id").cast("double").alias("v"))
-    got = [df.agg(metrics.nearest_rank("v", p).alias("x")).first().x for p in (0, 0.5, 0.99, 1)]
-    assert got == [1.0, 50.0, 99.0, 100.0]
+    got = ranks.nearest_ranks(df, [], "v", {"a": 0, "b": 0.5, "c": 0.99, "d": 1}).first()
+    assert tuple(got) == (1.0, 50.0, 99.0, 100.0)
     odd = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (float("inf"), 3), (None, 4), (3.0, 5)], "v double, at int").withColumn("g", F.lit(1))
     row = metrics.summary(odd, ["g"], "v", "at").first()
     assert (row.n, row.least, row.greatest, row["last"]) == (2, 1.0, 3.0, 3.0)
