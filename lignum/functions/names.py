@@ -1,7 +1,6 @@
 """Names of items: extensions, numbered and conflict names, validity, folding and collisions.
 
-Limits are in UTF-8 bytes. Cutting at a character's border is a search over prefixes, done in SQL: the
-longest prefix whose byte length fits.
+Limits are in UTF-8 bytes; names are cut at the border of a character.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lignum.operators.log import numbered as numbered_rows
+from lignum.session import stored
 from lignum.sources.relations import read, with_views
 
 LONGEST, LONGEST_EXT, LONGEST_CLIENT = 255, 32, 32
@@ -27,11 +28,12 @@ STAGING = ".staging-"
 
 def cut(text: Column, most: Column | int) -> Column:
     """The longest prefix of at most so many bytes, ending between characters."""
-    most = F.lit(most) if isinstance(most, int) else most
-    # A prefix of n characters has n bytes at least, so few lengths are in question.
-    size = F.least(F.length(text), F.greatest(most, F.lit(0)))
-    whole = F.filter(F.sequence(F.lit(0), size), lambda n: F.octet_length(F.substr(text, F.lit(1), n)) <= most)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(text, F.lit(1), F.array_max(whole)))
+    most = F.greatest(F.lit(most) if isinstance(most, int) else most, F.lit(0))
+    data = text.cast("binary")
+    # A character has 4 bytes at most, and all but its first are 80 to BF.
+    within = lambda k: F.substr(data, most + k, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    back = F.when(~within(1), 0).when(~within(0), 1).when(~within(-1), 2).otherwise(3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substr(data, F.lit(1), most - back).cast("string"))
 
 
 def stem(name: Column) -> Column:
@@ -48,8 +50,9 @@ def numbered(name: Column, n: Column) -> Column:
     return F.when(n <= 1, name).otherwise(_fitted(name, F.concat(F.lit(" "), n.cast("string"))))
 
 
-def marked(name: Column, n: Column, marker: str = MARKER) -> Column:
+def marked(name: Column | str, n: Column, marker: str = MARKER) -> Column:
     """``stem (marker N).ext``."""
+    name = F.col(name) if isinstance(name, str) else name
     return _fitted(name, F.concat(F.lit(f" ({marker} "), n.cast("string"), F.lit(")")))
 
 
@@ -84,6 +87,12 @@ def numbered_base(name: Column) -> Column:
     return F.regexp_replace(name, r" [0-9]{1,4}(?=(\.[^.]+)?$)", "")
 
 
+def display_base(name: Column, marker: str = MARKER) -> Column:
+    """The name that ``stem (marker N).ext`` shows; null for others."""
+    own = F.regexp_extract(stem(name), rf"^((?s:.)*) \({marker} [0-9]+\)$", 1)
+    return F.when(stem(name).rlike(rf" \({marker} [0-9]+\)$"), F.concat(own, extension(name)))
+
+
 def client_name(name: Column) -> Column:
     """Without slashes and control characters, at most 32 bytes, trimmed; ``mac`` if nothing is left."""
     clean = F.regexp_replace(cut(F.regexp_replace(name, r"[/\p{Cc}]", ""), LONGEST_CLIENT), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
@@ -125,31 +134,43 @@ def for_terminal(names: pd.Series) -> pd.Series:
 def display_names(names: DataFrame, marker: str = MARKER) -> DataFrame:
     """``parent, id, name, display``: of names in a folder with one key, the first in byte order stays and others are numbered from 2.
 
-    A number whose own key is taken in the folder, by a name or by a number given before, is skipped. Only
-    groups of two and more reach Python, and a group is one folder's names of one key.
+    A number whose own key is taken in the folder by a name is skipped. Names are numbered in ranges of the order of
+    folder, key and name. The k-th of a group gets the k-th number from 2 that isn't taken, so only the numbers that are taken
+    for a group's own key come to its rows. Groups whose names are so long that they give way to the number reach Python, a
+    group in one frame: such names differ in how they are cut.
     """
-    keyed = names.select("parent", "id", "name", fold_key("name").alias("key"))
-    sizes = keyed.groupBy("parent", "key").agg(F.count("*").alias("size"))
-    keyed = keyed.join(sizes, ["parent", "key"])
-    alone = keyed.filter("size = 1").select("parent", "id", "name", F.col("name").alias("display"))
-    groups = keyed.filter("size > 1")
-    # Taken keys that look like a numbered display are the only ones that matter.
-    taken = keyed.filter(F.col("key").contains(f" ({marker.lower()} ")).groupBy("parent").agg(F.collect_set("key").alias("taken"))
-    groups = groups.join(taken, "parent", "left").select("parent", "key", "id", "name", "taken")
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+    keyed = stored(names.select("parent", "id", "name", fold_key("name").alias("key"), F.xxhash64("id").alias("salt")), "keyed")
+    sizes = keyed.groupBy("parent", "key").agg(F.count("*").alias("size"), F.max(F.octet_length("name")).alias("longest"), F.max(F.octet_length("key")).alias("key_bytes"))
+    sizes = stored(sizes.filter("size > 1").withColumn("long", F.greatest("longest", "key_bytes") > LONGEST - len(f" ({marker} )") - 20), "groups")
+    # Names that look like a numbered display of a group's key take that number.
+    base = display_base(F.col("key"), marker.lower())
+    number = F.regexp_extract(stem(F.col("key")), rf" \({marker.lower()} ([1-9][0-9]{{0,17}})\)$", 1)
+    taken = keyed.select("parent", base.alias("base"), F.nullif(number, F.lit("")).cast("long").alias("n")).filter("base IS NOT NULL AND n >= 2")
+    taken = taken.groupBy("parent", F.col("base").alias("key")).agg(F.sort_array(F.collect_set("n")).alias("taken"))
+    groups = keyed.join(sizes.filter("NOT long").select("parent", "key"), ["parent", "key"])
+    placed = stored(numbered_rows(groups, "parent", "key", "name", "salt").select("parent", "key", "id", "name", "at"), "placed")
+    first = placed.groupBy("parent", "key").agg(F.min("at").alias("first"))
+    whole = placed.join(first, ["parent", "key"]).join(taken, ["parent", "key"], "left")
+    k = F.col("at") - F.col("first") + 1
+    n = F.when(k > 1, F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), k, lambda acc, t: acc + F.when(t <= acc, 1).otherwise(0)))
+    short = whole.select("parent", "id", "name", F.coalesce(marked("name", n, marker), F.col("name")).alias("display"))
+    alone = keyed.join(sizes.select("parent", "key"), ["parent", "key"], "left_anti").select("parent", "id", "name", F.col("name").alias("display"))
+    held = keyed.filter(F.col("key").contains(f" ({marker.lower()} ")).groupBy("parent").agg(F.collect_set("key").alias("taken"))
+    long = keyed.join(sizes.filter("long").select("parent", "key"), ["parent", "key"]).join(held, "parent", "left").select("parent", "key", "id", "name", "taken")
+
+    def number_long(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("name", key=lambda s: s.map(str.encode))
-        taken = set(pdf["taken"].iloc[0]) if pdf["taken"].iloc[0] is not None else set()
+        used = set(pdf["taken"].iloc[0]) if pdf["taken"].iloc[0] is not None else set()
         out, n = [], 2
         for k, name in enumerate(pdf["name"]):
             display = name
-            while k and (display is name or _key(display) in taken):
+            while k and (display is name or _key(display) in used):
                 display, n = _marked(name, n, marker), n + 1
-            taken.add(_key(display))
+            used.add(_key(display))
             out.append(display)
         return pdf[["parent", "id", "name"]].assign(display=out)
 
-    return alone.unionByName(groups.groupBy("parent", "key").applyInPandas(number, alone.schema))
+    return alone.unionByName(short).unionByName(long.groupBy("parent", "key").applyInPandas(number_long, alone.schema))
 
 
 def _key(name: str) -> str:
@@ -177,7 +198,15 @@ def _twins(s: SparkSession, d: str) -> DataFrame:
     p = read(s, d, "part")
     k = F.col("p_partkey") % 4
     name = F.when(k == 0, F.upper("p_name")).when(k == 1, F.initcap("p_name")).otherwise(F.col("p_name"))
-    return p.select((F.col("p_partkey") % 40).alias("parent"), F.col("p_partkey").alias("id"), F.concat(name, F.lit(".txt")).alias("name")).dropDuplicates(["parent", "name"])
+    return p.select((F.col("p_partkey") % 40).alias("parent"), F.col("p_partkey").alias("id"), F.concat(name, F.lit(".txt")).alias("name")).groupBy("parent", "name").agg(F.min("id").alias("id")).select("parent", "id", "name")
+
+
+def _copies(s: SparkSession, d: str) -> DataFrame:
+    """Twins beside names that look like a numbered twin."""
+    t = _twins(s, d)
+    k = F.col("id") % 3
+    more = t.filter("id % 5 = 0").select("parent", (F.col("id") + 10_000_000).alias("id"), marked(F.lower(F.col("name")), 2 + k).alias("name"))
+    return t.unionByName(more).dropDuplicates(["parent", "name"])
 
 
 def _columns(s, d):
@@ -196,7 +225,8 @@ QUERIES = {
     "client_names": lambda s, d: read(s, d, "customer").select("c_custkey", client_name(F.concat(F.lit("/ "), "c_name", F.lit("\t"), "c_mktsegment", F.lit(" end of it"))).alias("client")),
     "fold_keys": lambda s, d: read(s, d, "documents").select("doc_id", fold_key("text").alias("key")),
     "terminal_names": lambda s, d: read(s, d, "part").select("p_partkey", for_terminal(F.concat("p_name", F.lit("\t"))).alias("shown")),
-    "display_names": lambda s, d: display_names(_twins(s, d)),
+    "display_names": lambda s, d: display_names(_copies(s, d)).select("parent", "name", "display"),
+    "display_bases": lambda s, d: _copies(s, d).select("parent", "name", display_base(F.col("name")).alias("base")).distinct(),
 }
 _NAMES = """names AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN '.' WHEN p_partkey % 25 = 1 THEN repeat('long ', 60) ELSE '' END || p_name || CASE p_partkey % 9 WHEN 0 THEN '.txt' WHEN 1 THEN '' WHEN 2 THEN '.' WHEN 3 THEN ' 2.txt'
   WHEN 4 THEN '.tar.gz' WHEN 5 THEN ' 1234' WHEN 6 THEN ' (conflict from mac 2024-01-02 03.04) 2.txt' WHEN 7 THEN '.command' ELSE ' 1.md' END AS name, CAST(p_partkey % 12 AS INTEGER) AS k FROM part),
@@ -210,4 +240,12 @@ ORACLE_SQL = {
   name <> '' AND name NOT IN ('.', '..') AND length(name) <= 255 AS valid, false AS local_only, false AS lazy, false AS ignored FROM stems""",
     "name_bounces": f"WITH {_NAMES} SELECT p_partkey, p_partkey % 5 >= 2 AND length(stem) + length(ext) <= 253 AS bounce FROM stems",
     "client_names": "SELECT c_custkey, trim(substr(' ' || c_name || c_mktsegment || ' end of it', 1, 32)) AS client FROM customer",
+    "display_names": f"""WITH {{c}}, k AS (SELECT *, lower(name) AS key, row_number() OVER (PARTITION BY parent, lower(name) ORDER BY name) AS k FROM c),
+free AS (SELECT g.parent, g.key, r.range AS n, row_number() OVER (PARTITION BY g.parent, g.key ORDER BY r.range) + 1 AS k FROM (SELECT parent, key, count(*) AS size FROM k GROUP BY 1, 2 HAVING count(*) > 1) g, range(2, 60) r
+  WHERE NOT EXISTS (SELECT 1 FROM k x WHERE x.parent = g.parent AND x.key = replace(g.key, '.txt', '') || ' ({MARKER} ' || r.range || ').txt'))
+SELECT k.parent, name, CASE WHEN k.k = 1 THEN name ELSE substr(name, 1, length(name) - 4) || ' ({MARKER} ' || n || ')' || right(name, 4) END AS display FROM k LEFT JOIN free USING (parent, key, k)""",
+    "display_bases": f"WITH {{c}} SELECT parent, name, CASE WHEN regexp_matches(name, ' \\({MARKER} [0-9]+\\)\\.txt$') THEN regexp_replace(name, ' \\({MARKER} [0-9]+\\)', '') END AS base FROM c",
 }
+_COPIES = f"""t AS (SELECT p_partkey % 40 AS parent, p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE p_name END || '.txt' AS name FROM part),
+c AS (SELECT DISTINCT parent, name FROM (SELECT parent, name FROM t UNION ALL SELECT parent, lower(substr(name, 1, length(name) - 4)) || ' ({MARKER} ' || (2 + id % 3) || ').txt' FROM t WHERE id % 5 = 0 AND id IN (SELECT min(id) FROM t GROUP BY parent, name)))"""
+ORACLE_SQL = {k: q.replace("{c}", _COPIES) for k, q in ORACLE_SQL.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lignum.functions.names import is_bounce, is_valid, numbered
+from lignum.functions.rules import with_execute
 from lignum.operators.tree import above, subtree, with_ancestors
 from lignum.session import stored
 from lignum.sources.relations import LEVEL, items, read, with_views
@@ -95,13 +97,49 @@ def stat_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def deletions(proposals: DataFrame, tree: DataFrame) -> DataFrame:
-    """``op, outcome`` of deletions ``op, id, content_base, recursive``: done if unknown, rejected for the root, a stale base or a full folder."""
+    """``op, outcome`` of deletions ``op, id, content_base, meta_base, seen_seq, recursive``; the first rule that holds decides.
+
+    Done if the item is unknown. Rejected for the root, for a base that isn't the version now, for a base that isn't known where the item changed after
+    what the client has seen, and for a folder that isn't empty if only it is meant.
+    """
     full = tree.filter("parent IS NOT NULL").select(F.col("parent").alias("id"), F.lit(True).alias("full")).distinct()
-    both = proposals.join(tree.select("id", "parent", "content", F.lit(True).alias("known")), "id", "left").join(full, "id", "left")
-    rejected = F.col("parent").isNull() | (F.col("content_base").isNotNull() & (F.col("content_base") != F.col("content"))) | (F.col("full") & ~F.col("recursive"))
+    both = proposals.join(tree.select("id", "parent", "content", "meta", "seq", F.lit(True).alias("known")), "id", "left").join(full, "id", "left")
+    stale = (F.col("content_base").isNotNull() & (F.col("content_base") != F.col("content"))) | (F.col("meta_base").isNotNull() & (F.col("meta_base") != F.col("meta")))
+    unseen = (F.col("content_base").isNull() | F.col("meta_base").isNull()) & (F.col("seq") > F.col("seen_seq"))
+    rejected = F.col("parent").isNull() | stale | F.coalesce(unseen, F.lit(False)) | (F.col("full") & ~F.col("recursive"))
     return both.select("op", F.when(F.col("known").isNull(), "done").when(F.coalesce(rejected, F.lit(False)), "rejected").otherwise("deleted").alias("outcome"))
 
 
+def modifications(proposals: DataFrame, tree: DataFrame, mapped: DataFrame) -> DataFrame:
+    """``op, place, content, fetch`` of a client's changes to an item: what becomes of its new place, what is sent, and whether newer content must be fetched.
+
+    ``proposals`` has ``op, id, parent, name, meta_base, content_base, writes, holds``; ``mapped`` (``id``) are items shown under a number. Into the trash
+    is a ``delete`` and sends nothing. A new name of a mapped item that only numbers its own is ``shown`` and goes no further. A
+    move on a ``meta`` that isn't the one now (or unknown), or to a name that isn't valid, is ``dropped``. Content that is written goes out
+    with its base, or ``as 0``, which matches no version, where the base is unknown. An item whose content is newer than what
+    the client ``holds`` is fetched, unless it is written. Unknown items are ``gone``.
+    """
+    now = tree.select("id", F.col("parent").alias("now_parent"), F.col("name").alias("now_name"), F.col("meta"), F.col("content").alias("now_content"))
+    both = proposals.join(now, "id", "left").join(mapped.select("id", F.lit(True).alias("mapped")), "id", "left")
+    moves = (F.col("parent") != F.col("now_parent")) | (F.col("name") != F.col("now_name"))
+    bounce = F.coalesce(F.col("mapped"), F.lit(False)) & (F.col("parent") == F.col("now_parent")) & is_bounce(F.col("now_name"), F.col("name"))
+    place = (
+        F.when(F.col("now_name").isNull(), "gone").when(F.col("parent") == TRASH, "delete").when(~moves, "stays").when(bounce, "shown")
+        .when(~F.col("meta_base").eqNullSafe(F.col("meta")) | ~is_valid(F.col("name")), "dropped").otherwise("moved")
+    )
+    there = ~place.isin("gone", "delete")
+    content = F.when(there & F.col("writes"), F.when(F.col("content_base").isNull(), "as 0").otherwise("sent")).otherwise("none")
+    return both.select("op", place.alias("place"), content.alias("content"), F.coalesce(there & ~F.col("writes") & (F.col("now_content") > F.col("holds")), F.lit(False)).alias("fetch"))
+
+
+def attributes_set(proposals: DataFrame, tree: DataFrame) -> DataFrame:
+    """``op, mode, mtime_ns, outcome`` of ``op, id, execute, mtime_ns`` (null: as it is): the right to execute is a file's only, and a link keeps its mode."""
+    both = proposals.withColumnRenamed("mtime_ns", "new_mtime").join(tree.select("id", "kind", "mode", "mtime_ns"), "id", "left")
+    mode = F.when(F.col("execute").isNull() | (F.col("kind") != "File"), F.col("mode")).otherwise(with_execute(F.col("mode"), F.col("execute")))
+    changed = ~mode.eqNullSafe(F.col("mode")) | (F.col("new_mtime").isNotNull() & ~F.col("new_mtime").eqNullSafe(F.col("mtime_ns")))
+    return both.select("op", mode.cast("int").alias("mode"), F.coalesce("new_mtime", "mtime_ns").alias("mtime_ns"), F.when(F.col("kind").isNull(), "gone").when(changed, "set").otherwise("as it was").alias("outcome"))
+
+
 def _writes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     doc = read(s, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     current = doc.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, "Dir").when(F.col("doc_id") % 15 == 1, "Symlink").otherwise("File").alias("kind"), (F.col("doc_id") * 2).alias("content"), F.sha2("text", 256).alias("hash"))
@@ -154,7 +192,27 @@ def _after(s, d):
 
 def _deletes(s, d):
     base = F.when(F.col("id") % 3 == 0, F.col("content")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("content") + 1)
-    return items(s, d).select(F.col("id").alias("op"), F.when(F.col("id") % 10 == 9, -F.col("id")).otherwise(F.col("id")).alias("id"), base.alias("content_base"), (F.col("id") % 2 == 0).alias("recursive"))
+    return items(s, d).select(F.col("id").alias("op"), F.when(F.col("id") % 10 == 9, -F.col("id")).otherwise(F.col("id")).alias("id"), base.alias("content_base"), F.when(F.col("id") % 7 != 0, F.col("meta") + F.when(F.col("id") % 7 == 1, 1).otherwise(0)).alias("meta_base"), (F.col("seq") - F.when(F.col("id") % 4 == 0, 1).otherwise(0)).alias("seen_seq"), (F.col("id") % 2 == 0).alias("recursive"))
+
+
+def _modified(s, d):
+    t = items(s, d).filter("parent IS NOT NULL")
+    k = F.col("id") % 9
+    parent = F.when(k == 0, F.lit(TRASH)).when(k == 1, F.col("parent") + 1).otherwise(F.col("parent"))
+    name = F.when(k.isin(2, 3), numbered("name", F.lit(2))).when(k == 4, F.lit("a/b")).when(k == 5, F.concat(F.lit("new "), "name")).otherwise(F.col("name"))
+    asked = t.select(
+        F.col("id").alias("op"), F.when(F.col("id") % 50 == 7, -F.col("id")).otherwise(F.col("id")).alias("id"), parent.cast("long").alias("parent"), name.alias("name"),
+        F.when(F.col("id") % 4 == 0, F.col("meta") + 1).when(F.col("id") % 4 != 1, F.col("meta")).alias("meta_base"), F.when(F.col("id") % 5 == 0, F.col("content")).alias("content_base"), (F.col("id") % 2 == 0).alias("writes"), (F.col("content") - F.col("id") % 3).alias("holds"),
+    )
+    return modifications(asked, t, t.filter("id % 9 = 2").select("id"))
+
+
+def _set(s, d):
+    t = items(s, d)
+    k = F.col("id") % 4
+    kinds = t.withColumn("kind", F.when(F.col("id") % 5 == 3, "Symlink").otherwise(F.col("kind")))
+    asked = t.select(F.col("id").alias("op"), F.when(F.col("id") % 50 == 7, -F.col("id")).otherwise(F.col("id")).alias("id"), F.when(k == 1, F.lit(True)).when(k == 2, F.lit(False)).alias("execute"), F.when(F.col("id") % 3 == 0, F.col("mtime_ns") + 1).when(F.col("id") % 3 == 1, F.col("mtime_ns")).alias("mtime_ns"))
+    return attributes_set(asked, kinds)
 
 
 QUERIES = {
@@ -165,6 +223,8 @@ QUERIES = {
     "scanned": _scan,
     "stat_changes": lambda s, d: stat_changes(items(s, d), _after(s, d)),
     "deletions": lambda s, d: deletions(_deletes(s, d), items(s, d)),
+    "modifications": _modified,
+    "attributes_set": _set,
 }
 ORACLE_SQL = {
     "write_outcomes": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 21 = 0 AS gone FROM documents)
@@ -192,7 +252,16 @@ SELECT inside.id, stays.id IS NOT NULL AS kept FROM inside LEFT JOIN stays ON st
         """SELECT * FROM (SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 13 = 0 THEN 4 ELSE 0 END AS changed FROM items) WHERE changed <> 0""", "items"
     ),
     "deletions": with_views(
-        """SELECT id AS op, CASE WHEN id % 10 = 9 THEN 'done' WHEN parent IS NULL OR id % 3 = 2 OR (id % 2 = 1 AND EXISTS (SELECT 1 FROM items c WHERE c.parent = i.id)) THEN 'rejected' ELSE 'deleted' END AS outcome FROM items i""", "items"
+        """SELECT id AS op, CASE WHEN id % 10 = 9 THEN 'done' WHEN parent IS NULL OR id % 3 = 2 OR id % 7 = 1 OR ((id % 3 = 1 OR id % 7 = 0) AND id % 4 = 0) OR (id % 2 = 1 AND EXISTS (SELECT 1 FROM items c WHERE c.parent = i.id)) THEN 'rejected' ELSE 'deleted' END AS outcome FROM items i""", "items"
+    ),
+    "modifications": with_views(
+        """SELECT id AS op, place, CASE WHEN place IN ('gone', 'delete') OR id % 2 = 1 THEN 'none' WHEN id % 5 = 0 THEN 'sent' ELSE 'as 0' END AS content, place NOT IN ('gone', 'delete') AND id % 2 = 1 AND id % 3 > 0 AS fetch FROM (
+  SELECT id, CASE WHEN id % 50 = 7 THEN 'gone' WHEN k = 0 THEN 'delete' WHEN k > 5 THEN 'stays' WHEN k = 2 THEN 'shown' WHEN id % 4 < 2 OR k = 4 THEN 'dropped' ELSE 'moved' END AS place FROM (SELECT *, id % 9 AS k FROM items WHERE parent IS NOT NULL))""", "items"
+    ),
+    "attributes_set": with_views(
+        """SELECT op, CAST(mode AS INTEGER) AS mode, mtime_ns, CASE WHEN gone THEN 'gone' WHEN mode <> was OR op % 3 = 0 THEN 'set' ELSE 'as it was' END AS outcome FROM (
+  SELECT id AS op, id % 50 = 7 AS gone, mode AS was, CASE WHEN id % 50 = 7 THEN NULL WHEN k <> 'File' OR id % 4 IN (0, 3) THEN mode WHEN id % 4 = 1 THEN mode | ((mode & 292) >> 2) ELSE mode & 4022 END AS mode,
+    CASE id % 3 WHEN 0 THEN mtime_ns + 1 WHEN 1 THEN mtime_ns ELSE CASE WHEN id % 50 <> 7 THEN mtime_ns END END AS mtime_ns FROM (SELECT *, CASE WHEN id % 5 = 3 THEN 'Symlink' ELSE kind END AS k FROM items))""", "items"
     ),
 }
 ORACLE_SQL["kept_on_remove"] = ORACLE_SQL["kept_on_remove"].replace(")\n, inside", "),\ninside")

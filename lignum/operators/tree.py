@@ -127,20 +127,38 @@ def held_below(tree: DataFrame, roots: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def breadth_first(tree: DataFrame) -> DataFrame:
-    """All items, parents before children: ``id, depth, at``."""
-    return numbered(closure(tree).groupBy("id").agg(F.max("distance").alias("depth")), "depth", "id").select("id", "depth", "at")
+    """All items that hang together with the root, parents before children: ``id, depth, at``."""
+    return numbered(paths(tree).filter("depth IS NOT NULL").select("id", "depth"), "depth", "id").select("id", "depth", "at")
 
 
 def ancestor_names(tree: DataFrame) -> DataFrame:
-    """The names above each item, nearest first, joined with <."""
-    up = closure(tree).filter("distance > 0").join(tree.select(F.col("id").alias("ancestor"), "name"), "ancestor")
-    ordered = F.array_sort(F.collect_list(F.struct("distance", "name")))
-    return up.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), "<").alias("above"))
+    """The names above each item, nearest first and the root's own last, joined with <; not of the root, nor of what doesn't hang together with it."""
+    deep = paths(tree).filter("depth > 0")
+    parts = F.split("path", "/")
+    return deep.select("id", F.array_join(F.concat(F.reverse(F.slice(parts, 1, F.size(parts) - 1)), F.array(F.lit(""))), "<").alias("above"))
 
 
-def resolve(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The item at each path, or null: ``path, id``."""
-    return wanted.join(paths(tree).select("path", "id"), "path", "left").select("path", "id")
+def resolve(tree: DataFrame, wanted: DataFrame, overrides: DataFrame | None = None, root: int = ROOT) -> DataFrame:
+    """The item at each path, or null: ``path, id``. Walks down from the root, a step a component, from the wanted paths only.
+
+    Names are those shown: ``overrides`` (``id, display``) go before real ones, which count where nothing is shown under a name.
+    """
+    shown = tree.select("parent", "name", F.col("id").alias("real"))
+    if overrides is not None:
+        shown = shown.unionByName(tree.join(overrides, "id").select("parent", F.col("display").alias("name"), F.col("id").alias("first")), allowMissingColumns=True)
+    else:
+        shown = shown.withColumn("first", F.lit(None).cast("long"))
+    at = wanted.select("path").distinct().select("path", F.lit(root).cast("long").alias("id"), F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/")).alias("parts"))
+    at, k = stored(at, "resolve"), 0
+    most = at.agg(F.max(F.size("parts"))).first()[0] or 0
+    if most > DEPTH:
+        raise ValueError(f"a path has more than {DEPTH} components")
+    while k < most:
+        going = at.filter(F.size("parts") > k).select("path", F.col("id").alias("parent"), "parts", F.get("parts", F.lit(k)).alias("name"))
+        step = going.join(shown, ["parent", "name"], "left").groupBy("path").agg(F.first("parts").alias("parts"), F.min("first").alias("first"), F.min("real").alias("real"))
+        at = stored(at.filter(F.size("parts") <= k).unionByName(step.select("path", F.coalesce("first", "real").alias("id"), "parts")), "resolve")
+        k += 1
+    return wanted.join(at.select("path", "id"), "path", "left").select("path", "id")
 
 
 def tombstones_reported(tombs: DataFrame, shown: DataFrame, rounds: int = 64) -> DataFrame:
@@ -171,6 +189,18 @@ def _some_paths(s, d):
     return s.createDataFrame([("ASIA",), ("ASIA/CHINA",), ("EUROPE/FRANCE/nobody",), ("",), ("AMERICA/no",)], "path string")
 
 
+def _renamed_nations(s, d):
+    return items(s, d).filter(f"id >= {2 * LEVEL} AND id < {3 * LEVEL} AND id % 3 = 0").select("id", F.concat("name", F.lit(" 2")).alias("display"))
+
+
+def _shown_paths(s, d):
+    """Paths of all customers, through nations by shown or real names."""
+    t = items(s, d)
+    up = lambda n: t.select(F.col("id").alias(f"{n}"), F.col("name").alias(f"{n}_name"), F.col("parent").alias(f"{n}_parent"))
+    c = t.filter(f"id >= {3 * LEVEL} AND id < {4 * LEVEL}").join(up("n"), F.col("parent") == F.col("n")).join(up("r"), F.col("n_parent") == F.col("r"))
+    return c.select(F.concat_ws("/", "r_name", F.concat("n_name", F.when(F.col("id") % 4 == 0, " 2").otherwise("")), "name").alias("path"))
+
+
 def _proposals(s, d):
     t = items(s, d).filter("kind = 'Dir' AND parent IS NOT NULL")
     return t.filter(f"id >= {3 * LEVEL} AND id % 7 = 0").select(F.col("parent").alias("id"), F.col("id").alias("parent")).union(t.filter("id % 5 = 1").select("id", "parent"))
@@ -194,6 +224,7 @@ QUERIES = {
     "breadth_first": lambda s, d: breadth_first(items(s, d)),
     "ancestor_names": lambda s, d: ancestor_names(items(s, d)),
     "resolve_paths": lambda s, d: resolve(items(s, d), _some_paths(s, d)),
+    "resolve_shown": lambda s, d: resolve(items(s, d), _shown_paths(s, d), _renamed_nations(s, d)),
     "tombstones_reported": lambda s, d: tombstones_reported(_tombs(s, d), folders_shown(s)),
 }
 _TREE = ("items", "closure")
@@ -222,6 +253,10 @@ WHERE id IN ({_GONE}) AND id NOT IN (SELECT ancestor FROM closure WHERE id % 13
     "resolve_paths": with_views(
         """SELECT w.path, p.id FROM (VALUES ('ASIA'), ('ASIA/CHINA'), ('EUROPE/FRANCE/nobody'), (''), ('AMERICA/no')) w(path) LEFT JOIN paths p ON p.path = w.path""", "items", "paths"
     ),
+    "resolve_shown": with_views(
+        f""", c AS (SELECT r.name || '/' || n.name || CASE WHEN c.id % 4 = 0 THEN ' 2' ELSE '' END || '/' || c.name AS path, CASE WHEN c.id % 4 <> 0 OR n.id % 3 = 0 THEN c.id END AS id FROM items c JOIN items n ON n.id = c.parent JOIN items r ON r.id = n.parent WHERE c.id >= {3 * LEVEL} AND c.id < {4 * LEVEL})
+SELECT path, id FROM c""", "items"
+    ).replace(")\n, c AS", "),\nc AS"),
     "tombstones_reported": f"""WITH RECURSIVE change_log AS ({VIEWS["change_log"]}),
 tombs AS (SELECT id, seq, CASE WHEN id % 3 = 0 THEN old_parent ELSE id + 1 END AS old_parent FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, op = 'remove' DESC) AS r,
   last_value(parent IGNORE NULLS) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS old_parent FROM change_log) WHERE r = 1 AND op = 'remove'),

@@ -48,7 +48,7 @@ def identified(seen: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def hard_links(nodes: DataFrame) -> DataFrame:
-    """Pairs of an item and how many other names its inode has."""
+    """Items whose inode has other names, and how many."""
     n = nodes.groupBy("dev", "ino").agg(F.count("*").alias("names"))
     return nodes.join(n.filter("names > 1"), ["dev", "ino"]).select("id", (F.col("names") - 1).alias("others"))
 
@@ -58,15 +58,21 @@ def restored(cold: DataFrame, seen: DataFrame) -> DataFrame:
     return cold.alias("c").join(seen.alias("s"), (F.col("c.name") == F.col("s.name")) & same_identity("c", "s")).select(F.col("c.id").alias("id"), F.col("s.id").alias("seen"))
 
 
-def audited(index: DataFrame, live: DataFrame) -> DataFrame:
-    """Files whose live state differs from the index."""
-    both = index.join(live.select("id", *[F.col(c).alias(f"live_{c}") for c in ("ino", "size", "mtime_ns")]), "id")
+def audited(index: DataFrame, live: DataFrame, columns: tuple[str, ...] = ("ino", "size", "mtime_ns", "ctime_ns")) -> DataFrame:
+    """Files whose live state differs from the index; ids that only one side has aren't compared."""
+    both = index.join(live.select("id", *[F.col(c).alias(f"live_{c}") for c in columns]), "id")
     same = F.lit(True)
-    for c in ("ino", "size", "mtime_ns"):
+    for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"live_{c}"))
     return both.filter(~same).select("id")
 
 
+def entry(tree: DataFrame) -> DataFrame:
+    """Rows as they are listed: ``id, kind, size, lazy``. Folders have size 0, links the bytes of their ``target``; folders not ``scanned`` yet are lazy."""
+    size = F.when(F.col("kind") == "Dir", 0).when(F.col("kind") == "Symlink", F.coalesce(F.octet_length("target"), F.lit(0))).otherwise(F.col("size"))
+    return tree.select("id", "kind", size.cast("long").alias("size"), ((F.col("kind") == "Dir") & ~F.coalesce("scanned", F.lit(False))).alias("lazy"))
+
+
 def set_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Ids that one set has and the other lacks, with which."""
     added = after.select("id").exceptAll(before.select("id")).withColumn("change", F.lit("added"))
@@ -147,7 +153,8 @@ QUERIES = {
     "identified": lambda s, d: identified(_nodes(s, d, 0), _nodes(s, d, 2)),
     "hard_links": lambda s, d: hard_links(_nodes(s, d, 0)),
     "restored_children": lambda s, d: restored(_nodes(s, d, 0), _nodes(s, d, 1)),
-    "audited": lambda s, d: audited(items(s, d).withColumn("ino", F.col("id")), _changed(s, d).withColumn("ino", F.col("id") + F.when(F.col("id") % 37 == 0, 1).otherwise(0))),
+    "audited": lambda s, d: audited(items(s, d).withColumns({"ino": F.col("id"), "ctime_ns": F.col("mtime_ns")}), _changed(s, d).withColumns({"ino": F.col("id") + F.when(F.col("id") % 37 == 0, 1).otherwise(0), "ctime_ns": F.when(F.col("id") % 41 == 0, F.lit(None)).otherwise(F.col("mtime_ns"))})),
+    "entries": lambda s, d: entry(items(s, d).withColumns({"kind": F.when(F.col("id") % 6 == 5, "Symlink").otherwise(F.col("kind")), "target": F.concat(F.lit("\u00e9/"), "name"), "scanned": F.when(F.col("id") % 4 != 0, F.col("id") % 4 == 1)})),
     "mount_changes": lambda s, d: set_changes(items(s, d).filter("id % 6 = 0"), items(s, d).filter("id % 4 = 0")),
     "working_set": lambda s, d: working_set(materialized(s, d), items(s, d).filter("id % 17 = 0"), items(s, d).filter("id % 3 = 0")),
     "invalidations": lambda s, d: invalidations(items(s, d).filter("parent IS NOT NULL").select("parent", "name", "id", "meta", "content"), _changed(s, d)),
@@ -175,7 +182,8 @@ SELECT w.parent, w.name, coalesce((SELECT i.id FROM items i JOIN overrides o ON
     "identified": f"SELECT s.id AS seen, min(k.id) AS known FROM {_N.format(0)} s LEFT JOIN {_N.format(2)} k ON {_SAME.format('s', 'k')} GROUP BY 1",
     "hard_links": f"SELECT id, n - 1 AS others FROM (SELECT id, count(*) OVER (PARTITION BY dev, ino) AS n FROM {_N.format(0)} x) WHERE n > 1",
     "restored_children": f"SELECT c.id, s.id AS seen FROM {_N.format(0)} c JOIN {_N.format(1)} s ON c.name = s.name AND {_SAME.format('c', 's')}",
-    "audited": with_views(f", {_CHANGED} SELECT i.id FROM items i JOIN changed c USING (id) WHERE i.size <> c.size OR i.id % 37 = 0", "items"),
+    "audited": with_views(f", {_CHANGED} SELECT i.id FROM items i JOIN changed c USING (id) WHERE i.size <> c.size OR i.id % 37 = 0 OR i.id % 41 = 0", "items"),
+    "entries": with_views("SELECT id, k AS kind, CAST(CASE k WHEN 'Dir' THEN 0 WHEN 'Symlink' THEN strlen('\u00e9/' || name) ELSE size END AS BIGINT) AS size, k = 'Dir' AND id % 4 <> 1 AS lazy FROM (SELECT *, CASE WHEN id % 6 = 5 THEN 'Symlink' ELSE kind END AS k FROM items)", "items"),
     "mount_changes": with_views("SELECT id, 'added' AS change FROM items WHERE id % 4 = 0 AND id % 6 <> 0 UNION ALL SELECT id, 'removed' FROM items WHERE id % 6 = 0 AND id % 4 <> 0", "items"),
     "working_set": with_views("SELECT id FROM materialized WHERE id % 3 <> 0 UNION SELECT id FROM items WHERE id % 17 = 0", "items", "materialized"),
     "invalidations": with_views(

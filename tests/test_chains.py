@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lignum.operators import chains, clocks, log, ranks, transitions, tree
-from lignum.session import shared_folder
+from lignum.session import shared_folder, stored
 from lignum.sources import reports
 from tests.test_ranges import ranges  # noqa: F401
 
@@ -172,14 +172,14 @@ def test_states_compose(spark):
     rows = [(1, None, "", "Dir", 0, 0, 7, 7, 0, 0, 0)] + [(i, 1 if i < 6 else 2 + i % 4, f"n{i}", "Dir" if i < 6 else "File", i, i, i % 3, 7, i, i, i) for i in range(2, 40)]
     t = spark.createDataFrame(rows, TREE)
     moves = spark.createDataFrame([(10, 2, "new"), (11, 3, "n13"), (13, 5, "n11"), (2, 2, "loop"), (1, 2, "root"), (77, 2, "none")], "id long, parent long, name string")
-    a = transitions.moved(t, moves, 1000)
-    t1 = transitions.applied(t, a)
-    b = transitions.transplanted(t1, spark.createDataFrame([(2, 3), (20, 21), (500, 4)], "id long, source long"), 2000)
-    t2 = transitions.applied(t1, b)
-    c, cold = transitions.collapsed(t2, spark.createDataFrame([(4,), (1,), (10,)], "id long"), 3000)
-    t3 = transitions.applied(t2, c)
-    e = transitions.expanded(t3, cold, spark.createDataFrame([(4,)], "id long"), 4000)
-    t4 = transitions.applied(t3, e)
+    a = stored(transitions.moved(t, moves, 1000), "a")
+    t1 = stored(transitions.applied(t, a), "t1")
+    b = stored(transitions.transplanted(t1, spark.createDataFrame([(2, 3), (20, 21), (500, 4)], "id long, source long"), 2000), "b")
+    t2 = stored(transitions.applied(t1, b), "t2")
+    c, cold = (stored(x, "c") for x in transitions.collapsed(t2, spark.createDataFrame([(4,), (1,), (10,)], "id long"), 3000))
+    t3 = stored(transitions.applied(t2, c), "t3")
+    e = stored(transitions.expanded(t3, cold, spark.createDataFrame([(4,)], "id long"), 4000), "e")
+    t4 = stored(transitions.applied(t3, e), "t4")
     rows_of = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
     whole = a.unionByName(b).unionByName(c, allowMissingColumns=True).unionByName(e, allowMissingColumns=True)
     assert rows_of(transitions.applied(t, whole)) == rows_of(t4)
