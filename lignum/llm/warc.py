@@ -26,7 +26,7 @@ from lignum.llm.common import map_batches, scratch, table, written
 
 #: Fixed value: the skippable frame that holds a dictionary.
 DICTIONARY_MAGIC = (0x184D2A5D).to_bytes(4, "little")
-#: The dictionary's size, and the sample it is built from: so many records, none longer than so many characters.
+#: The dictionary's size, and the sample it is built from: so many records, of longer ones a piece of so many characters.
 DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_CHARS = 65_536, 400, 32_768
 #: Shortest payload that is stored once only, and how large an archive gets before the next one starts.
 LEAST_REVISIT, ARCHIVE_BYTES = 1000, 32 << 20
@@ -57,17 +57,22 @@ def with_types(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def build_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from the records that come first by a hash of the id; empty if there is too little to learn from."""
-    usable = pages.filter(F.length("html").between(1, SAMPLE_CHARS))
-    drawn = usable.select(F.xxhash64("page_id").alias("h")).orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    """A dictionary from the records that come first by a hash of the id; empty only if all records are.
+
+    Of a record longer than ``SAMPLE_CHARS`` a piece is taken, from a place that the hash tells. Where there is too little to
+    train on, the pieces themselves, the last of them first to go, are the dictionary.
+    """
+    usable = pages.filter(F.length("html") > 0).withColumn("h", F.xxhash64("page_id"))
+    drawn = usable.select("h").orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
     if drawn is None:
         return b""
-    rows = usable.filter(F.xxhash64("page_id") <= drawn).select("html").orderBy(F.xxhash64("page_id"), "html").limit(SAMPLE_RECORDS).collect()
-    samples = [r.html.encode() for r in rows]
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("html") - SAMPLE_CHARS + 1)).cast("int") + 1
+    rows = usable.filter(F.col("h") <= drawn).select("h", F.substr("html", start, F.lit(SAMPLE_CHARS)).alias("piece")).orderBy("h", "piece").limit(SAMPLE_RECORDS).collect()
+    samples = [r.piece.encode() for r in rows]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 4), samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
+    except zstandard.ZstdError:  # too few or too small
+        return b"".join(samples)[:DICTIONARY_BYTES]
 
 
 def record(page_id, url, payload: str | None, digest: str, size: int, refers_to) -> bytes:

@@ -61,3 +61,18 @@ def test_empty_table(spark):
 
 def test_few_records_need_no_dictionary(spark):
     assert warc.archive(make(spark, [(1, "u", "a"), (2, None, None)])).count() == 2
+
+
+def test_dictionary_of_long_or_few_pages(spark):
+    """Pages that are all long, or too few to train on, still give a dictionary, and archives that it opens."""
+    draw = random.Random(9)
+    long = [(i, "u", " ".join(draw.choice(["<p>", "the", "été", "</p>", "of", str(draw.randrange(999))]) for _ in range(20_000))) for i in range(40)]
+    for rows in (long, long[:1], [(1, "u", "short"), (2, None, None)]):
+        assert all(len(h or "") > warc.SAMPLE_CHARS for _, _, h in rows) or len(rows) == 2
+        df = make(spark, rows)
+        words = warc.build_dictionary(df)
+        assert 0 < len(words) <= warc.DICTIONARY_BYTES
+        path = scratch(spark, "warc-long")
+        got = warc.read(warc.write(warc.with_types(df), path, words), path).collect()
+        assert {(r.page_id, r.payload_digest) for r in got} == {(i, hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows}
+    assert warc.build_dictionary(make(spark, [(1, "u", None), (2, "u", "")])) == b""
