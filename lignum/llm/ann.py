@@ -5,13 +5,13 @@ and a vector is extended by one component that brings all of its band to the len
 longest, so that the nearest in angle is the largest in product. Each of several tables rotates the
 extended vectors by fast Hadamard pseudo-rotations and files every row under its nearest signed axis.
 Where a part has many rows, further rotations are concatenated, the last on fewer axes, so that a cell
-holds some hundred rows at any size. A query probes, in each table and part, the cells whose axes its
+holds some hundred rows at any size; where it has few, the one rotation keeps fewer axes. A query probes, in each table and part, the cells whose axes its
 own rotations lean to most. Rows it meets are ranked by the exact product of the original vectors, and
 the best of all cells are merged.
 
 The join is on (part, table, cell). Cells with many rows are cut into blocks by a hash of the id, each
-of which the queries meet, so no task holds a hot cell whole. Parts of few rows are compared with every
-query, and a query that met fewer rows than it is to return is compared with all rows.
+of which the queries meet, so no task holds a hot cell whole. A query that met fewer rows than it is to
+return is compared with all rows.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ TOP, QUERY_STEP = 20, 20
 TABLES = 10
 #: Rows of a cell for which another hash is concatenated, and above which a cell is cut into blocks.
 CELL_ROWS, BLOCK = 256, 4096
-#: Parts with fewer rows for each cell than this are compared whole.
+#: Rows of a cell, about, where a part has too few for all axes.
 FEW_ROWS = 16
-#: Of C cells of a table a query probes PROBE_SHARE * C ** PROBE_POWER; the recall of this is in the README.
+#: Of C cells of a table a query probes PROBE_SHARE * C ** PROBE_POWER and one more; the recall of this is in the README.
 PROBE_SHARE, PROBE_POWER = 0.163, 0.775
 #: Queries that meet a block of rows at once where all are compared.
 ASKED = 1024
@@ -47,7 +47,8 @@ BEST = "query_id long, ids array<long>, scores array<double>"
 
 def polytopes(rows: int, width: int) -> list[int]:
     """The numbers of axes (without sign) of the hashes that make up a cell's number."""
-    found, cells = [width], 2 * width
+    first = min(width, max(1, 1 << max(0, (rows // (2 * FEW_ROWS)).bit_length() - 1)))
+    found, cells = [first], 2 * first
     while (more := rows // (2 * CELL_ROWS * cells)) >= 1:
         found.append(min(width, 1 << (more.bit_length() - 1)))
         cells *= 2 * found[-1]
@@ -56,7 +57,7 @@ def polytopes(rows: int, width: int) -> list[int]:
 
 def probe_count(widths: list[int]) -> int:
     cells = math.prod(2 * w for w in widths)
-    return min(cells, math.ceil(PROBE_SHARE * cells**PROBE_POWER))
+    return min(cells, math.ceil(PROBE_SHARE * cells**PROBE_POWER) + 1)
 
 
 def extended(x: np.ndarray, longest: float, width: int) -> np.ndarray:
@@ -198,7 +199,7 @@ def merged(found: DataFrame, top: int) -> DataFrame:
     return map_batches(found.repartition("query_id").sortWithinPartitions("query_id"), run, BEST)
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES, probes: int | None = None, block: int = BLOCK, few: int = FEW_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES, probes: int | None = None, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the rows found with the largest inner product.
 
     Both frames have ``vec_id`` and ``embedding``; other columns are ignored. Nearest first, ties to the
@@ -207,7 +208,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     components and rows without an id take no part. Rows that repeat an id and vector are one candidate and
     one query. Scores are products in double precision, summed in one order, so equal vectors tie exactly.
     An empty table gives no rows. ``probes`` is the number of cells in each table, taken from how many there
-    are if not given; parts of fewer rows than ``few`` for each cell are compared whole.
+    are if not given.
     """
     good = lambda df: df.select("vec_id", "embedding").filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"])
     rows, asked = good(vectors), written(good(queries), "ann-queries")
@@ -224,8 +225,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     for r in rows.groupBy("d", "band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect():
         width = power_of_two(r.d + 1)
         widths = polytopes(r.n, width)
-        small = r.n < few * math.prod(2 * w for w in widths)
-        parts[r.d, r.band] = {"part": len(parts), "longest": r.longest, "width": width, "widths": widths, "small": small}
+        parts[r.d, r.band] = {"part": len(parts), "longest": r.longest, "width": width, "widths": widths}
 
     def split(batch: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
         of = np.stack([batch[c].to_numpy() for c in by], axis=1)
@@ -239,14 +239,14 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
         for batch in batches:
             for key, own in split(batch, ["d", "band"]):
                 p, x = parts[key], matrix(own["embedding"])
-                codes = np.zeros((len(x), 0), np.int64) if p["small"] else cells(extended(x, p["longest"], p["width"]), flips(p), p["widths"]).astype(np.int64)
+                codes = cells(extended(x, p["longest"], p["width"]), flips(p), p["widths"]).astype(np.int64)
                 yield {"vec_id": own["vec_id"], "embedding": own["embedding"], "part": [p["part"]] * len(x), "codes": listed(codes.ravel(), np.full(len(x), codes.shape[1]))}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for (size,), own in split(batch, ["d"]):
                 x = matrix(own["embedding"])
-                for p in [p for (d, _), p in parts.items() if d == size and not p["small"]]:
+                for p in [p for (d, _), p in parts.items() if d == size]:
                     each = min(probes or probe_count(p["widths"]), math.prod(2 * w for w in p["widths"]))
                     codes = probed(padded(x / np.sqrt((x * x).sum(axis=1))[:, None], p["width"]), flips(p), p["widths"], each).astype(np.int64)
                     yield {"vec_id": own["vec_id"], "embedding": own["embedding"], "part": [p["part"]] * len(x), "codes": listed(codes.ravel(), np.full(len(x), codes.shape[1]))}
@@ -254,32 +254,24 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     kind = dict(rows.dtypes)["embedding"]
     ddl = f"vec_id long, embedding {kind}, part int, codes array<long>"
     filed = written(map_batches(rows.select("vec_id", "embedding", "d", "band"), index, ddl), "ann-index")
-    small = [p["part"] for p in parts.values() if p["small"]]
-    found = []
-    if len(small) < len(parts):
-        probing = map_batches(asked.select("vec_id", "embedding", d.alias("d")), ask, ddl)
-        keys = ["part", "t", "code"]
-        each = filed.filter(F.size("codes") > 0).select("vec_id", "embedding", "part", F.posexplode("codes").alias("t", "code"))
-        # Cells above the block size: as many as rows * tables / block at most, mostly none. Spark broadcasts them if that is little.
-        hot = written(each.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "ann-hot")
-        one = F.coalesce("blocks", F.lit(1))
-        salted = each.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), one.cast("long")).cast("int"))
-        probing = probing.select("vec_id", "embedding", "part", F.size("codes").alias("all"), F.posexplode("codes").alias("at", "code"))
-        probing = probing.withColumn("t", F.floor(F.col("at") * tables / F.col("all")).cast("int")).join(hot, keys, "left")
-        probing = probing.withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1)))
-        columns = [*keys, "salt", "vec_id", "embedding"]
-        both = salted.select(*columns, F.lit(0).alias("asks")).union(probing.select(*columns, F.lit(1).alias("asks")))
-        found.append(met(both, [*keys, "salt"], top))
-    if small:
-        found.append(compared(filed.filter(F.col("part").isin(small)), asked, top, block))
-    best = merged(found[0] if len(found) == 1 else found[0].union(found[1]), top)
-    if len(small) < len(parts):
-        # Not all were compared: those that met too few rows are asked again, and what they find then counts instead.
-        best = written(best, "ann-found")
-        full = best.filter(F.size("ids") >= top)
-        short = written(asked.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "ann-short")
-        if not short.isEmpty():
-            best = full.union(merged(compared(filed, short, top, block), top))
+    probing = map_batches(asked.select("vec_id", "embedding", d.alias("d")), ask, ddl)
+    keys = ["part", "t", "code"]
+    each = filed.select("vec_id", "embedding", "part", F.posexplode("codes").alias("t", "code"))
+    # Cells above the block size: as many as rows * tables / block at most, mostly none. Spark broadcasts them if that is little.
+    hot = written(each.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "ann-hot")
+    one = F.coalesce("blocks", F.lit(1))
+    salted = each.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), one.cast("long")).cast("int"))
+    probing = probing.select("vec_id", "embedding", "part", F.size("codes").alias("all"), F.posexplode("codes").alias("at", "code"))
+    probing = probing.withColumn("t", F.floor(F.col("at") * tables / F.col("all")).cast("int")).join(hot, keys, "left")
+    probing = probing.withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1)))
+    columns = [*keys, "salt", "vec_id", "embedding"]
+    both = salted.select(*columns, F.lit(0).alias("asks")).union(probing.select(*columns, F.lit(1).alias("asks")))
+    # Those that met too few rows are asked again, and what they find then counts instead.
+    best = written(merged(met(both, [*keys, "salt"], top), top), "ann-found")
+    full = best.filter(F.size("ids") >= top)
+    short = written(asked.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "ann-short")
+    if not short.isEmpty():
+        best = full.union(merged(compared(filed, short, top, block), top))
     out = best.select("query_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
