@@ -89,7 +89,36 @@ def _cards(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.concat(F.lit("| T0 | none\n## rtt"), n, F.lit("\n| ID | metric |\n"), row, F.lit("\n| no | "), row).alias("text"))
 
 
+def version_key(text: Column) -> Column:
+    """What orders versions ``[v]N.N...[-pre][+build]``: a struct to compare, null for anything else.
+
+    Missing numbers are 0. A version with a pre-release comes before the one without; its identifiers, parted by dots, go one
+    by one, numbers by value and before all others, and a list that ends first is less. Builds don't count.
+    """
+    parts = r"^v?([0-9]+(?:\.[0-9]+)*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+    text = F.trim(text)
+    numbers = F.regexp_replace(F.regexp_extract(text, parts, 1), r"(\.0+)+$", "")
+    pre = F.regexp_extract(text, parts, 2)
+    digits = lambda x: x.rlike("^[0-9]+$")
+    one = lambda x: F.struct((~digits(x)).cast("int").alias("word"), F.when(digits(x), x.try_cast("decimal(38,0)")).alias("number"), F.when(~digits(x), x).alias("text"))
+    ids = F.when(pre != "", F.transform(F.split(pre, r"\."), one)).otherwise(F.array().cast("array<struct<word:int,number:decimal(38,0),text:string>>"))
+    return F.when(text.rlike(parts), F.struct(F.transform(F.split(numbers, r"\."), lambda x: x.try_cast("decimal(38,0)")).alias("numbers"), (pre == "").cast("int").alias("whole"), ids.alias("pre")))
+
+
+def version_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as version ``a`` is before, like or after ``b``; null where either is no version."""
+    x, y = version_key(a), version_key(b)
+    return F.when(x < y, -1).when(x > y, 1).when(x.isNotNull() & y.isNotNull(), 0)
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    k, j = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda k, j: F.concat(F.when(k % 3 == 0, "v").otherwise(""), (k % 2).cast("string"), F.lit("."), (j % 11).cast("string"), F.when(k % 5 == 0, ".0").when(k % 5 == 1, ".0.1").otherwise(""), F.when(j % 4 == 0, F.concat(F.lit("-rc."), (k % 12).cast("string"))).when(j % 4 == 1, "-beta").otherwise(""), F.when(k % 7 == 0, "+b7").when(k % 17 == 0, " x").otherwise(""))
+    return read(s, d, "orders").select("o_orderkey", text(k, j).alias("a"), text(j, k).alias("b"))
+
+
 QUERIES = {
+    "version_orders": lambda s, d: _versions(s, d).select("o_orderkey", "a", "b", version_order(F.col("a"), F.col("b")).alias("order")),
     "display_names_plain": lambda s, d: plain_display_names(_twins(s, d)),
     "op_hashes": lambda s, d: items(s, d).select(
         "id", op_hash("create", F.col("parent"), F.col("name"), F.col("kind")).alias("create_op"), op_hash("modify", F.col("id"), F.col("content"), F.col("meta")).alias("modify_op"), op_hash("delete", F.col("id"), F.col("seq")).alias("delete_op")
@@ -117,3 +146,7 @@ FROM (SELECT seq, CAST(wall_ns // 1000000000 AS DOUBLE) + CAST(wall_ns % 1000000
     "link_flips": with_views("SELECT id FROM paths WHERE path LIKE 'EUROPE/%' AND kind = 'File' AND id % 4 IN (0, 1)", "items", "paths"),
     "scorecard_rows": """SELECT CAST(p_partkey AS BIGINT) AS id, 'rtt' || p_partkey AS profile, 'T' || p_partkey AS target, 'open' AS metric, CAST(p_size AS VARCHAR) AS own, '7' AS sshfs, '8' AS local, 'yes' AS pass, '2' AS ratio FROM part""",
 }
+_V = "CASE WHEN {0} % 3 = 0 THEN 'v' ELSE '' END || {0} % 2 || '.' || {1} % 11 || CASE {0} % 5 WHEN 0 THEN '.0' WHEN 1 THEN '.0.1' ELSE '' END || CASE {1} % 4 WHEN 0 THEN '-rc.' || {0} % 12 WHEN 1 THEN '-beta' ELSE '' END || CASE WHEN {0} % 7 = 0 THEN '+b7' WHEN {0} % 17 = 0 THEN ' x' ELSE '' END"
+_W = "[{0} % 2, {1} % 11, 0, CASE {0} % 5 WHEN 1 THEN 1 ELSE 0 END, CASE WHEN {1} % 4 < 2 THEN 0 ELSE 1 END, CASE {1} % 4 WHEN 0 THEN 1 ELSE 0 END, CASE {1} % 4 WHEN 0 THEN {0} % 12 ELSE 0 END]"
+ORACLE_SQL["version_orders"] = f"""SELECT o_orderkey, {_V.format("o_orderkey", "o_custkey")} AS a, {_V.format("o_custkey", "o_orderkey")} AS b, CASE WHEN (o_orderkey % 7 <> 0 AND o_orderkey % 17 = 0) OR (o_custkey % 7 <> 0 AND o_custkey % 17 = 0) THEN NULL
+  WHEN {_W.format("o_orderkey", "o_custkey")} < {_W.format("o_custkey", "o_orderkey")} THEN -1 WHEN {_W.format("o_orderkey", "o_custkey")} > {_W.format("o_custkey", "o_orderkey")} THEN 1 ELSE 0 END AS "order" FROM orders"""

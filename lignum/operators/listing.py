@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lignum.functions.names import fold_key
 from lignum.operators.log import numbered
 from lignum.operators.tree import paths
-from lignum.sources.relations import items, read, with_views
+from lignum.sources.relations import LEVEL, items, read, with_views
 
 #: Entries that changed within so long of the last observation may change again unseen.
 RACY_NS = 20_000_000
@@ -28,6 +28,16 @@ def by_depth(tree: DataFrame, *touched) -> DataFrame:
     return numbered(tree, "depth", *touched)
 
 
+def published_order(changes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``id, op, at``: one batch's changes (``id, op, pos``) numbered from 1 as they go out: upserts before removals, parents before children, then by ``pos``.
+
+    The depth is that of the item after the batch; what doesn't hang together with the root comes last among its like.
+    """
+    deep = paths(tree.select("id", "parent", "name")).select("id", "depth")
+    rows = changes.join(deep, "id", "left").withColumn("last", (F.col("op") == "remove").cast("int"))
+    return numbered(rows, F.asc("last"), F.asc_nulls_last("depth"), F.asc("pos"), F.asc("id")).select("id", "op", "at")
+
+
 def racy(stats: DataFrame, observed_ns: int, window_ns: int = RACY_NS) -> DataFrame:
     """Entries that changed no earlier than ``window_ns`` before the last observation, or after it."""
     after = F.lit(observed_ns - window_ns)
@@ -115,7 +125,12 @@ _STATS = """stats AS (SELECT id, kind, content, mtime_ns, mtime_ns + id % 1000 *
   id % 1000 % 7 = 0 AS differs, id % 1000 * 9 AS seen_seq, CASE WHEN id % 1000 % 3 <> 0 THEN id % 1000 * 2000000 END AS seen_ns FROM items)"""
 _BY_TIME = "coalesce(ctime_ns > seen_ns OR mtime_ns > seen_ns, true)"
 OBSERVED = 500_000_000
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    return items(s, d).filter("id % 3 = 0").select("id", F.when(F.col("id") % 5 == 0, "remove").otherwise("upsert").alias("op"), (F.col("id") * 7919 % 100_003).alias("pos"))
+
+
 QUERIES = {
+    "published_order": lambda s, d: published_order(_batch(s, d), items(s, d)),
     "children_by_path": lambda s, d: children(paths(items(s, d)), "EUROPE"),
     "children_of_root": lambda s, d: children(paths(items(s, d)), ""),
     "ordered_by_depth": lambda s, d: by_depth(paths(items(s, d)).select("id", "depth", "seq"), "seq", "id").select("id", F.col("depth").cast("int").alias("depth"), "at"),
@@ -146,3 +161,4 @@ FROM (SELECT *, CAST(p_partkey AS HUGEINT) * 100000000000000000 + 99999999999999
     "queue_limits": f"SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_partkey % 3 = 0 THEN 100000 ELSE CAST(ceil(CAST(p_size AS DOUBLE) * 125000 * (CAST(p_partkey % 200 AS DOUBLE) / 2000 + 0.05::DOUBLE) / {PACKET} * 1.5::DOUBLE) AS BIGINT) + 64 END AS packets FROM part",
 }
 ORACLE_SQL = {k: q.replace(")\n, ", "),\n") for k, q in ORACLE_SQL.items()}
+ORACLE_SQL["published_order"] = with_views(f"SELECT id, CASE WHEN id % 5 = 0 THEN 'remove' ELSE 'upsert' END AS op, row_number() OVER (ORDER BY id % 5 = 0, id // {LEVEL}, id * 7919 % 100003, id) AS at FROM items WHERE id % 3 = 0", "items")

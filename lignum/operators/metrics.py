@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lignum.operators.ranks import nearest_ranks, same
@@ -153,6 +153,16 @@ def scorecard(m: DataFrame) -> DataFrame:
     return wide.withColumn("at", id_order(F.col("id")))
 
 
+def rendered(m: DataFrame) -> DataFrame:
+    """``profile, at, line``: the scorecard of each link as lines of a Markdown table, numbered from 1; the first two are its head."""
+    card = scorecard(m).filter("profile IS NOT NULL")
+    cell = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = card.select("profile", "at", "id", "metric", F.concat(F.lit("| "), F.concat_ws(" | ", "id", "metric", cell("own"), cell("sshfs"), cell("local")), F.lit(" |")).alias("line"))
+    at = F.row_number().over(Window.partitionBy("profile").orderBy("at", "id", "metric")) + 2  # a link has some dozens of rows
+    heads = card.select("profile").distinct().select("profile", F.posexplode(F.array(F.lit("| id | metric | own | sshfs | local |"), F.lit("|---|---|---|---|---|"))).alias("k", "line"))
+    return heads.select("profile", (F.col("k") + 1).cast("int").alias("at"), "line").unionByName(rows.select("profile", at.cast("int").alias("at"), "line"))
+
+
 def counts(m: DataFrame) -> DataFrame:
     v = verdicts(m)
     return v.agg(F.count_if(F.col("pass").isNotNull()).alias("judged"), F.count_if(F.col("pass") == F.lit(False)).alias("failed"), F.count_if(F.col("value").isNull()).alias("unavailable"))
@@ -213,6 +223,7 @@ QUERIES = {
     "speedups": lambda s, d: speedups(measurements(s, d)),
     "regressions": lambda s, d: regressions(*_runs(s, d), 0.1).select("id", "system", "profile", "reason"),
     "scorecard": lambda s, d: scorecard(measurements(s, d)),
+    "scorecard_lines": lambda s, d: rendered(measurements(s, d)),
     "lacking_reasons": lambda s, d: reasons(measurements(s, d)),
     "first_seen": lambda s, d: first_seen(measurements(s, d), "samples"),
     "extrapolated": lambda s, d: extrapolated(read(s, d, "events").filter("event_type = 'view'").select(F.col("value").alias("elapsed"), (F.col("user_id") * 100).alias("total"))),
@@ -254,6 +265,11 @@ SELECT * FROM r WHERE reason IS NOT NULL""", *_MEASURES
     "scorecard": with_views(
         f"""SELECT profile, id, metric, max(c) FILTER (WHERE system = 'own') AS own, max(c) FILTER (WHERE system = 'sshfs') AS sshfs, max(c) FILTER (WHERE system = 'local') AS local, {_ORDER} AS at
 FROM (SELECT *, {_CELL} AS c FROM measurements) GROUP BY profile, id, metric""", *_MEASURES
+    ),
+    "scorecard_lines": with_views(
+        f""", c AS (SELECT profile, id, metric, max(c) FILTER (WHERE system = 'own') AS own, max(c) FILTER (WHERE system = 'sshfs') AS sshfs, max(c) FILTER (WHERE system = 'local') AS local FROM (SELECT *, {_CELL} AS c FROM measurements) GROUP BY profile, id, metric)
+SELECT profile, CAST(row_number() OVER (PARTITION BY profile ORDER BY {_ORDER}, id, metric) + 2 AS INTEGER) AS at, '| ' || id || ' | ' || metric || ' | ' || coalesce(own, '') || ' | ' || coalesce(sshfs, '') || ' | ' || coalesce(local, '') || ' |' AS line FROM c
+UNION ALL SELECT DISTINCT profile, 1, '| id | metric | own | sshfs | local |' FROM measurements UNION ALL SELECT DISTINCT profile, 2, '|---|---|---|---|---|' FROM measurements""", *_MEASURES
     ),
     "lacking_reasons": with_views(f"SELECT status, string_agg(id, ', ' ORDER BY {_ORDER}) AS ids FROM (SELECT DISTINCT status, id FROM measurements WHERE status <> 'ok') GROUP BY 1", *_MEASURES),
     "first_seen": with_views(f"SELECT id, metric, min(samples) AS first, min({_ORDER}) AS place FROM measurements GROUP BY 1, 2", *_MEASURES),

@@ -77,14 +77,18 @@ def kept_on_remove(tree: DataFrame, root: int, seen_seq: int) -> DataFrame:
 def scanned(seen: DataFrame, known: DataFrame) -> DataFrame:
     """What each row of a scan is: the same, moved here, replaced in place (the id stays), or new.
 
-    Both have ``parent, name, kind, dev, ino`` and ``known`` has ``id``. Identity is found first, then the place.
+    Both have ``parent, name, kind, dev, ino, born`` and ``known`` has ``id``. Identity is found first, then the place. A device and inode used
+    again show by their birth times, where both know it; of several known names of an inode the one here counts, then the least id.
     """
-    by_ino = known.select("dev", "ino", "kind", F.col("id").alias("ino_id"), F.col("parent").alias("p"), F.col("name").alias("n"))
+    by_ino = known.select("dev", "ino", "kind", F.col("born").alias("was_born"), F.struct(F.lit(1).alias("far"), F.col("id"), F.col("parent").alias("p"), F.col("name").alias("n")).alias("one"))
     by_place = known.select("parent", "name", F.col("id").alias("place_id"), F.col("kind").alias("k"))
-    both = seen.join(by_ino, ["dev", "ino", "kind"], "left").join(by_place, ["parent", "name"], "left")
-    here = (F.col("p") == F.col("parent")) & (F.col("n") == F.col("name"))
-    what = F.when(here, "same").when(F.col("ino_id").isNotNull(), "moved").when(F.col("k") == F.col("kind"), "replaced").otherwise("new")
-    return both.select("parent", "name", F.coalesce("ino_id", F.when(F.col("k") == F.col("kind"), F.col("place_id"))).alias("id"), what.alias("what"))
+    same = F.coalesce(F.col("born") == F.col("was_born"), F.lit(True))
+    here = (F.col("one.p") == F.col("parent")) & (F.col("one.n") == F.col("name"))
+    rows = seen.join(by_ino, ["dev", "ino", "kind"], "left").withColumn("one", F.when(F.col("one").isNotNull() & same, F.struct((~here).cast("int").alias("far"), "one.id")))
+    rows = rows.groupBy("parent", "name", "kind").agg(F.min("one").alias("one"))
+    both = rows.join(by_place, ["parent", "name"], "left")
+    what = F.when(F.col("one.far") == 0, "same").when(F.col("one").isNotNull(), "moved").when(F.col("k") == F.col("kind"), "replaced").otherwise("new")
+    return both.select("parent", "name", F.coalesce("one.id", F.when(F.col("k") == F.col("kind"), F.col("place_id"))).alias("id"), what.alias("what"))
 
 
 def stat_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -176,11 +180,12 @@ def _renames(s, d):
 
 def _scan(s, d):
     t = items(s, d).filter("parent IS NOT NULL")
-    known = t.select("id", "parent", "name", "kind", F.lit(1).alias("dev"), F.col("id").alias("ino"))
+    known = t.select("id", "parent", "name", "kind", F.lit(1).alias("dev"), F.col("id").alias("ino"), F.when(F.col("id") % 3 != 0, F.col("mtime_ns")).alias("born"))
     k = F.col("id") % 8
     seen = known.select(
         "parent", F.when(k == 1, F.concat("name", F.lit(" new"))).when(k == 2, F.concat("name", F.lit(" moved"))).otherwise(F.col("name")).alias("name"),
         F.when(k == 5, "Symlink").otherwise(F.col("kind")).alias("kind"), "dev", F.when(k.isin(1, 3, 5), -F.col("ino")).otherwise(F.col("ino")).alias("ino"),
+        F.when(k == 6, F.col("born") + 1).when(k == 7, F.lit(None)).otherwise(F.col("born")).alias("born"),
     )
     return scanned(seen, known)
 
@@ -246,7 +251,7 @@ SELECT inside.id, stays.id IS NOT NULL AS kept FROM inside LEFT JOIN stays ON st
     ),
     "scanned": with_views(
         """SELECT parent, name || CASE id % 8 WHEN 1 THEN ' new' WHEN 2 THEN ' moved' ELSE '' END AS name, CASE WHEN id % 8 IN (1, 5) THEN NULL ELSE id END AS id,
-  CASE id % 8 WHEN 1 THEN 'new' WHEN 2 THEN 'moved' WHEN 3 THEN 'replaced' WHEN 5 THEN 'new' ELSE 'same' END AS what FROM items WHERE parent IS NOT NULL""", "items"
+  CASE id % 8 WHEN 1 THEN 'new' WHEN 2 THEN 'moved' WHEN 3 THEN 'replaced' WHEN 5 THEN 'new' WHEN 6 THEN CASE WHEN id % 3 <> 0 THEN 'replaced' ELSE 'same' END ELSE 'same' END AS what FROM items WHERE parent IS NOT NULL""", "items"
     ),
     "stat_changes": with_views(
         """SELECT * FROM (SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 13 = 0 THEN 4 ELSE 0 END AS changed FROM items) WHERE changed <> 0""", "items"

@@ -62,3 +62,33 @@ def test_walks_to_paths(spark):
     assert {r.path: r.id for r in tree.resolve(t, wanted, over).collect()}["a/c"] == 3
     assert {r.id: r.above for r in tree.ancestor_names(t).collect()} == {2: "", 3: "a<", 4: "a<"}
     assert {(r.id, r.at) for r in tree.breadth_first(t).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_version_order(spark):
+    """Against a comparison number by number."""
+    import re
+    from itertools import product
+
+    from lignum.functions.codes import version_order
+
+    def key(text):
+        m = re.fullmatch(r"v?(\d+(?:\.\d+)*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?", text.strip())
+        return m and ([int(x) for x in m[1].split(".")], m[2].split(".") if m[2] else [])
+
+    def order(a, b):
+        x, y = key(a), key(b)
+        if not x or not y:
+            return None
+        width = max(len(x[0]), len(y[0]))
+        p, q = (k[0] + [0] * (width - len(k[0])) for k in (x, y))
+        if p != q:
+            return -1 if p < q else 1
+        if not x[1] or not y[1]:
+            return bool(y[1]) - bool(x[1])
+        p, q = ([(0, int(i), "") if i.isdigit() else (1, 0, i) for i in k[1]] for k in (x, y))
+        return (p > q) - (p < q)
+
+    texts = ["1", "v1.0", "1.0.0", "1.0.1", "1.2", "1.10", "01.2", " 1.2 ", "1.2-rc.1", "1.2-rc.2", "1.2-rc.10", "1.2-rc", "1.2-rc.x", "1.2-1", "1.2-a.b-c", "1.2+b", "0", "0.0", "10.0", "", "x", "1.", "1.2-", "99999999999999999999.1"]
+    df = spark.createDataFrame(list(product(texts, texts)), "a string, b string")
+    got = {(r.a, r.b): r.o for r in df.select("a", "b", version_order(F.col("a"), F.col("b")).alias("o")).collect()}
+    assert {k: v for k, v in got.items() if v != order(*k)} == {}
