@@ -24,16 +24,21 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def drained(stream: DataFrame, each, checkpoint: str | None = None, mode: str = "append") -> None:
-    """Runs a stream over all that is there, batch by batch; with the same ``checkpoint`` it goes on where it was."""
+    """Runs a stream over all that is there, batch by batch; with the same ``checkpoint`` it goes on where it was.
+
+    Each micro-batch opens every partition of the state, so there are two a core at most; a checkpoint keeps their number.
+    """
     spark = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n, None) for n in names}
+    spark.conf.set(names[0], ROCKS)
+    spark.conf.set(names[1], min(int(spark.conf.get(names[1])), 2 * spark.sparkContext.defaultParallelism))
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or shared_folder(spark, "stream")).foreachBatch(each).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for n, value in before.items():
+            spark.conf.set(n, value) if value else spark.conf.unset(n)
 
 
 def collected(stream: DataFrame) -> DataFrame:
