@@ -1,8 +1,9 @@
 """License scan: ordered signature rules over word sequences, in DataFrame functions only.
 
 A text is lower-cased (A-Z) and reduced to its words with one space between. Rules are regular
-expressions over that form. Each names a keyword, and a rule runs only on texts that hold its
-keyword, so most texts run none. A rule has a priority (1 is the strongest: a grant that names a
+expressions over that form: phrases written by hand, and names with their versions made from families.
+Each names a keyword, and a rule runs only on texts that hold its keyword, so most texts run none.
+Keywords with a stem in common are looked for only where the stem is. A rule has a priority (1 is the strongest: a grant that names a
 license and its version; 4 the weakest: a bare mention). Detections are spans; a span that lies
 inside one of the same or a stronger priority is suppressed, so "apache license version 2" does not
 also count as "apache license". What survives gives labels, and the best weight is the score.
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.llm.common import let, lower_ascii, table
+from lignum.llm.license_phrases import PHRASES
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,42 +86,8 @@ CC_KINDS = (
     ("cc-by-nc-nd", "attribution non ?commercial no ?deriv(?:ative|ative work)?s", "by nc nd"),
 )
 CC_VERSIONS = ("1", "2", "2 5", "3", "4")
-#: Fixed values: (label, pattern, keyword, priority) of phrases from license texts and headers.
-PHRASES = (
-    ("unlicense", "(?:the )?unlicense", "unlicense", 2),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted", 1),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted", 1),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution", 1),
-    ("bsd-3", "neither the name of .{1,80} nor the names of its contributors may be used to endorse", "endorse", 1),
-    ("bsd-4", "all advertising materials mentioning features or use of this software must display", "advertising materials", 1),
-    ("bsd-2", "(?:bsd 2 clause|simplified bsd|freebsd) licen[cs]e", "bsd", 2),
-    ("bsd-3", "(?:bsd 3 clause|(?:new|modified|revised) bsd) licen[cs]e", "bsd", 2),
-    ("bsd-4", "(?:bsd 4 clause|original bsd) licen[cs]e", "bsd", 2),
-    ("bsd", "bsd(?: style| like)? licen[cs]e", "bsd", 4),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "held liable", 1),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 1),
-    ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0", 2),
-    ("cc0", "creative commons zero", "creative commons", 2),
-    ("cc", "creative commons licen[cs]e", "creative commons", 4),
-    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to|in to) the public domain", "public domain", 2),
-    ("public-domain", "in the public domain", "public domain", 4),
-    ("proprietary", "all rights reserved", "all rights reserved", 4),
-    ("proprietary", "proprietary and confidential", "proprietary", 2),
-    ("proprietary", "(?:unauthori[sz]ed|no) (?:copying|reproduction|redistribution) (?:of this .{1,40} )?(?:is )?(?:strictly )?prohibited", "prohibited", 3),
-    ("proprietary", "(?:unauthori[sz]ed|no) (?:copying|reproduction|redistribution) (?:of this .{1,40} )?(?:is )?(?:strictly )?permitted", "permitted", 3),
-    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute it", 1),
-    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "redistribute it", 1),
-    ("agpl", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "redistribute it", 1),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form", 1),
-    ("apache-2", "you may not use this file except in compliance with the license", "except in compliance", 3),
-    ("json", "software shall be used for good not evil", "good not evil", 1),
-    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", "buy me a beer", 1),
-    ("dual", "dual(?:ly)? licen[cs]ed", "dual", 4),
-    ("eula", "end user licen[cs]e agreement", "end user", 3),
-    ("non-commercial", "(?:for )?non ?commercial (?:use|purposes)(?: only)?", "commercial", 4),
-    ("no-derivatives", "no deriv(?:ative|ative work)s(?: allowed)?", "no deriv", 4),
-    ("spdx", "spdx license identifier", "spdx", 4),
-)
+#: Parts of keywords that are looked for first: a keyword with one of them is looked for only in texts that hold it.
+STEMS = ("licen", "spdx", "creative", "copyright", "permi", "warrant", "redistribut", "public", "proprietary", "granted", "software", "source", "exception")
 #: Places of a rule in one text that are appended to one array.
 BLOCK = 256
 WEIGHTS = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
@@ -161,7 +129,20 @@ def rules() -> list[tuple[int, str, str, str]]:
     return sorted(found, key=lambda r: r[0])
 
 
-def _spans(t: Column, rule: Column, order: Column) -> Column:
+def _by_stem(keywords: list[str]) -> dict[str, list[str]]:
+    """Keywords by the first stem in them; those without are their own."""
+    found: dict[str, list[str]] = {}
+    for k in keywords:
+        found.setdefault(next((s for s in STEMS if s in k), k), []).append(k)
+    return found
+
+
+def _held(t: Column, stem: str, keywords: list[str]) -> Column:
+    """Which keywords of a stem a text holds, with nulls for the others; null without the stem."""
+    return F.when(t.contains(stem), F.array(*[F.lit(k) if k == stem else F.when(t.contains(k), F.lit(k)) for k in keywords]))
+
+
+def _spans(t: Column, rule: Column) -> Column:
     """All places of a rule: (start, minus end, priority, order, label)."""
     hits = F.regexp_extract_all(t, rule["pattern"], F.lit(0))
 
@@ -189,7 +170,7 @@ def _spans(t: Column, rule: Column, order: Column) -> Column:
 
         return F.transform(
             let(pairs, ends),
-            lambda s: F.struct(s["start"].alias("start"), s["least"].alias("least"), rule["priority"].alias("priority"), order.alias("order"), rule["label"].alias("label")),
+            lambda s: F.struct(s["start"].alias("start"), s["least"].alias("least"), rule["priority"].alias("priority"), rule["order"].alias("order"), rule["label"].alias("label")),
         )
 
     return let(hits, lambda h: F.when(F.size(h) > 0, placed(h)))
@@ -233,7 +214,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     table_of = rules()
     keywords = sorted({r[2] for r in table_of})
-    as_rules = F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?<= ){rx}(?= )").alias("pattern")) for p, label, k, rx in table_of])
+    of_keyword = {k: [] for k in keywords}
+    for order, (p, label, k, rx) in enumerate(table_of):
+        of_keyword[k].append(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(order).alias("order"), F.lit(f"(?<= ){rx}(?= )").alias("pattern")))
+    as_rules = F.create_map(*[c for k, own in of_keyword.items() for c in (F.lit(k), F.array(*own))])
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
     words = docs.select("doc_id", F.regexp_replace(F.concat(F.lit(" "), lower_ascii(F.coalesce("text", F.lit(""))), F.lit(" ")), NOT_WORD, " ").alias("t"))
@@ -254,11 +238,11 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(t.contains(f" {phrase} "), found)
 
     base = F.array_compact(F.array(*[places(*b) for b in BASE]))
-    present = F.array_compact(F.array(*[F.when(t.contains(k), F.lit(k)) for k in keywords]))
+    present = F.array_compact(F.flatten(F.array_compact(F.array(*[_held(t, stem, own) for stem, own in _by_stem(keywords).items()]))))
     df = words.select("doc_id", t, n.cast("long").alias("n_words"), base.alias("base"), present.alias("present"))
 
-    live = F.filter(as_rules, lambda r: F.array_contains(F.col("present"), r["keyword"]))
-    spans = F.flatten(F.array_compact(F.transform(live, lambda r, i: _spans(t, r, i))))
+    live = F.flatten(F.transform("present", lambda k: F.element_at(as_rules, k)))
+    spans = F.flatten(F.array_compact(F.transform(live, lambda r: _spans(t, r))))
     df = df.withColumn("found", F.when(F.size("present") > 0, _survivors(spans)))
     base_labels = F.array_distinct(F.transform("base", lambda b: b["label"]))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")

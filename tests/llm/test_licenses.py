@@ -2,6 +2,7 @@ import random
 import re
 
 from lignum.llm import licenses
+from lignum.llm.license_phrases import PHRASES
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -47,7 +48,10 @@ def test_empty_table(spark):
 
 def test_rules_are_many_and_ordered():
     found = licenses.rules()
-    assert len(found) > 300 and [r[0] for r in found] == sorted(r[0] for r in found)
+    assert len(found) > 700 and [r[0] for r in found] == sorted(r[0] for r in found)
+    patterns = [p[1] for p in PHRASES]
+    assert len(patterns) > 250 and len(set(patterns)) == len(patterns)
+    assert not any(k.strip() in ("a", "the", "of", "for", "only", "software", "public") for _, _, k, _ in found)
 
 
 def shortest(parsed):
@@ -77,6 +81,27 @@ def test_keywords_occur_in_the_shortest_matches():
             assert re.fullmatch(rx, text) and keyword in text, (label, keyword, text)
 
 
+def test_every_phrase_is_found(spark):
+    """Each phrase at its shortest, in words of its own, is scanned as the brute force says, and never in vain."""
+    texts = [f"Öl {shortest(re._parser.parse(rx))[0].upper()}, end" for _, rx, _, _ in PHRASES]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert (got[i].labels, got[i].score) == brute(text)[-2:] and got[i].score >= licenses.WEIGHTS[PHRASES[i][3]], text
+
+
+def test_words_of_many_lines_between(spark):
+    """A gap in a phrase may hold any character, also those that end lines."""
+    texts = [f"Neither the name of a{c}b nor the names of its contributors may be used to endorse it" for c in "\u0085\u2028\u2029\r"]
+    assert [r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == ["bsd-3"] * 4
+
+
+def test_very_long_text(spark):
+    """A text of a million words with phrases at both ends and none between."""
+    text = "Under the MIT License. " + "some words without any rights " * 200_000 + " all rights reserved"
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (1_000_007, 1, 0, 0, "mit,proprietary")
+
+
 def test_proprietary_phrases_need_no_other_word(spark):
     texts = ["Unauthorized copying of this file is prohibited.", "No redistribution is permitted", "unauthorised reproduction strictly prohibited", "no copying of this file, via any medium, is strictly permitted", "no redistribution is strictly"]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
