@@ -23,6 +23,7 @@ MODULES = (
     "lignum.functions.rules",
     "lignum.operators.listing",
     "lignum.functions.codes",
+    "lignum.operators.presentation",
 )
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
