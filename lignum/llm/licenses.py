@@ -87,7 +87,7 @@ CC_KINDS = (
 )
 CC_VERSIONS = ("1", "2", "2 5", "3", "4")
 #: Parts of keywords that are looked for first: a keyword with one of them is looked for only in texts that hold it.
-STEMS = ("licen", "spdx", "creative", "copyright", "permi", "warrant", "redistribut", "public", "proprietary", "granted", "software", "source", "exception")
+STEMS = ("licen", "spdx", "creative", "copyright", "permi", "warrant", "redistribut", "public", "proprietary", "granted", "software", "source", "exception", "gpl", "bsd", "apache", "font", "commercial", "reserved", "purposes", "documentation", "hereby", "law", "cc by", "contributor")
 #: Places of a rule in one text that are appended to one array.
 BLOCK = 256
 WEIGHTS = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
@@ -137,9 +137,29 @@ def _by_stem(keywords: list[str]) -> dict[str, list[str]]:
     return found
 
 
-def _held(t: Column, stem: str, keywords: list[str]) -> Column:
-    """Which keywords of a stem a text holds, with nulls for the others; null without the stem."""
-    return F.when(t.contains(stem), F.array(*[F.lit(k) if k == stem else F.when(t.contains(k), F.lit(k)) for k in keywords]))
+def _texts(values: list[str]) -> str:
+    """SQL literals. Patterns, keywords and labels hold neither quotes nor backslashes."""
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _present(keywords: list[str]) -> Column:
+    """The keywords that ``t`` holds. As SQL text, since some hundred expressions made one by one take the driver seconds."""
+    gates = []
+    for stem, own in _by_stem(keywords).items():
+        rest = [k for k in own if k != stem]
+        if stem in own:
+            gates.append(f"IF(contains(t, '{stem}'), array('{stem}'), NULL)")
+        if rest:
+            gates.append(f"IF(contains(t, '{stem}'), filter(array({_texts(rest)}), k -> contains(t, k)), NULL)")
+    return F.expr(f"flatten(array_compact(array({', '.join(gates)})))")
+
+
+def _by_keyword(found: list[tuple[int, str, str, str]]) -> Column:
+    """The rules of each keyword, as a map of arrays."""
+    parts: dict[str, list[str]] = {}
+    for order, (priority, label, k, rx) in enumerate(found):
+        parts.setdefault(k, []).append(f"named_struct('priority', {priority}, 'label', '{label}', 'order', {order}, 'pattern', '(?<= ){rx}(?= )')")
+    return F.expr("map(" + ", ".join(f"'{k}', array({', '.join(own)})" for k, own in parts.items()) + ")")
 
 
 def _spans(t: Column, rule: Column) -> Column:
@@ -214,10 +234,6 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     table_of = rules()
     keywords = sorted({r[2] for r in table_of})
-    of_keyword = {k: [] for k in keywords}
-    for order, (p, label, k, rx) in enumerate(table_of):
-        of_keyword[k].append(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(order).alias("order"), F.lit(f"(?<= ){rx}(?= )").alias("pattern")))
-    as_rules = F.create_map(*[c for k, own in of_keyword.items() for c in (F.lit(k), F.array(*own))])
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
     words = docs.select("doc_id", F.regexp_replace(F.concat(F.lit(" "), lower_ascii(F.coalesce("text", F.lit(""))), F.lit(" ")), NOT_WORD, " ").alias("t"))
@@ -238,9 +254,9 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.when(t.contains(f" {phrase} "), found)
 
     base = F.array_compact(F.array(*[places(*b) for b in BASE]))
-    present = F.array_compact(F.flatten(F.array_compact(F.array(*[_held(t, stem, own) for stem, own in _by_stem(keywords).items()]))))
-    df = words.select("doc_id", t, n.cast("long").alias("n_words"), base.alias("base"), present.alias("present"))
+    df = words.select("doc_id", t, n.cast("long").alias("n_words"), base.alias("base"), _present(keywords).alias("present"))
 
+    as_rules = _by_keyword(table_of)
     live = F.flatten(F.transform("present", lambda k: F.element_at(as_rules, k)))
     spans = F.flatten(F.array_compact(F.transform(live, lambda r: _spans(t, r))))
     df = df.withColumn("found", F.when(F.size("present") > 0, _survivors(spans)))
