@@ -2,7 +2,8 @@
 
 Walks double their reach with each join, so a tree of depth d takes log2(d) rounds and no row's walk
 is followed one step at a time. A walk starts from the rows asked for only. Each round is written to the
-shared folder, so plans don't grow, and a walk ends when a round adds nothing, or at 4096 levels.
+shared folder, so plans don't grow, and a walk ends when a round adds nothing or only cycles are left.
+Paths end at 4096 levels.
 """
 
 from __future__ import annotations
@@ -40,15 +41,18 @@ def paths(tree: DataFrame, root: int = ROOT, deepest: int = DEPTH) -> DataFrame:
     return tree.join(whole, "id")
 
 
-def _walk(tree: DataFrame, reach: DataFrame, down: bool, deepest: int = DEPTH) -> DataFrame:
+def _walk(tree: DataFrame, reach: DataFrame, down: bool) -> DataFrame:
     """Extends ``id, ancestor, distance`` to all ancestors of each ``id``, or down to all that lie below each ``ancestor``.
 
     A round joins what has been reached with the pointers of twice the distance. Items on a cycle or below
-    one have no root: of what lies above or below them only they themselves are given.
+    one have no root: of what lies above or below them only they themselves are given. Any depth is
+    followed: ancestors of an item with 2n levels above it include items with n to 2n, so once a round
+    leaves as many pointers as it found, all that are left belong to cycles.
     """
     jump = stored(tree.filter("parent IS NOT NULL").select("id", F.col("parent").alias("up")), "jumps")
     parts, step = [stored(reach.select("id", "ancestor", F.col("distance").cast("int").alias("distance")), "reach")], 1
-    while step < deepest:
+    left = jump.count()
+    while True:
         known = parts[0]
         for more in parts[1:]:
             known = known.union(more)
@@ -61,6 +65,9 @@ def _walk(tree: DataFrame, reach: DataFrame, down: bool, deepest: int = DEPTH) -
             return known
         parts.append(more)
         jump = stored(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")), "jumps")
+        before, left = left, jump.count()
+        if left == before:
+            break
         step *= 2
     known = parts[0]
     for more in parts[1:]:

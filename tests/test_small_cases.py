@@ -49,6 +49,14 @@ def test_paths_of_detached_and_cyclic_items(spark):
     assert got[5] == got[6] == (None, None) and got[4] == (None, None)
 
 
+def test_a_walk_goes_beyond_4096_levels(spark):
+    """A chain of 5,000 levels isn't taken for a cycle beside it."""
+    t = spark.range(1, 5001).selectExpr("id", "nullif(id - 1, 0) AS parent").union(spark.createDataFrame([(9001, 9002), (9002, 9001), (9003, 9001)], "id long, parent long"))
+    up = tree.above(t, spark.createDataFrame([(5000,), (9003,), (9001,)], "id long"))
+    assert up.filter("id = 5000").count() == 5000 and up.filter("id = 5000").agg({"distance": "max"}).first()[0] == 4999
+    assert {tuple(r) for r in up.filter("id > 9000").collect()} == {(9003, 9003, 0), (9001, 9001, 0)}
+
+
 def test_walks_of_deep_and_cyclic_trees(spark):
     rows = [(1, None)] + [(i, i - 1) for i in range(2, 301)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000)]
     t = spark.createDataFrame(rows, "id long, parent long")
