@@ -97,11 +97,15 @@ class Publisher:
     def __init__(self, spark: SparkSession, by: list[str], folder: str | None = None):
         self.spark, self.by, self.folder = spark, by, folder or shared_folder(spark, "published")
 
-    def apply(self, batch: DataFrame, number: int) -> None:
+    def issued(self, before: int) -> DataFrame:
+        """``batch, last``: the last number given out by the end of each batch before that one."""
         fs, at = hadoop(self.spark, f"{self.folder}/issued")
-        start = 0
-        if fs.exists(at):
-            start = self.spark.read.schema("batch long, last long").parquet(f"{self.folder}/issued").filter(F.col("batch") < number).agg(F.max("last")).first()[0] or 0
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], "batch long, last long")
+        return self.spark.read.schema("batch long, last long").parquet(f"{self.folder}/issued").filter(F.col("batch") < before)
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        start = self.issued(number).agg(F.max("last")).first()[0] or 0
         rows = logs.numbered(batch, *self.by).withColumn("at", F.col("at") + start).withColumnRenamed("at", "issued")
         rows.write.mode("overwrite").parquet(f"{self.folder}/log/batch={number}")
         last = self.spark.read.parquet(f"{self.folder}/log/batch={number}").agg(F.coalesce(F.max("issued"), F.lit(start)).alias("last"))
@@ -109,3 +113,37 @@ class Publisher:
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/log").drop("batch")
+
+
+class OpLog:
+    """Ops of a stream done once: a repeat within ``ttl_ns`` of one of the last ``most`` ops done is passed over.
+
+    Batches have ``op, done_ns``. An op that comes several times in one batch counts once, at the first time that isn't
+    a repeat of an earlier batch, so a batch should span less than ``ttl_ns``. Ops done are numbered in order of time and op, over batches;
+    of those before, a batch reads only the ones that ``most`` still reaches. A batch that runs again gives the
+    same. Rows without an op or a time are left out.
+    """
+
+    def __init__(self, spark: SparkSession, ttl_ns: int, most: int, folder: str | None = None):
+        self.spark, self.ttl_ns, self.most = spark, ttl_ns, most
+        self.done = Publisher(spark, ["done_ns", "op"], folder)
+
+    def _held(self, number: int) -> DataFrame | None:
+        issued = self.done.issued(number)
+        start = issued.agg(F.max("last")).first()[0] or 0
+        since = issued.filter(F.col("last") > start - self.most).agg(F.min("batch")).first()[0]
+        if since is None or not start:
+            return None
+        log = self.spark.read.parquet(f"{self.done.folder}/log")
+        return log.filter((F.col("batch") >= since) & (F.col("batch") < number) & (F.col("issued") > start - self.most)).select("op", F.col("done_ns").alias("before"))
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        rows = batch.select("op", "done_ns").filter("op IS NOT NULL AND done_ns IS NOT NULL")
+        held = self._held(number)
+        if held is not None:
+            rows = rows.join(held.withColumnRenamed("op", "held"), (F.col("op") == F.col("held")) & (F.col("done_ns") - F.col("before") <= self.ttl_ns), "left_anti")
+        self.done.apply(rows.groupBy("op").agg(F.min("done_ns").alias("done_ns")), number)
+
+    def read(self) -> DataFrame:
+        """``op, done_ns, issued`` of all ops done."""
+        return self.done.read()

@@ -70,14 +70,22 @@ def snapshot_stream(tree: DataFrame, bound: int) -> DataFrame:
 
     A chunk is one file, and the driver dates each, so the bound should be as large as a micro-batch may be.
     """
-    spark, folder = tree.sparkSession, shared_folder(tree.sparkSession, "snapshot-stream")
     chunks = stored(snapshot_chunks(tree, bound), "chunks")
-    chunks.repartition("chunk").write.partitionBy("chunk").parquet(folder)
+    return chunk_stream(chunks.select("id", "parent", "name", "depth", "bytes", F.col("chunk").cast("long")))
+
+
+def chunk_stream(rows: DataFrame) -> DataFrame:
+    """Rows as a stream whose micro-batches are its ``chunk``s, in their order; ``chunk`` comes last.
+
+    Each chunk is a file, written by one task.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "chunk-stream")
+    rows.repartition("chunk").write.partitionBy("chunk").parquet(folder)
     fs, at = hadoop(spark, folder)
     begin = int(spark._jvm.System.currentTimeMillis()) - 1_000_000_000
     for d in fs.listStatus(at):
         if d.isDirectory() and d.getPath().getName().startswith("chunk="):
             for f in fs.listStatus(d.getPath()):
                 fs.setTimes(f.getPath(), begin + 1000 * int(d.getPath().getName().removeprefix("chunk=")), -1)
-    schema = chunks.select("id", "parent", "name", "depth", "bytes", F.col("chunk").cast("long")).schema
+    schema = rows.select(*[c for c in rows.columns if c != "chunk"], "chunk").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)

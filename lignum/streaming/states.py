@@ -17,8 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor
 from lignum.operators import log as logs
 from lignum.session import shared_folder
 from lignum.sources.relations import change_log, with_views
-from lignum.streaming.keyed import KeyedTable, Publisher
-from lignum.streaming.replay import replayed, snapshot_stream
+from lignum.streaming.keyed import KeyedTable, OpLog, Publisher
+from lignum.streaming.replay import chunk_stream, replayed, snapshot_stream
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -279,12 +279,25 @@ def _snapshot(s: SparkSession, d: str) -> DataFrame:
     return whole.select("id", "parent", "name", "depth", (F.col("held") <= 60_000).alias("fits"), F.coalesce(F.col("above") <= F.col("chunk"), F.col("parent").isNull()).alias("after_parent"))
 
 
+OPS, OPS_HELD, OPS_TTL, OPS_CHUNKS = 700, 500, 5000 * MINUTE, 12
+
+
+def _ops(s: SparkSession, d: str) -> DataFrame:
+    """The log as ops that come again, in twelve micro-batches."""
+    rows = change_log(s, d).select("seq", (F.col("seq") % OPS).alias("op"), F.col("wall_ns").alias("done_ns"))
+    end = rows.agg((F.max("seq") + 1).alias("end"))  # one row
+    chunks = rows.crossJoin(F.broadcast(end)).select("op", "done_ns", F.expr(f"seq * {OPS_CHUNKS} div end").alias("chunk"))
+    log = OpLog(s, OPS_TTL, OPS_HELD)
+    drained(chunk_stream(chunks), log.apply)
+    return log.read()
+
+
 def _steps_sql(settle: int, step: int, most: int) -> str:
     ends = steps(settle, step, most)
     return ", ".join(f"({a}::BIGINT, {b}::BIGINT, {'true' if b == ends[-1] else 'false'})" for a, b in zip([0, *ends], ends, strict=False))
 
 
-QUERIES = {"keyed_sink": _sink, "rename_pairs": _renames, "quiet_batches": _quiet, "throttled": lambda s, d: collected(_changes(s, d)), "late_published": _late, "snapshot_stream": _snapshot}
+QUERIES = {"keyed_sink": _sink, "rename_pairs": _renames, "quiet_batches": _quiet, "throttled": lambda s, d: collected(_changes(s, d)), "late_published": _late, "snapshot_stream": _snapshot, "ops_once": _ops}
 _THROTTLED = f"""e AS MATERIALIZED (SELECT id, seq, wall_ns AS t, coalesce(content % 5 = 0, false) AS closed, coalesce(content % 7 = 0, true) AS passes, row_number() OVER (PARTITION BY id ORDER BY wall_ns, seq) AS k FROM change_log),
 dues AS (SELECT id, 0 AS k, NULL::BIGINT AS said, NULL::BIGINT AS since, NULL::BIGINT AS held, NULL::BIGINT AS out_at, NULL::BIGINT AS out_seq, NULL::BIGINT AS own_at, NULL::BIGINT AS own_seq FROM e WHERE k = 1
   UNION ALL SELECT id, k, CASE WHEN goes THEN t ELSE said1 END, CASE WHEN goes THEN NULL WHEN passes THEN since1 ELSE t END, CASE WHEN goes THEN NULL WHEN passes THEN held1 ELSE seq END, out_at, out_seq,
@@ -314,5 +327,15 @@ SELECT c.id, c.t AS begun_ns, c.closed AS closed_ns, count(*) AS n, min_by(e.seq
     ),
     "throttled": _RECURSIVE(f", {_THROTTLED} SELECT id, seq, published_ns, held FROM said"),
     "late_published": _RECURSIVE(f", {_THROTTLED} SELECT id, seq, published_ns, held, true AS in_order FROM said"),
+    "ops_once": _RECURSIVE(
+        f""", r AS (SELECT seq * {OPS_CHUNKS} // (SELECT max(seq) + 1 FROM change_log) AS chunk, wall_ns AS done_ns, seq % {OPS} AS op FROM change_log),
+per AS MATERIALIZED (SELECT chunk, list({{'done_ns': done_ns, 'op': op}} ORDER BY op, done_ns) AS rows FROM r GROUP BY 1),
+state AS (SELECT -1::BIGINT AS chunk, []::STRUCT(done_ns BIGINT, op BIGINT)[] AS held, []::STRUCT(done_ns BIGINT, op BIGINT)[] AS done, 0::BIGINT AS before
+  UNION ALL SELECT chunk, (held || done)[-{OPS_HELD}:], done, before FROM (
+    SELECT chunk, held, list_sort(list_filter(fresh, lambda x, i: i = 1 OR fresh[i - 1].op <> x.op)) AS done, before FROM (
+      SELECT p.chunk, s.held, s.before + len(s.done) AS before, list_filter(p.rows, lambda x: len(list_filter(s.held, lambda h: h.op = x.op AND x.done_ns - h.done_ns <= {OPS_TTL})) = 0) AS fresh
+      FROM state s JOIN per p ON p.chunk = s.chunk + 1)))
+SELECT d.op, d.done_ns, before + i AS issued FROM (SELECT unnest(done) AS d, generate_subscripts(done, 1) AS i, before FROM state)"""
+    ),
     "snapshot_stream": with_views("SELECT i.id, i.parent, i.name, p.depth, true AS fits, true AS after_parent FROM items i JOIN paths p ON p.id = i.id", "items", "paths"),
 }

@@ -120,3 +120,16 @@ def test_snapshot_is_bounded(spark):
     assert chunks.agg(F.max("chunk")).first()[0] > 50
     with pytest.raises(ValueError, match="half the bound"):
         replay.snapshot_chunks(tree, 100)
+
+
+def test_ops_are_done_once_while_they_are_held(spark):
+    """Repeats count within the time and the last ops done; a batch that runs again and another object give the same."""
+    folder = shared_folder(spark, "ops")
+    batches = [[("a", 0), ("b", 1), ("a", 2), (None, 3), ("c", None)], [("a", 10), ("a", 11), ("b", 12)], [("c", 13), ("d", 14)], [("b", 15), ("d", 16)], []]
+    for k, rows in enumerate(batches):
+        log = keyed.OpLog(spark, 10, 2, folder)
+        for _ in range(2 if k == 1 else 1):
+            log.apply(spark.createDataFrame(rows, "op string, done_ns long"), k)
+    # a comes again after 11; b is within 10 of its first time only until 11; c and d push b out, d is still held.
+    want = [("a", 0, 1), ("b", 1, 2), ("a", 11, 3), ("b", 12, 4), ("c", 13, 5), ("d", 14, 6), ("b", 15, 7)]
+    assert sorted(map(tuple, log.read().select("op", "done_ns", "issued").collect()), key=lambda r: r[2]) == want
