@@ -3,8 +3,8 @@
 A Spark job counts the pieces (what the pre-tokenizer's pattern cuts a text into) of all documents;
 the most frequent ones, with their ids by the merge rules, are compiled into a minimal acyclic
 automaton whose paths number its words: the sum of counts along a path indexes the ids. Shared
-suffixes keep it small. The bytes go to the executors by broadcast, each Python worker maps them from
-a file of its own, and a piece is then one walk. A piece that the automaton lacks is merged exactly,
+suffixes keep it small. It is a file in the shared folder, which Spark hands to each executor; the executor's
+Python workers map it into memory, and a piece is then one walk. A piece that the automaton lacks is merged exactly,
 so the lexicon changes how fast ids are found but never which.
 """
 
@@ -17,7 +17,6 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -25,16 +24,17 @@ from functools import cache
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lignum.llm.common import map_batches, table, written
+from lignum.llm.common import map_batches, scratch, table, written
 
 #: Fixed value: the pre-tokenizer's published pattern, white space by its Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Texts whose characters all come before this one are cut by the standard library, which takes half the time.
 LATIN_END = 0x250
-#: Words in the lexicon at most; it fixes the size of the broadcast.
+#: Words in the lexicon at most; it fixes the size of the file.
 LEXICON = 30_000
 #: Longest word of the lexicon, in bytes.
 LONGEST = 64
@@ -165,15 +165,9 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, memory-mapped from a file of this machine."""
-
-    def __init__(self, data: bytes):
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin")
-        if not os.path.exists(path):
-            own = f"{path}.{os.getpid()}"
-            with open(own, "wb") as f:
-                f.write(data)
-            os.replace(own, path)
+    """A compiled lexicon, memory-mapped from its file."""
+
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.root, nodes, edges, words, outputs = HEADER.unpack_from(self.map)
@@ -257,11 +251,11 @@ class Codec:
 _codecs: dict = {}
 
 
-def _codec(key: str, vocabulary, lexicon) -> Codec:
-    """One codec per Python worker, from the broadcasts; ``key`` tells what is in them."""
+def _codec(key: str, vocabulary, lexicon: str) -> Codec:
+    """One codec per Python worker, from the broadcast vocabulary and the lexicon's file; ``key`` tells what is in them."""
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(Vocabulary(vocabulary.value), Lexicon(lexicon.value))
+        _codecs[key] = Codec(Vocabulary(vocabulary.value), Lexicon(SparkFiles.get(lexicon)))
     return _codecs[key]
 
 
@@ -296,14 +290,27 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
 
 
 def prepared(docs: DataFrame, path: str, most: int = LEXICON) -> tuple:
-    """A key, and broadcasts of the vocabulary's text and of the lexicon compiled from ``docs``."""
+    """A key, a broadcast of the vocabulary's text, and the name of the file of the lexicon compiled from ``docs``."""
     sc = docs.sparkSession.sparkContext
     with open(path, encoding="utf-8") as f:
         text = f.read()
     vocabulary = Vocabulary(text)
     words = {p.encode(): vocabulary.merge(p.encode()) for p in frequent_pieces(docs, most)}
     data = compile_lexicon(words)
-    return hashlib.sha256(text.encode() + data).hexdigest(), sc.broadcast(text), sc.broadcast(data)
+    return hashlib.sha256(text.encode() + data).hexdigest(), sc.broadcast(text), _shared_file(docs.sparkSession, data)
+
+
+def _shared_file(spark: SparkSession, data: bytes) -> str:
+    """Writes ``data`` to the shared folder, for each executor to fetch when it starts; a name for ``SparkFiles``."""
+    path = scratch(spark, "lexicon")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
 
 
 def digests(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:

@@ -44,14 +44,23 @@ def test_latin_texts_are_cut_alike():
 
 
 @pytest.mark.parametrize("words", [{}, {b"a": [1]}, {b"": [5], b"a": [1]}])
-def test_small_lexicons(words):
-    found = bpe.Lexicon(bpe.compile_lexicon(words))
+def test_small_lexicons(words, tmp_path):
+    (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon(words))
+    found = bpe.Lexicon(tmp_path / "lexicon")
     assert [found.find(w) for w in (b"", b"a", b"b")] == [words.get(b""), words.get(b"a"), None]
 
 
-def test_lexicon_shares_suffixes():
+def test_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, "x " * 100_000)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in bpe.digests(df, PATH).collect())
+    assert [g[0] for g in got] == [0, 1, 1, 2] and got[0][1:] == got[1][1:] == got[2][1:]
+    assert got[3][2] == hashlib.sha256(b"x " * 100_000).hexdigest()
+
+
+def test_lexicon_shares_suffixes(tmp_path):
     words = {w.encode(): [k, k + 1] for k, w in enumerate(f"{a}{b}{c}ing" for a in "abc" for b in "xyz" for c in "mno")}
     data = bpe.compile_lexicon(words)
-    found = bpe.Lexicon(data)
+    (tmp_path / "lexicon").write_bytes(data)
+    found = bpe.Lexicon(tmp_path / "lexicon")
     assert all(found.find(w) == ids for w, ids in words.items()) and found.find(b"axming ") is None and found.find(b"ax") is None
     assert bpe.HEADER.unpack_from(data)[1] == 7  # one chain for all 27 words
