@@ -24,8 +24,12 @@ ORDER = 3
 #: Training takes of each language the SAMPLE_ROWS first texts of at most SAMPLE_CHARS characters by a hash of the id; if there
 #: are fewer, also pieces of that size of its longer texts.
 SAMPLE_ROWS, SAMPLE_CHARS = 250, 8192
+#: Texts and pieces of all languages together at most, and languages: what the driver and the model hold is bounded.
+SAMPLE_ALL, LANGUAGES = 10_000, 1_000
 #: Contexts of full length that occur less often are left out of the trees.
 LEAST = 2
+#: Bytes of the table that is broadcast, at most: of too many contexts, those that no language meets often are left out.
+MODEL_BYTES = 1 << 28
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 3, 1
 SLICE = 1 << 20
@@ -34,7 +38,7 @@ SLICE = 1 << 20
 class Model:
     """Code lengths in bits of every byte after every context, for all languages."""
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, most_bytes: int = MODEL_BYTES):
         self.langs = sorted(texts)
         self.order = order
         joined = {lang: np.frombuffer(b"".join(ts), dtype=np.uint8) for lang, ts in texts.items()}
@@ -61,6 +65,7 @@ class Model:
                     gram, n, context, total, distinct = gram[kept], n[kept], context[keep], total[keep], distinct[keep]
                 by_order.append((context, distinct, total, gram, n))
             counts.append(by_order)
+        counts = self._fitted(counts, most_bytes // (4 * size * max(1, len(self.langs))))
 
         # A state is a context that some language knows; state_of[k] leads from the last k classes to the longest one.
         state_of = np.zeros(1, dtype=np.int32)
@@ -94,6 +99,30 @@ class Model:
         self.state_of = state_of
         self.bits = np.concatenate(tables).astype(np.float32).transpose(2, 0, 1).reshape(len(self.langs), found * size)
 
+    @staticmethod
+    def _fitted(counts: list, states: int) -> list:
+        """The trees with ``states`` contexts at most, the empty one included: the rarest, by the language that meets them most, go."""
+        most = {}  # by order: contexts that some language knows, and how often the one that meets them most does
+        for k in range(1, len(counts[0]) if counts else 1):
+            known, at = np.unique(np.concatenate([c[k][0] for c in counts]), return_inverse=True)
+            often = np.zeros(len(known), dtype=np.int64)
+            np.maximum.at(often, at, np.concatenate([c[k][2] for c in counts]))
+            most[k] = known, often
+        every = np.sort(np.concatenate([often for _, often in most.values()]))[::-1] if most else np.zeros(0, np.int64)
+        if len(every) < states or not len(every):
+            return counts
+        least = every[max(0, states - 1)] + 1
+        out = []
+        for by_order in counts:
+            fitted = [by_order[0]]
+            for k, (context, distinct, total, gram, n) in enumerate(by_order[1:], 1):
+                known, often = most[k]
+                keep = often[np.searchsorted(known, context)] >= least
+                kept = np.repeat(keep, distinct)
+                fitted.append((context[keep], distinct[keep], total[keep], gram[kept], n[kept]))
+            out.append(fitted)
+        return out
+
     def _grams(self, x: np.ndarray, k: int) -> np.ndarray:
         """k classes and the one that follows, as one number."""
         out = np.zeros(len(x) - k, dtype=np.int64)
@@ -131,7 +160,8 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     """Texts to learn from by language: a bounded sample of the rows that aren't held out.
 
     Longer texts than ``chars`` count as pieces of ``chars``, the last one shorter, each with a hash of its own. They
-    come after all short texts, so a language that has ``rows`` short ones learns from whole texts only.
+    come after all short texts, so a language that has ``rows`` short ones learns from whole texts only. Where there are
+    more languages than ``SAMPLE_ALL`` texts and pieces allow ``rows`` for, each has fewer; more than ``LANGUAGES`` raise.
     """
     usable = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & (F.length("text") > 0) & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
@@ -141,9 +171,18 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
     usable = usable.withColumn("at", F.struct(long.alias("long"), F.when(long, F.xxhash64("doc_id", "piece")).otherwise(F.xxhash64("doc_id")).alias("h")))
     # The limit on row_number is applied within each task before anything is shuffled.
     within = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).filter(F.col("k") <= rows)
-    cuts = {r.lang: r["at"] for r in within(usable.select("lang", "at"), "at").groupBy("lang").agg(F.max("at").alias("at")).collect()}
+
+    def last_of() -> dict:
+        return {r.lang: r["at"] for r in within(usable.select("lang", "at"), "at").groupBy("lang").agg(F.max("at").alias("at")).limit(LANGUAGES + 1).collect()}
+
+    cuts = last_of()
     if not cuts:
         return {}
+    if len(cuts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
+    if len(cuts) * rows > SAMPLE_ALL:
+        rows = SAMPLE_ALL // len(cuts)
+        cuts = last_of()
     last = lambda at: F.struct(F.lit(at.long).alias("long"), F.lit(at.h).cast("long").alias("h"))
     cut = F.create_map(*[x for lang, at in cuts.items() for x in (F.lit(lang), last(at))])
     taken = usable.filter(F.col("at") <= cut[F.col("lang")]).select("lang", "at", F.expr(f"substring(text, piece * {chars} + 1, {chars})").alias("text"))

@@ -46,6 +46,30 @@ def test_code_lengths_are_exact(monkeypatch, slice_):
             assert abs(got[i, j] - brute_bits(train[lang], t, language.ORDER, language.LEAST)) < 1e-3 * max(1, len(t)), (lang, t)
 
 
+@pytest.mark.parametrize("states", [1, 2, 40, 100])
+def test_models_keep_to_their_size(states):
+    """Of too many contexts the frequent ones stay, and code lengths are those of the trees without the others."""
+    draw = random.Random(2)
+    train = {c: [bytes(draw.choice(b"abcd" + c.encode()) for _ in range(60)) for _ in range(4)] for c in "xyz"}
+    size = language.Model(train).size
+    model = language.Model(train, most_bytes=states * 4 * size * 3)
+    assert model.bits.nbytes <= states * 4 * size * 3
+    assert model.bits.nbytes < language.Model(train).bits.nbytes
+    text = np.frombuffer(b"abxdcba", dtype=np.uint8)
+    if states == 1:  # the empty context alone
+        got = model.lengths(text, np.array([len(text)]))
+        assert np.allclose(got[:, 0], [brute_bits(train[c], text.tobytes(), 0, 1) for c in "xyz"], atol=1e-3)
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ALL", 12)
+    df = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 4) AS lang")
+    assert all(0 < len(v) <= 3 for v in language.sample(df).values())
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        language.sample(df)
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r.doc_id: r for r in language.identify(docs).collect()}
