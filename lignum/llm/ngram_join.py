@@ -36,6 +36,8 @@ N_WORDS, PERCENT = 4, 85
 #: Counters of the sketch, at one byte each when it is broadcast: so many for each document, within these bounds.
 COUNTERS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 23
 SLICES = 32
+#: Groups in which tasks' counters are first summed, and documents for each task that sums them.
+SALTS, SUMMED = 64, 20_000
 #: Members of a shingle's list that meet in one tile, at most about twice this.
 TILE = 256
 #: Pairs of one document that are verified together.
@@ -85,7 +87,8 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     Several shingles share a counter once there are more than counters; common ones stand out all the same.
     """
-    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (docs.count() * COUNTERS_EACH).bit_length()))
+    documents = docs.count()
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (documents * COUNTERS_EACH).bit_length()))
     width = counters // SLICES
     pack, unpack = (lambda x: zstandard.ZstdCompressor(level=1).compress(x)), (lambda x: zstandard.ZstdDecompressor().decompress(x))
 
@@ -94,7 +97,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for _, s in _sets(batch, k):
                 np.add.at(total, _slot(s, counters), np.uint32(1))
-                salt = int(s[0] & _U(63)) if salt is None and len(s) else salt
+                salt = int(s[0] & _U(SALTS - 1)) if salt is None and len(s) else salt
         for i in range(SLICES):
             yield {"slice": [i], "salt": [salt or 0], "counts": [pack(total[i * width : (i + 1) * width].tobytes())]}
 
@@ -113,9 +116,9 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     ddl = "slice int, salt int, counts binary"
     parts = map_batches(docs.select("text"), count, ddl)
-    # Two levels of sums, so that no task adds up the sketches of all others.
-    for keys in (("slice", "salt"), ("slice",)):
-        parts = map_batches(parts.repartition(SLICES, *keys).sortWithinPartitions("slice"), added, ddl)
+    # Two levels of sums, so that no task adds up the sketches of all others; the first has more tasks for more documents.
+    for tasks, keys in ((min(SLICES * SALTS, max(SLICES, documents // SUMMED)), ("slice", "salt")), (SLICES, ("slice",))):
+        parts = map_batches(parts.repartition(tasks, *keys).sortWithinPartitions("slice"), added, ddl)
     out = np.zeros(counters, dtype=np.uint8)
     for r in parts.collect():  # SLICES rows, as many numbers as there are counters
         n = np.frombuffer(unpack(bytes(r.counts)), dtype=np.uint32)
