@@ -86,13 +86,18 @@ def stepped_back(samples: DataFrame, now_ns: int | None = None, jitter_ns: int =
 def least_rtt(samples: DataFrame, lifetime_ns: int) -> DataFrame:
     """Adds ``least`` to ``link, at_ns, rtt``: the least of a link's last ``lifetime_ns``, its own included; null where all are null.
 
-    Time is cut into pieces of one lifetime, and each row also goes to the next piece: a task needs a link's rows of two
-    lifetimes, and no link is one task.
+    Time is cut into pieces of one lifetime. What a row looks back on is its own piece up to itself and the end of the
+    piece before: the least of the first runs on in order of time, that of the second runs against it, where the row
+    is asked for as of one lifetime earlier. Each row is looked at twice, however many share a lifetime.
     """
-    piece = F.floor(F.col("at_ns") / lifetime_ns)
-    led = samples.select("*", piece.alias("_own"), F.explode(F.array(piece, piece + 1)).alias("_piece"))
-    recent = Window.partitionBy("link", "_piece").orderBy("at_ns").rangeBetween(-lifetime_ns, 0)
-    return led.withColumn("least", F.min("rtt").over(recent)).filter("_own = _piece").select(*samples.columns, "least")
+    at = F.col("at_ns").cast("long")
+    piece = F.expr(f"(cast(at_ns AS long) - pmod(cast(at_ns AS long), {lifetime_ns}L)) div {lifetime_ns}L")
+    onward = Window.partitionBy("link", "_piece").orderBy("at_ns").rangeBetween(Window.unboundedPreceding, 0)
+    rows = samples.withColumn("_piece", piece).withColumn("_own", F.min("rtt").over(onward))
+    both = F.array(F.struct(F.col("_piece").alias("piece"), at.alias("key"), F.lit(0).alias("asks")), F.struct((F.col("_piece") - 1).alias("piece"), (at - lifetime_ns).alias("key"), F.lit(1).alias("asks")))
+    back = Window.partitionBy("link", "_of.piece").orderBy(F.desc("_of.key"), "_of.asks").rowsBetween(Window.unboundedPreceding, 0)
+    led = rows.withColumn("_of", F.explode(both)).withColumn("_before", F.min(F.when(F.col("_of.asks") == 0, F.col("rtt"))).over(back))
+    return led.filter("_of.asks = 1").withColumn("least", F.least("_own", "_before")).select(*samples.columns, "least")
 
 
 def fingerprint(born_ns) -> F.Column:
