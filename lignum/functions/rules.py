@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.operators.tree import closure
+from lignum.session import hot_join
 from lignum.sources.relations import LEVEL, items, read, with_views
 
 #: Access bits, and bits of what may be done with an item.
@@ -133,7 +134,7 @@ def masked(current: Column, new: Column, changed: Column, bit: int) -> Column:
 
 def execute_verdicts(tree: DataFrame) -> DataFrame:
     """Files with whether they may show as executable, by all folders above them."""
-    up = closure(tree).filter("distance > 0").join(tree.select(F.col("id").alias("ancestor"), F.col("name").alias("folder")), "ancestor")
+    up = hot_join(closure(tree).filter("distance > 0"), tree.select(F.col("id").alias("ancestor"), F.col("name").alias("folder")), "ancestor")
     outermost = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "folder")))
     above = up.groupBy("id").agg(F.array_join(F.transform(outermost, lambda x: x["folder"]), "/").alias("above"))
     return tree.filter("kind = 'File'").join(above, "id", "left").select("id", may_execute(F.col("name"), F.coalesce("above", F.lit(""))).alias("may_execute"))

@@ -12,33 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.operators.log import change_log, numbered, tombstones
-from lignum.session import DEPTH, stored
+from lignum.session import DEPTH, hot_join, stored
 from lignum.sources.relations import LEVEL, ROOT, VIEWS, folders_shown, items, materialized, with_views
 
 
 def paths(tree: DataFrame, root: int = ROOT, deepest: int = DEPTH) -> DataFrame:
     """Adds ``path`` and ``depth``: names below the root joined with /; null if detached or too deep.
 
-    ``tree`` has ``id, parent, name``. Each round a row holds its names up to ``top`` and takes over what
-    its top holds.
+    ``tree`` has ``id, parent, name``. Each round a folder holds its names up to ``top`` and takes over what
+    its top holds; folders that have come to the end are set aside.
     """
     at_root = F.col("id") == root
-    walk = tree.select("id", F.when(~at_root, F.col("parent")).alias("top"), F.when(at_root, F.lit("")).otherwise(F.col("name")).alias("path"), F.when(at_root, 0).otherwise(1).alias("depth"))
+    rows = tree.filter("id IS NOT NULL").withColumn("_top", F.when(~at_root, F.col("parent")))
+    own = F.when(at_root, F.lit("")).otherwise(F.col("name"))
+    joined = F.when(F.coalesce(F.col("above") != "", F.lit(False)), F.concat("above", F.lit("/"), "path")).otherwise(F.col("path"))
+    # Only folders are walked up; in the end each row takes over what its folder holds.
+    folders = rows.join(rows.select(F.col("_top").alias("id")).distinct(), "id", "left_semi")
+    walk = stored(folders.select("id", F.col("_top").alias("top"), own.alias("path"), F.when(at_root, 0).otherwise(1).alias("depth")), "paths")
+    whole, going = walk.filter("top IS NULL"), walk.filter("top IS NOT NULL")
     for _ in range(deepest.bit_length()):
-        up = walk.select(F.col("id").alias("up"), F.col("top").alias("next"), F.col("path").alias("above"), F.col("depth").alias("more"))
-        walk = walk.join(up, F.col("top") == F.col("up"), "left").select(
-            "id",
-            F.when(F.col("up").isNotNull(), F.col("next")).otherwise(F.col("top")).alias("top"),
-            F.when(F.coalesce(F.col("above") != "", F.lit(False)), F.concat("above", F.lit("/"), "path")).otherwise(F.col("path")).alias("path"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.col("up").isNotNull().alias("moved"),
-        )
-        walk = stored(walk, "paths")
-        if walk.filter("moved AND top IS NOT NULL").isEmpty():
+        up = whole.union(going).select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("above"), F.col("depth").alias("more"))
+        # A row whose top isn't there is detached, and goes.
+        walk = stored(hot_join(going, up, "top").select("id", F.col("next").alias("top"), joined.alias("path"), (F.col("depth") + F.col("more")).alias("depth")), "paths")
+        ended, going = walk.filter("top IS NULL"), walk.filter("top IS NOT NULL")
+        if ended.isEmpty():
+            break  # only cycles are left, and what lies below them or detached rows
+        whole = whole.union(ended)
+        if going.isEmpty():
             break
-        walk = walk.drop("moved")
-    whole = walk.select("id", F.when(F.col("top").isNull(), F.col("path")).alias("path"), F.when(F.col("top").isNull(), F.col("depth")).alias("depth"))
-    return tree.join(whole, "id")
+    up = whole.filter(F.col("depth") < 1 << deepest.bit_length()).select(F.col("id").alias("_top"), F.col("path").alias("above"), F.col("depth").alias("more"))
+    found = hot_join(rows, up, "_top", "left").withColumn("path", own)
+    held = F.col("_top").isNull() | F.col("more").isNotNull()
+    depth = F.when(at_root, 0).otherwise(1) + F.coalesce("more", F.lit(0))
+    names = [c for c in tree.columns if c != "id"]
+    return found.select("id", *names, F.when(held, joined).alias("path"), F.when(held, depth).alias("depth"))
 
 
 def _walk(tree: DataFrame, reach: DataFrame, down: bool) -> DataFrame:
@@ -53,18 +60,18 @@ def _walk(tree: DataFrame, reach: DataFrame, down: bool) -> DataFrame:
     parts, step = [stored(reach.select("id", "ancestor", F.col("distance").cast("int").alias("distance")), "reach")], 1
     left = jump.count()
     while True:
-        known = parts[0]
+        known, met = parts[0], parts[0].limit(0)
         for more in parts[1:]:
-            known = known.union(more)
+            known, met = known.union(more), met.union(more)
         if down:
-            more = jump.join(known.select(F.col("id").alias("up"), "ancestor", "distance"), "up").select("id", "ancestor", (F.col("distance") + step).alias("distance"))
+            more = hot_join(jump, known.select(F.col("id").alias("up"), "ancestor", "distance"), "up").select("id", "ancestor", (F.col("distance") + step).alias("distance"))
         else:
-            more = known.join(jump.select(F.col("id").alias("ancestor"), "up"), "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + step).alias("distance"))
+            more = hot_join(known, jump.select(F.col("id").alias("ancestor"), "up"), "ancestor", counted=met).select("id", F.col("up").alias("ancestor"), (F.col("distance") + step).alias("distance"))
         more = stored(more, "reach")
         if more.isEmpty():
             return known
         parts.append(more)
-        jump = stored(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")), "jumps")
+        jump = stored(hot_join(jump, jump.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up")), "jumps")
         before, left = left, jump.count()
         if left == before:
             break
