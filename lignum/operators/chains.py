@@ -1,7 +1,8 @@
 """Chains of links, each to one other: fates of created entries, and moves that wait for one another's names.
 
 Chains are followed by doubling: each round every link reaches twice as far, so a chain of any length takes as many
-rounds as its length has binary digits. Rounds are stored, and rows that have reached their end are set aside.
+rounds as its length has binary digits, and so does a ring, whatever the number of rows. Rounds are stored, and rows that have
+reached their end are set aside.
 """
 
 from __future__ import annotations
@@ -25,15 +26,20 @@ def ends(links: DataFrame) -> DataFrame:
     walk = stored(first.withColumn("hop", F.col("jump").isNotNull().cast("long")), "chains")
     # Until its end is known a row holds: where it has jumped to, over how many steps, and the least id before that.
     done = walk.filter("jump IS NULL").select("id", "end", "steps", "low")
-    going, n, reach = walk.filter("jump IS NOT NULL"), links.count(), 1
-    while reach <= 2 * n and not going.isEmpty():
+    going = walk.filter("jump IS NOT NULL")
+    while not going.isEmpty():
         far = going.select(F.col("id").alias("jump"), F.col("jump").alias("to"), F.col("hop").alias("more"), F.col("low").alias("least"), F.lit(None).cast(dict(links.dtypes)["id"]).alias("at_end"), F.lit(None).cast("long").alias("left"))
         far = far.unionByName(done.select(F.col("id").alias("jump"), F.lit(None).cast(dict(links.dtypes)["id"]).alias("to"), F.lit(None).cast("long").alias("more"), F.col("low").alias("least"), F.col("end").alias("at_end"), F.col("steps").alias("left")))
         step = going.join(far, "jump").select(
-            "id", F.col("to").alias("jump"), F.col("at_end").alias("end"), (F.col("hop") + F.col("left")).alias("steps"), F.least("low", "least").alias("low"), (F.col("hop") + F.col("more")).alias("hop")
-        )
+            "id", F.col("to").alias("jump"), F.col("at_end").alias("end"), (F.col("hop") + F.col("left")).alias("steps"), F.least("low", "least").alias("low"), (F.col("hop") + F.col("more")).alias("hop"),
+            (F.col("least") < F.col("low")).alias("lower"),
+        )
         step = stored(step, "chains")
-        done, going, reach = done.unionByName(step.filter("jump IS NULL").select("id", "end", "steps", "low")), step.filter("jump IS NOT NULL"), reach * 2
+        more, going = step.filter("jump IS NULL").drop("lower"), step.filter("jump IS NOT NULL")
+        # A round that ends no chain leaves only rings and what leads into them; once no least id falls either, none ever will.
+        if more.isEmpty() and going.filter("lower").isEmpty():
+            break
+        done = done.unionByName(more.select("id", "end", "steps", "low"))
     kind = dict(links.dtypes)["id"]
     return done.unionByName(going.select("id", F.lit(None).cast(kind).alias("end"), F.lit(None).cast("long").alias("steps"), "low"))
 
@@ -42,12 +48,15 @@ def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
     """``id`` of all links of ``links`` (``id, next``) on the chains from ``starts`` (``id``), once each."""
     ids = links.select(F.col("id").alias("next"))
     jumps = stored(links.join(ids, "next", "left_semi").select("id", "next"), "jumps")
-    found, n, reach = stored(starts.select("id").distinct().join(links.select("id"), "id", "left_semi"), "reached"), links.count(), 1
-    while reach <= n and not jumps.isEmpty():
+    found = stored(starts.select("id").distinct().join(links.select("id"), "id", "left_semi"), "reached")
+    n = found.count()
+    while not jumps.isEmpty():
         more = jumps.join(found, "id", "left_semi").select(F.col("next").alias("id"))
         found = stored(found.unionByName(more).distinct(), "reached")
+        before, n = n, found.count()
+        if n == before:
+            break  # whatever follows has been reached, rings included
         jumps = stored(jumps.join(jumps.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")), "jumps")
-        reach *= 2
     return found
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from lignum import session
 from lignum.functions import rules
-from lignum.operators import tree
+from lignum.operators import chains, tree
 
 
 @pytest.fixture
@@ -86,3 +86,23 @@ def test_execute_verdicts_over_hot_folders(hot):
     rows = [(i, p, {4: "X.app"}.get(i, "Contents" if i == 5 else f"n{i}"), "File" if i > 500 else "Dir") for i, p in up.items()]
     got = {r.id for r in rules.execute_verdicts(hot.createDataFrame(rows, "id long, parent long, name string, kind string")).collect()}
     assert got == {i for i, _, _, kind in rows if kind == "File"}
+
+
+def test_rings_take_rounds_by_their_length(spark, monkeypatch):
+    """Short rings among many rows: a round for each doubling of the longest, not of the number of rows."""
+    seen, real = [], session.stored
+    monkeypatch.setattr(chains, "stored", lambda df, name: seen.append(name) or real(df, name))
+    nexts = {i: i - i % 3 + (i + 1) % 3 for i in range(3000)} | {3000: 4, 3001: 3000, 3002: None, 3003: 3002, 3004: 3003, 3005: 9999, 3006: 3006}
+    links = spark.createDataFrame(list(nexts.items()), "id long, next long")
+    got = {r.id: (r.end, r.steps, r.low) for r in chains.ends(links).collect()}
+    assert got == {i: (None, None, i - i % 3) for i in range(3000)} | {3000: (None, None, 3), 3001: (None, None, 3), 3002: (3002, 0, 3002), 3003: (3002, 1, 3002), 3004: (3002, 2, 3002), 3005: (3005, 0, 3005), 3006: (None, None, 3006)}
+    assert seen.count("chains") <= 6
+    starts = spark.createDataFrame([(3001,), (3004,), (7,)], "id long")
+    assert {r.id for r in chains.reached(links, starts).collect()} == {3001, 3000, 3, 4, 5, 3004, 3003, 3002, 6, 7, 8}
+    assert seen.count("reached") <= 6
+
+
+def test_long_ring_and_a_long_way_into_it(spark):
+    nexts = {i: (i + 1) % 700 for i in range(700)} | {1000 + i: 999 + i if i else 350 for i in range(300)} | {2000 + i: 1999 + i if i else None for i in range(100)}
+    got = {r.id: (r.end, r.steps, r.low) for r in chains.ends(spark.createDataFrame(list(nexts.items()), "id long, next long")).collect()}
+    assert got == {i: (None, None, 0) for i in range(1300) if i in nexts} | {2000 + i: (2000, i, 2000) for i in range(100)}
