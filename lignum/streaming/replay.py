@@ -65,27 +65,33 @@ def snapshot_chunks(tree: DataFrame, bound: int) -> DataFrame:
     return begun.select(F.floor((F.col("before") + F.col("inner")) / (bound // 2)).alias("chunk"), "id", "parent", "name", "depth", "bytes")
 
 
-def snapshot_stream(tree: DataFrame, bound: int) -> DataFrame:
-    """A tree as a stream: each micro-batch is one chunk of ``bound`` bytes at most, parents come before their children.
+#: A micro-batch of a snapshot takes as many chunks as fit in this many bytes, and one at least.
+BATCH_BYTES = 128 << 20
 
-    A chunk is one file, and the driver dates each, so the bound should be as large as a micro-batch may be.
+
+def snapshot_stream(tree: DataFrame, bound: int, batch_bytes: int | None = None) -> DataFrame:
+    """A tree as a stream of chunks of ``bound`` bytes at most, parents before their children; ``chunk`` comes last.
+
+    A micro-batch holds whole chunks that follow one another, as many as ``batch_bytes`` allow, so the number of micro-batches and of
+    files, each of which the driver dates, depends on the tree's size and not on how small its chunks are.
     """
     chunks = stored(snapshot_chunks(tree, bound), "chunks")
-    return chunk_stream(chunks.select("id", "parent", "name", "depth", "bytes", F.col("chunk").cast("long")))
+    each = max(1, (BATCH_BYTES if batch_bytes is None else batch_bytes) // bound)
+    return chunk_stream(chunks.select("id", "parent", "name", "depth", "bytes", F.col("chunk").cast("long")), each)
 
 
-def chunk_stream(rows: DataFrame) -> DataFrame:
-    """Rows as a stream whose micro-batches are its ``chunk``s, in their order; ``chunk`` comes last.
+def chunk_stream(rows: DataFrame, each: int = 1) -> DataFrame:
+    """Rows as a stream whose micro-batches are its ``chunk``s, in their order, ``each`` of them at a time; ``chunk`` comes last.
 
-    Each chunk is a file, written by one task.
+    What a micro-batch takes is a file, written by one task.
     """
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "chunk-stream")
-    rows.repartition("chunk").write.partitionBy("chunk").parquet(folder)
+    rows = rows.select(*[c for c in rows.columns if c != "chunk"], "chunk").withColumn("micro_batch", F.floor(F.col("chunk") / each).cast("long"))
+    rows.repartition("micro_batch").write.partitionBy("micro_batch").parquet(folder)
     fs, at = hadoop(spark, folder)
     begin = int(spark._jvm.System.currentTimeMillis()) - 1_000_000_000
     for d in fs.listStatus(at):
-        if d.isDirectory() and d.getPath().getName().startswith("chunk="):
+        if d.isDirectory() and d.getPath().getName().startswith("micro_batch="):
             for f in fs.listStatus(d.getPath()):
-                fs.setTimes(f.getPath(), begin + 1000 * int(d.getPath().getName().removeprefix("chunk=")), -1)
-    schema = rows.select(*[c for c in rows.columns if c != "chunk"], "chunk").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+                fs.setTimes(f.getPath(), begin + 1000 * int(d.getPath().getName().removeprefix("micro_batch=")), -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder).drop("micro_batch")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from lignum.operators import log as logs
-from lignum.session import shared_folder
+from lignum.session import hot_join, shared_folder
 from lignum.sources.relations import change_log, with_views
 from lignum.streaming.keyed import KeyedTable, OpLog, Publisher
 from lignum.streaming.replay import chunk_stream, replayed, snapshot_stream
@@ -275,7 +275,7 @@ def _snapshot(s: SparkSession, d: str) -> DataFrame:
     rows = collected(snapshot_stream(items(s, d), 60_000))
     size = rows.groupBy("chunk").agg(F.sum("bytes").alias("held"))
     up = rows.select(F.col("id").alias("parent"), F.col("chunk").alias("above"))
-    whole = rows.join(size, "chunk").join(up, "parent", "left")
+    whole = hot_join(rows.join(size, "chunk"), up, "parent", "left")
     return whole.select("id", "parent", "name", "depth", (F.col("held") <= 60_000).alias("fits"), F.coalesce(F.col("above") <= F.col("chunk"), F.col("parent").isNull()).alias("after_parent"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from lignum import session
 from lignum.functions import rules
 from lignum.operators import chains, tree
+from lignum.streaming import replay, states
 
 
 @pytest.fixture
@@ -106,3 +107,18 @@ def test_long_ring_and_a_long_way_into_it(spark):
     nexts = {i: (i + 1) % 700 for i in range(700)} | {1000 + i: 999 + i if i else 350 for i in range(300)} | {2000 + i: 1999 + i if i else None for i in range(100)}
     got = {r.id: (r.end, r.steps, r.low) for r in chains.ends(spark.createDataFrame(list(nexts.items()), "id long, next long")).collect()}
     assert got == {i: (None, None, 0) for i in range(1300) if i in nexts} | {2000 + i: (2000, i, 2000) for i in range(100)}
+
+
+def test_a_snapshot_of_many_chunks_takes_few_micro_batches(spark):
+    """Micro-batches go by bytes: 100 small chunks don't make 100 of them, and none holds more than it may."""
+    t = spark.createDataFrame([(1, None, "")] + [(i, i // 3 + 1 if i > 3 else 1, f"n{i:04}") for i in range(2, 700)], "id long, parent long, name string")
+    seen = []
+    states.drained(replay.snapshot_stream(t, 1000, 10_000), lambda df, k: seen.append(df.select("chunk", "id", "bytes").collect()))
+    seen = [b for b in seen if b]
+    assert sorted(r.id for b in seen for r in b) == list(range(1, 700))
+    chunks = {r.chunk for b in seen for r in b}
+    assert len(chunks) > 80 and len(seen) <= -(-len(chunks) // 10) + 1
+    assert all(sum(r.bytes for r in b) <= 10_000 for b in seen)
+    assert all(sum(r.bytes for b in seen for r in b if r.chunk == c) <= 1000 for c in chunks)
+    firsts = [(min(r.chunk for r in b), max(r.chunk for r in b)) for b in seen]
+    assert all(a[1] < b[0] for a, b in zip(firsts, firsts[1:], strict=False))
