@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lignum.operators import log as logs
-from lignum.session import shared_folder
+from lignum.session import shared_folder, stored
 from lignum.streaming.replay import hadoop
 
 ROWS = "id long, seq long, op string, parent long, content long"
@@ -106,6 +106,7 @@ class Publisher:
 
     def apply(self, batch: DataFrame, number: int) -> None:
         start = self.issued(number).agg(F.max("last")).first()[0] or 0
+        batch = stored(batch, "batch")  # numbering reads it more than once, and a stream's state would be gone over each time
         rows = logs.numbered(batch, *self.by).withColumn("at", F.col("at") + start).withColumnRenamed("at", "issued")
         rows.write.mode("overwrite").parquet(f"{self.folder}/log/batch={number}")
         last = self.spark.read.parquet(f"{self.folder}/log/batch={number}").agg(F.coalesce(F.max("issued"), F.lit(start)).alias("last"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +60,13 @@ def steps(settle: int, step: int, most: int) -> list[int]:
 class _Timed(StatefulProcessor):
     """Keeps a tuple and one timer a key. ``take`` and ``due`` change ``self.now`` and give rows out."""
 
-    fields = ""
+    fields, taken = "", ()
 
     def init(self, handle) -> None:
         self.handle, self.state = handle, handle.getValueState("state", self.fields + ", timer long")
 
-    def take(self, at: int, row) -> Iterator[tuple]:
-        """A row at a time."""
+    def take(self, at: int, seq: int, *more) -> Iterator[tuple]:
+        """A row at a time: its time, number, and what ``taken`` names."""
 
     def due(self, until: int) -> Iterator[tuple]:
         """What is due before ``until``."""
@@ -73,9 +74,12 @@ class _Timed(StatefulProcessor):
     def next_due(self) -> int | None:
         """The time, in nanoseconds, by which something is due without further rows."""
 
-    def _run(self, key, work) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
+    def _run(self, key, work, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        """Each call on the state or a timer is a round trip: one read, and no more writes than there are changes."""
+        held = self.state.get()
         self.now, timer = (tuple(held[:-1]), held[-1]) if held else (None, None)
+        if timer == fired:
+            timer = None  # a timer that has fired is gone
         rows = list(work())
         wanted = self.next_due() if self.now else None
         wanted = None if wanted is None else -(-wanted // 1_000_000)
@@ -84,7 +88,8 @@ class _Timed(StatefulProcessor):
         if wanted is not None and timer != wanted:
             self.handle.registerTimer(wanted)
         if self.now:
-            self.state.update((*self.now, wanted))
+            if not held or (*self.now, wanted) != tuple(held):
+                self.state.update((*self.now, wanted))
         elif held:
             self.state.clear()
         if rows:
@@ -92,8 +97,12 @@ class _Timed(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         def work():
-            for row in pd.concat(list(rows)).sort_values(["at_ns", "seq"]).itertuples():
-                yield from self.take(int(row.at_ns), row)
+            # Plain arrays: most keys have a few rows a micro-batch, for which frames cost more than the rows.
+            frames = list(rows)
+            at, seq, *more = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("at_ns", "seq", *self.taken))
+            order = np.lexsort((seq, at))
+            for row in zip(*(x[order].tolist() for x in (at, seq, *more)), strict=True):
+                yield from self.take(*row)
 
         yield from self._run(key, work)
 
@@ -103,10 +112,7 @@ class _Timed(StatefulProcessor):
         def work():  # all up to the watermark: a timer set now would wait for the next micro-batch
             yield from self.due(max(fired, seen) * 1_000_000 + 1)
 
-        held = self.state.get() if self.state.exists() else None
-        if held and held[-1] == fired:  # a timer that has fired is gone
-            self.state.update((*held[:-1], None))
-        yield from self._run(key, work)
+        yield from self._run(key, work, fired)
 
     def close(self) -> None:
         pass
@@ -130,9 +136,8 @@ class _Quiet(_Timed):
             else:
                 self.now = (begun, k + 1, False, n, first, last)
 
-    def take(self, at, row):
+    def take(self, at, seq):
         yield from self.due(at)
-        seq = int(row.seq)
         if self.now is None:
             self.now = (at, 0, False, 1, seq, seq)
         else:
@@ -145,7 +150,7 @@ class _Quiet(_Timed):
 
 class _Throttle(_Timed):
     fields = "said long, since long, seq long"
-    columns = ("id", "seq", "published_ns", "held")
+    columns, taken = ("id", "seq", "published_ns", "held"), ("closed", "passes")
 
     def __init__(self, gap: int, quiet: int):
         self.gap, self.quiet = gap, quiet
@@ -160,16 +165,16 @@ class _Throttle(_Timed):
             yield (self.now[2], at, True)
             self.now = (at, None, None)
 
-    def take(self, at, row):
+    def take(self, at, seq, closed, passes):
         yield from self.due(at + 1)
         said = self.now[0] if self.now else None
-        if row.passes:
-            yield (int(row.seq), at, False)
-        elif row.closed or said is None or at - said >= self.gap:
-            yield (int(row.seq), at, False)
+        if passes:
+            yield (seq, at, False)
+        elif closed or said is None or at - said >= self.gap:
+            yield (seq, at, False)
             self.now = (at, None, None)
         else:
-            self.now = (said, at, int(row.seq))
+            self.now = (said, at, seq)
 
 
 def _keyed(stream: DataFrame, processor: StatefulProcessor, ddl: str, late: str) -> DataFrame:
