@@ -27,9 +27,14 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.select("seq", "id", F.lit("upsert").alias("op"), *[c for c in COLUMNS if c not in ("seq", "id")])
 
 
+#: Changes that one task folds, about; whole rows are sorted there.
+PART_ROWS = 250_000
+
+
 def applied(tree: DataFrame, changes: DataFrame) -> DataFrame:
     """The tree after a log of changes: each item as its last change leaves it; of changes at one number, a removal counts."""
-    last = changes.groupBy("id").agg(F.max_by(F.struct("op", *[c for c in COLUMNS if c != "id"]), F.struct("seq", F.col("op") != "upsert")).alias("x")).select("id", "x.*")
+    changes = stored(changes, "changes")
+    last = changes.repartition(1 + changes.count() // PART_ROWS, "id").groupBy("id").agg(F.max_by(F.struct("op", *[c for c in COLUMNS if c != "id"]), F.struct("seq", F.col("op") != "upsert")).alias("x")).select("id", "x.*")
     rest = tree.select(*COLUMNS).join(last.select("id"), "id", "left_anti")
     return rest.unionByName(last.filter("op = 'upsert'").select(*COLUMNS))
 

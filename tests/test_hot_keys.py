@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lignum import session
 from lignum.functions import rules
-from lignum.operators import chains, tree
+from lignum.operators import chains, transitions, tree
 from lignum.streaming import replay, states
 
 
@@ -122,3 +123,13 @@ def test_a_snapshot_of_many_chunks_takes_few_micro_batches(spark):
     assert all(sum(r.bytes for b in seen for r in b if r.chunk == c) <= 1000 for c in chunks)
     firsts = [(min(r.chunk for r in b), max(r.chunk for r in b)) for b in seen]
     assert all(a[1] < b[0] for a, b in zip(firsts, firsts[1:], strict=False))
+
+
+def test_changes_are_folded_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(transitions, "PART_ROWS", 10)
+    kinds = "id long, parent long, name string, kind string, size long, mtime_ns long, mode int, access int, content long, meta long, seq long"
+    t = spark.createDataFrame([(i, None if i == 1 else 1, f"n{i}", "Dir", 0, 0, 0, 0, 0, 0, i) for i in range(1, 100)], kinds)
+    changes = transitions.wiped(t, 500).withColumns({c: F.lit(None) for c in transitions.COLUMNS if c not in ("seq", "id")})
+    left = transitions.applied(t, changes)
+    assert [r.id for r in left.collect()] == [1]
+    assert "hashpartitioning(id#" in (plan := left._jdf.queryExecution().optimizedPlan().toString() + left._jdf.queryExecution().executedPlan().toString()) and ", 10)" in plan
