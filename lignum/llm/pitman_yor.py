@@ -26,7 +26,8 @@ last sweeps.
 Data is dealt by word. One shuffle brings every occurrence, packed in four bytes, to its word's
 bucket; there counts are made, seats drawn, and the occurrences scored in place. Words above one in
 ``HEAVY`` tokens, of which there can be no more than ``HEAVY``, are dealt by word and context instead,
-and their totals travel with the vectors. Buckets hold about as many tokens at any size of input.
+and their totals travel with the vectors. Buckets hold about as many tokens at any size of input, and no
+two share a partition or a file.
 """
 
 from __future__ import annotations
@@ -172,7 +173,8 @@ def _dealt(docs: DataFrame, heavy: np.ndarray, buckets: int, contexts: int) -> D
 
     ready = docs.select("doc_id", "text", F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.col("doc_id").isNull()).alias("held_out"))
     ddl = "bucket long, chunk long, blob binary, ids array<long>, held array<boolean>, n array<long>"
-    sent = map_batches(ready, deal, ddl).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    # Each bucket is one partition and so one file: buckets are large rows, and tasks hold those that they read together.
+    sent = map_batches(ready, deal, ddl).repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "chunk")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for group in groups(batches, ["bucket"]):

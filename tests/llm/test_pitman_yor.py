@@ -201,3 +201,11 @@ def test_a_pair_of_any_number_of_customers_takes_few_draws():
 
 def test_empty_table(spark):
     assert py.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_buckets_share_no_file(spark):
+    """Hashed to few partitions, several buckets would be read, and so held, by one task."""
+    rows = spark.createDataFrame([(i, " ".join(f"w{i * k % 211}" for k in range(1, 60))) for i in range(100)], "doc_id long, text string")
+    dealt = py._dealt(rows, np.zeros(0, np.uint64), 40, 4096).filter("bucket >= 0")
+    files = dealt.selectExpr("input_file_name() AS file", "bucket").collect()
+    assert len({r.bucket for r in files}) == len({r.file for r in files}) == len(files) > 30
