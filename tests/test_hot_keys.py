@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lignum import session
 from lignum.functions import rules
 from lignum.operators import chains, transitions, tree
+from lignum.plans import registry
 from lignum.streaming import replay, states
+from tests.oracle import compare
 
 
 @pytest.fixture
@@ -72,6 +74,14 @@ def test_paths_and_walks_over_hot_folders(hot, plans):
     assert any("BroadcastHashJoin" in plan for name, plan, _ in plans if name == "jumps")
 
 
+@pytest.mark.parametrize("name", ["breadth_first"])
+def test_tree_queries_broadcast_hot_folders_and_agree_with_sql(hot, plans, monkeypatch, sf, name):
+    """Each query as registered: rows below the nations, of 6 customers or so each, aren't shuffled by their folder."""
+    monkeypatch.setattr(session, "HOT_ROWS", 5)
+    assert compare(hot, sf, name, registry.QUERIES[name], registry.ORACLE_SQL[name])
+    assert any("BroadcastHashJoin" in plan for _, plan, _ in plans)
+
+
 def test_left_join_with_hot_missing_and_null_keys(hot):
     rows = [(i, [None, 1, 2, 3, 4, i][i % 6]) for i in range(300)]
     one = [(1, "a"), (3, "c"), (5, "e"), (None, "n")]
