@@ -74,7 +74,7 @@ def test_paths_and_walks_over_hot_folders(hot, plans):
     assert any("BroadcastHashJoin" in plan for name, plan, _ in plans if name == "jumps")
 
 
-@pytest.mark.parametrize("name", ["breadth_first", "children_by_path", "children_of_root", "link_flips", "ordered_by_depth", "published_order", "drop_order", "kept_on_remove", "with_ancestors"])
+@pytest.mark.parametrize("name", ["breadth_first", "children_by_path", "children_of_root", "link_flips", "ordered_by_depth", "published_order", "drop_order", "kept_on_remove", "with_ancestors", "tree_closure"])
 def test_tree_queries_broadcast_hot_folders_and_agree_with_sql(hot, plans, monkeypatch, sf, name):
     """Each query as registered: rows below the nations, of 6 customers or so each, aren't shuffled by their folder."""
     monkeypatch.setattr(session, "HOT_ROWS", 5)
