@@ -5,11 +5,13 @@ the most frequent ones, with their ids by the merge rules, are compiled into a m
 automaton whose paths number its words: the sum of counts along a path indexes the ids. Shared
 suffixes keep it small. It is a file in the shared folder, which Spark hands to each executor; the executor's
 Python workers map it into memory, and a piece is then one walk. A piece that the automaton lacks is merged exactly,
-so the lexicon changes how fast ids are found but never which.
+so the lexicon changes how fast ids are found but never which. Digests take the pieces that a worker hasn't met
+together: all walk the automaton in step, a byte at a time, and what it lacks is merged in step, a pair of each at a time.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import json
@@ -22,6 +24,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -42,8 +45,10 @@ LONGEST = 64
 KEPT, KEPT_BYTES = 400_000, 100
 #: Distinct pieces that a task counts before it hands them on.
 COUNTED = 1 << 17
-#: Pieces of so many bytes at most are merged from a plain list of ranks.
+#: Pieces of so many bytes at most are merged from a plain list of ranks, or in step with others.
 SHORT = 48
+#: Characters of the texts whose pieces are held together, longer texts alone, and pieces that are looked up in step.
+HELD, STEP = 1 << 18, 4096
 ID_BITS = 32
 ID_MASK, NONE = (1 << ID_BITS) - 1, 1 << 62
 
@@ -78,6 +83,51 @@ class Vocabulary:
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        pairs = sorted((a << ID_BITS | b, found) for (a, b), found in self.merges.items())
+        #: Pairs of ids as numbers in order, and what they merge to; beyond the last one nothing.
+        self.pairs = np.array([x[0] for x in pairs] + [(1 << 63) - 1], dtype=np.int64)
+        self.merged = np.array([x[1] for x in pairs] + [NONE], dtype=np.int64)
+        of_byte = np.array(self.of_byte, dtype=np.int64)
+        self.of_bytes = self.found(of_byte[:, None], of_byte)
+
+    def found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair, or ``NONE``."""
+        pair = left << ID_BITS | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.merged[at], NONE)
+
+    def merge_all(self, data: np.ndarray, length: np.ndarray) -> list[list[int]]:
+        """``merge`` of pieces of at least one byte; ``data`` has a row for each, of which the first ``length`` bytes count."""
+        m, w = data.shape
+        ids, n = np.array(self.of_byte, dtype=np.int64)[data], length.astype(np.int64)
+        out: list = [None] * m
+        rows, at = np.arange(m), np.arange(w)
+        # ranks[:, i] is of the pair that begins at i; the last column belongs to no pair.
+        ranks = np.full((m, w), NONE, dtype=np.int64)
+        ranks[:, :-1] = np.where(at[1:] < n[:, None], self.of_bytes[data[:, :-1], data[:, 1:]], NONE)
+        while len(rows):
+            i = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), i]
+            done = best == NONE
+            if done.any():
+                for row, now, size in zip(rows[done].tolist(), ids[done].tolist(), n[done].tolist(), strict=True):
+                    out[row] = now[:size]
+                live = ~done
+                rows, ids, ranks, n, i, best = rows[live], ids[live], ranks[live], n[live], i[live], best[live]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            ids[each, i] = best & ID_MASK
+            # What follows the pair moves up by one.
+            w -= 1
+            gone = at[:w] > i[:, None]
+            ids, ranks = np.where(gone, ids[:, 1:], ids[:, :-1]), np.where(at[:w] >= i[:, None], ranks[:, 1:], ranks[:, :-1])
+            n -= 1
+            for j in (i - 1, i):
+                held = (j >= 0) & (j + 1 < n)
+                ranks[each[held], j[held]] = self.found(ids[each[held], j[held]], ids[each[held], j[held] + 1])
+            ranks[each, n - 1] = NONE
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: of all neighbours, the pair of the lowest rank merges first, the leftmost of equals."""
@@ -177,6 +227,30 @@ class Lexicon:
             at += 4 * n
         self.labels = at
         self.nodes, self.edges, self.starts, self.outputs = parts
+        of = lambda x: np.frombuffer(x, dtype=np.uint32).astype(np.int64)
+        first = of(self.nodes)[::2]
+        self.final, self.targets, self.before = of(self.nodes)[1::2] > 0, of(self.edges)[::2], of(self.edges)[1::2]
+        #: Each edge's node and byte in one number, in order; beyond the last one nothing.
+        keys = np.repeat(np.arange(nodes), np.diff(first)) << 8 | np.frombuffer(self.map, dtype=np.uint8, count=edges, offset=self.labels)
+        self.keys = np.append(keys, (1 << 63) - 1)
+
+    def find_all(self, data: np.ndarray, length: np.ndarray) -> list[list[int] | None]:
+        """``find`` of many words; ``data`` has a row for each, of which the first ``length`` bytes count."""
+        node, index = np.full(len(data), self.root), np.zeros(len(data), dtype=np.int64)
+        rows = np.arange(len(data))
+        for i in range(data.shape[1]):
+            rows = rows[(length[rows] > i) & (node[rows] >= 0)]
+            key = node[rows] << 8 | data[rows, i]
+            edge = np.searchsorted(self.keys, key)
+            has = self.keys[edge] == key
+            node[rows[~has]] = -1
+            rows, edge = rows[has], edge[has]
+            index[rows] += self.before[edge]
+            node[rows] = self.targets[edge]
+        out: list = [None] * len(data)
+        for row in np.flatnonzero((node >= 0) & self.final[node]).tolist():
+            out[row] = self.outputs[self.starts[index[row]] : self.starts[index[row] + 1]].tolist()
+        return out
 
     def find(self, word: bytes) -> list[int] | None:
         nodes, edges, labels, find = self.nodes, self.edges, self.labels, self.map.find
@@ -200,23 +274,34 @@ class Codec:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.pieces = splitter()
         self.marks = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")") if vocabulary.special else None
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.texts = {i: str(i) for i in vocabulary.bytes_of}
+        self.specials = {i: (str(i), 1, t.encode()) for t, i in vocabulary.special.items()}
+        self.kept: dict[str | int, tuple[str, int, bytes]] = dict(self.specials)
 
     def piece_ids(self, piece: str) -> list[int]:
         raw = piece.encode()
         return (self.lexicon.find(raw) if self.lexicon else None) or self.vocabulary.merge(raw)
 
-    def known(self, piece: str) -> tuple[str, int, bytes]:
-        """The ids of a piece as text, how many, and what they decode to."""
-        found = self.kept.get(piece)
-        if found is None:
-            ids = self.piece_ids(piece)
-            found = (",".join(map(str, ids)), len(ids), b"".join([self.vocabulary.bytes_of[i] for i in ids]))
-            if len(piece) <= KEPT_BYTES:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[piece] = found
-        return found
+    def learn(self, pieces: list[str]) -> None:
+        """Keeps the ids of these pieces as text, how many, and what they decode to."""
+        raws = sorted(((x.encode(), x) for x in pieces), key=lambda x: len(x[0]))
+        short = bisect.bisect_right(raws, SHORT, key=lambda x: len(x[0]))
+        for low in range(0, short, STEP):
+            part = raws[low : min(short, low + STEP)]
+            length = np.array([len(raw) for raw, _ in part])
+            data = np.zeros((len(part), length[-1]), dtype=np.uint8)
+            data[np.arange(length[-1]) < length[:, None]] = np.frombuffer(b"".join([raw for raw, _ in part]), dtype=np.uint8)
+            found = self.lexicon.find_all(data, length) if self.lexicon else [None] * len(part)
+            lacking = np.array([k for k, ids in enumerate(found) if not ids], dtype=np.int64)
+            for k, ids in zip(lacking.tolist(), self.vocabulary.merge_all(data[lacking], length[lacking]), strict=True):
+                found[k] = ids
+            for (_, piece), ids in zip(part, found, strict=True):
+                self.keep(piece, ids)
+        for _, piece in raws[short:]:
+            self.keep(piece, self.piece_ids(piece))
+
+    def keep(self, piece: str, ids: list[int]) -> None:
+        self.kept[piece] = (",".join([self.texts[i] for i in ids]), len(ids), b"".join([self.vocabulary.bytes_of[i] for i in ids]))
 
     def runs(self, text: str) -> Iterator[str | int]:
         """Pieces, and the ids of special tokens that the text spells out."""
@@ -235,17 +320,34 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.bytes_of[i] for i in ids]).decode(errors="replace")
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of them as text, sha256 of what they decode to."""
-        kept, known = self.kept, self.known
-        if self.marks is None or not self.marks.search(text):
-            found = [kept.get(x) or known(x) for x in self.pieces(text)]
-        else:
-            special = self.vocabulary.bytes_of
-            found = [(str(x), 1, special[x]) if isinstance(x, int) else known(x) for x in self.runs(text)]
-        ids = ",".join([x[0] for x in found])
-        decoded = b"".join([x[2] for x in found]).decode(errors="replace")
-        return sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, sha256 of them as text, sha256 of what they decode to."""
+        low = 0
+        while low < len(texts):
+            high, held = low + 1, len(texts[low])
+            while high < len(texts) and (held := held + len(texts[high])) <= HELD:
+                high += 1
+            yield from self.part(texts[low:high])
+            low = high
+
+    def part(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        # A text that spells out special tokens has their ids among its pieces; they are known as such.
+        runs = [self.pieces(t) if self.marks is None or not self.marks.search(t) else list(self.runs(t)) for t in texts]
+        if len(self.kept) >= KEPT:
+            self.kept = dict(self.specials)
+        kept = self.kept
+        new = list(set().union(*runs).difference(kept))
+        self.learn(new)
+        out = []
+        for run in runs:
+            found = [kept[x] for x in run]
+            ids = ",".join([x[0] for x in found])
+            decoded = b"".join([x[2] for x in found]).decode(errors="replace")
+            out.append((sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        for x in new:
+            if len(x) > KEPT_BYTES:
+                del kept[x]
+        return out
 
 
 _codecs: dict = {}
@@ -326,7 +428,7 @@ def digests(docs: DataFrame, path: str, most: int = LEXICON) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         codec = _codec(key, vocabulary, lexicon)
         for batch in batches:
-            n, ids, decoded = zip(*[codec.digest(t or "") for t in batch["text"].to_pylist()], strict=True) if batch.num_rows else ((), (), ())
+            n, ids, decoded = zip(*codec.digests([t or "" for t in batch["text"].to_pylist()]), strict=True) if batch.num_rows else ((), (), ())
             yield {"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -50,6 +50,31 @@ def test_small_lexicons(words, tmp_path):
     assert [found.find(w) for w in (b"", b"a", b"b")] == [words.get(b""), words.get(b"a"), None]
 
 
+def test_new_pieces_are_merged_in_step(tmp_path, monkeypatch):
+    with open(PATH, encoding="utf-8") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    many = [*(t or "" for t in texts()), "x" * 48, "x" * 49, " " + "ab" * 60, "a b" * 50]
+    pieces = sorted({p for t in many for p in bpe.splitter()(t)})
+    short = [p.encode() for p in pieces if len(p.encode()) <= bpe.SHORT]
+    words = {w: vocabulary.merge(w) for w in short[::7]}
+    (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon(words))
+    lexicon = bpe.Lexicon(tmp_path / "lexicon")
+    length = bpe.np.array([len(w) for w in short])
+    data = bpe.np.array([[*w, *bytes(bpe.SHORT - len(w))] for w in short], dtype=bpe.np.uint8)
+    assert lexicon.find_all(data, length) == [words.get(w) for w in short]
+    assert vocabulary.merge_all(data, length) == [vocabulary.merge(w) for w in short]
+
+    library, one_by_one, merge = Tokenizer.from_file(PATH), [], vocabulary.merge
+    monkeypatch.setattr(vocabulary, "merge", lambda piece: one_by_one.append(piece) or merge(piece))
+    monkeypatch.setattr(bpe, "HELD", 500)
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    got = list(bpe.Codec(vocabulary, lexicon).digests(many))
+    assert all(len(p) > bpe.SHORT for p in one_by_one)
+    for text, (n, ids, decoded) in zip(many, got, strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert n == len(want) and ids == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and decoded == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, "x " * 100_000)], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in bpe.digests(df, PATH).collect())
