@@ -22,7 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
     )
-    before = None
+    state = lambda: e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
+    before = state()  # stars stay as they are, so one round tells that they are
     for _ in range(rounds):
         # To the larger neighbours of u: the smallest of u and all its neighbours.
         both = e.union(e.select("b", "a"))
@@ -32,7 +33,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
+        now = state()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         before = now

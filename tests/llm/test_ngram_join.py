@@ -4,6 +4,8 @@ import re
 import pytest
 
 from lignum.llm import ngram_join
+from lignum.llm import components as components_module
+from lignum.llm.common import written
 from lignum.llm.components import components
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -64,6 +66,15 @@ def test_odd_rows(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_stars_take_one_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components_module, "written", lambda df, name: rounds.append(name) or written(df, name))
+    stars = [(3, 1), (2, 1), (5, 4), (2, 1), (7, 4)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 4}
+    assert len(rounds) == 2  # the edges and one round
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
